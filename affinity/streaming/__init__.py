@@ -1,0 +1,7 @@
+"""Streaming: nothing to build.
+
+The reference is a batch job over bounded tables: it has no stream source,
+no watermark, no event-time window and no state.  Its "windows" are date
+range filters, which the batch operators express directly.  This package
+stays empty on purpose.
+"""
