@@ -38,7 +38,7 @@ def date_column(col: Column, data_type) -> Column:
         return F.to_date(col)
     if isinstance(data_type, StringType):
         digits = F.substring(F.regexp_replace(col, "-", ""), 1, 8)
-        return F.try_to_date(digits, F.lit("yyyyMMdd"))
+        return F.try_to_date(digits, "yyyyMMdd")
     return F.try_to_date(col.cast("string"))
 
 
