@@ -17,6 +17,7 @@ ever crossing the network.  Scores are integer sums divided once
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, DoubleType, FloatType
@@ -24,6 +25,7 @@ from pyspark.sql.types import DecimalType, DoubleType, FloatType
 from ..functions.dates import as_date, days_before
 from ..functions.joins import BROADCAST_MAX_ROWS, bounded_rows, join_small
 from ..sources.inputs import ItemTags, label_column
+from .candidates import item_postings, max_multiplicity, top_candidates
 from .distribution import label_tag_distribution, user_tag_distribution
 from .popularity import item_popularity
 from .sampling import select_tags
@@ -101,23 +103,33 @@ def rank_top_n(cand: DataFrame, n: int, key: str = "up_id", ties: str = "keep",
     return ranked
 
 
+def user_recommendations(dist: DataFrame, pop: DataFrame, items: ItemTags, seen: DataFrame,
+                         k: int, n: int, seed: int = 42, mode: str = "sample",
+                         prior: DataFrame | None = None, ties: str = "keep") -> DataFrame:
+    """(up_id, video_id, prob_sum, pop, rank, lim); see ``recommend_by_user``."""
+    selected = select_tags(dist, "up_id", k, seed, mode)
+    integral = not isinstance(selected.schema["n"].dataType,
+                              (DoubleType, FloatType, DecimalType))
+    posting = item_postings(item_side(items, pop))
+    cand = top_candidates(selected, n, posting, items.long_rows(), max_multiplicity(items.long),
+                          seen_by_user(seen), seen_counts(seen), prior)
+    prob_sum = (F.col("score") / F.col("total")) if integral else F.col("score")
+    return rank_top_n(cand.select("up_id", "video_id", prob_sum.alias("prob_sum"), "pop", "lim"),
+                      n, ties=ties, limit_col="lim")
+
+
 def recommend_by_user(dist: DataFrame, pop: DataFrame, items: ItemTags, seen: DataFrame,
                       k: int, n: int, seed: int = 42, mode: str = "sample",
-                      users: DataFrame | None = None, ties: str = "keep") -> DataFrame:
+                      prior: DataFrame | None = None, ties: str = "keep") -> DataFrame:
     """(up_id, video_id, prob_sum, pop, rank) from per-user distributions.
 
-    ``users`` (up_id, lim) restricts the run to those users and caps each at
-    ``lim`` rows (the older-window fill of O19).
+    ``prior`` (up_id, n_prior) caps each user at ``n - n_prior`` rows and
+    skips users already at n (the older-window fill of O19).  Candidates come
+    from the exact score-floor generator in ``candidates.py``: only pairs
+    that can reach rank <= n are materialised, anti-joined and ranked.
     """
-    selected = select_tags(dist, "up_id", k, seed, mode)
-    carry: tuple[str, ...] = ()
-    if users is not None:
-        selected = selected.join(users.select("up_id", "lim"), "up_id")
-        carry = ("lim",)
-    cand = score_items(selected, "up_id", item_side(items, pop), items.long_rows(), carry)
-    ranked = rank_top_n(exclude_seen(cand, seen), n, ties=ties,
-                        limit_col="lim" if users is not None else None)
-    return ranked.select("up_id", "video_id", "prob_sum", "pop", "rank")
+    out = user_recommendations(dist, pop, items, seen, k, n, seed, mode, prior, ties)
+    return out.select("up_id", "video_id", "prob_sum", "pop", "rank")
 
 
 def seen_counts(seen: DataFrame) -> DataFrame:
@@ -202,22 +214,22 @@ def recommend_user_two_window(history: DataFrame, items: ItemTags, k: int, n: in
     Recent list: distribution and popularity over ``[to_date - w, to_date]``.
     A user with fewer than n recent rows gets ``n - n_recent`` more from the
     whole history up to ``to_date`` (items already recommended excluded),
-    ranked after the recent rows.  The whole-history pass only runs for
-    those users.
+    ranked after the recent rows.  The whole-history pass only generates
+    candidates for those users.  The recent list (users x n rows) is
+    persisted: it feeds the merge, the per-user counts and the exclusion.
     """
     to_date = as_date(to_date)
     seen = history if seen is None else seen
     start = days_before(to_date, window_days)
     recent = recommend_by_user(user_tag_distribution(history, items, start, to_date),
                                item_popularity(history, start, to_date), items, seen,
-                               k, n, seed, mode, ties=ties)
-    dist_old = user_tag_distribution(history, items, None, to_date)
-    short = _short_users(dist_old.select("up_id").distinct(), recent, n)
+                               k, n, seed, mode, ties=ties).persist(StorageLevel.MEMORY_AND_DISK)
+    prior = recent.groupBy("up_id").agg(F.count(F.lit(1)).alias("n_prior"))
     seen_old = seen.select("up_id", "video_id").unionByName(recent.select("up_id", "video_id"))
-    older = recommend_by_user(dist_old, item_popularity(history, None, to_date), items,
-                              seen_old, k, n, seed, mode, users=short, ties=ties)
-    older = older.join(short.select("up_id", "n_recent"), "up_id")
-    return _merge_windows(recent, older)
+    older = user_recommendations(user_tag_distribution(history, items, None, to_date),
+                                 item_popularity(history, None, to_date), items, seen_old,
+                                 k, n, seed, mode, prior=prior, ties=ties)
+    return _merge_windows(recent, older.withColumn("n_recent", F.lit(int(n)) - F.col("lim")))
 
 
 def recommend_label_two_window(label: str, profile: DataFrame, history: DataFrame,
@@ -232,7 +244,7 @@ def recommend_label_two_window(label: str, profile: DataFrame, history: DataFram
     recent = recommend_by_label(
         label, label_tag_distribution(label, profile, history, items, start, to_date),
         item_popularity(history, start, to_date), items, profile, seen, k, n, seed, mode,
-        ties=ties)
+        ties=ties).persist(StorageLevel.MEMORY_AND_DISK)
     col = label_column(label)
     people = (profile.filter(F.col(col).isNotNull())
               .select(F.col("id").alias("up_id")).distinct())
