@@ -10,8 +10,8 @@ An item's score for a user is ``sum(n(t))`` over the user's selected tags
   generated once, from its *first* selected tag in the user's order
   (n desc, tag asc); no aggregation over pairs is needed.
 
-* Score floor.  A first pass scores only the ``L + w(u)`` most popular items
-  of each selected tag (``w(u)`` = items the user has seen), drops seen
+* Score floor.  A first pass scores only the ``L + min(w(u), 64)`` most
+  popular items of each selected tag (``w(u)`` = items the user has seen), drops seen
   pairs and takes the L-th best score theta(u).  The true L-th best unseen
   score is at least theta(u), so only pairs scoring >= theta(u) can rank
   <= L.  In the second pass a tag t_i (in the user's order) can only start
@@ -33,6 +33,10 @@ from pyspark.sql.types import DecimalType, DoubleType, FloatType
 
 from ..functions.joins import join_small
 
+# Probe depth beyond the list length: enough for users with up to this many
+# seen items to get a score floor; deeper users are generated unpruned.
+PROBE_SLACK = 64
+
 
 def item_postings(side: DataFrame) -> DataFrame:
     """(tag_idx, video_id, pop, tags, prank) from the item side (video_id, tag_idx, pop).
@@ -105,9 +109,8 @@ def top_candidates(selected: DataFrame, n: int, posting: DataFrame,
     rows = info.select("up_id", "_m", "total", "lim", "w",
                        F.explode("_m").alias("tag_idx", "n"))
 
-    def generate(df: DataFrame, condition: Column) -> DataFrame:
-        # both passes join the same broadcast relation (reused, built once)
-        pairs = join_small(df, posting, "tag_idx", small_rows=posting_rows,
+    def generate(df: DataFrame, side: DataFrame, condition: Column) -> DataFrame:
+        pairs = join_small(df, side, "tag_idx", small_rows=posting_rows,
                            salt_from=["up_id"], condition=condition)
         pairs = pairs.filter(_first_tag(F.col("_m"), F.col("tag_idx"), F.col("n"),
                                         F.col("tags")))
@@ -117,8 +120,13 @@ def top_candidates(selected: DataFrame, n: int, posting: DataFrame,
         return df.join(seen_pairs.hint("shuffle_hash"), ["up_id", "video_id"], "left_anti")
 
     if integral:
-        # pass 1: score floor from the most popular items of each selected tag
-        probe = generate(rows, F.col("prank") <= F.col("lim") + F.col("w"))
+        # pass 1: score floor from the most popular items of each selected tag.
+        # The probe depth is capped (PROBE_SLACK) so its join stays users x k x
+        # (n + slack) rows; a user left with fewer than lim unseen probe items
+        # gets theta = 0 (no pruning), which is still exact.
+        shallow = posting.filter(F.col("prank") <= F.lit(int(n) + PROBE_SLACK))
+        depth = F.col("lim") + F.least(F.col("w"), F.lit(PROBE_SLACK).cast("bigint"))
+        probe = generate(rows, shallow, F.col("prank") <= depth)
         probe = unseen(probe.select("up_id", "video_id", "score", "lim"))
         order = Window.partitionBy("up_id").orderBy(F.col("score").desc())
         floor = (probe.withColumn("_k", F.row_number().over(order))
@@ -131,8 +139,8 @@ def top_candidates(selected: DataFrame, n: int, posting: DataFrame,
                   .rowsBetween(Window.unboundedPreceding, Window.currentRow))
         rows = (rows.withColumn("_suffix", F.sum("n").over(suffix))
                 .filter(F.col("_suffix") * mult >= F.col("theta")))
-        cand = generate(rows, F.lit(True)).filter(F.col("score") >= F.col("theta"))
+        cand = generate(rows, posting, F.lit(True)).filter(F.col("score") >= F.col("theta"))
     else:
-        cand = generate(rows, F.lit(True))
+        cand = generate(rows, posting, F.lit(True))
     cand = cand.select("up_id", "video_id", "score", "total", "pop", "lim")
     return unseen(cand)
