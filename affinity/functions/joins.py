@@ -18,6 +18,18 @@ from pyspark.sql import functions as F
 # integer / short string columns (~40 bytes a row in the hash relation).
 BROADCAST_MAX_ROWS = 4_000_000
 SALT_BUCKETS = 64
+CAP_CONF = "spark.affinity.broadcastMaxRows"
+SALT_CONF = "spark.affinity.saltBuckets"
+
+
+def broadcast_cap(df: DataFrame) -> int:
+    """Row cap for broadcasting, from the session (``spark.affinity.broadcastMaxRows``)."""
+    return int(df.sparkSession.conf.get(CAP_CONF, str(BROADCAST_MAX_ROWS)))
+
+
+def salt_count(df: DataFrame) -> int:
+    """Salt buckets for joins beyond the cap (``spark.affinity.saltBuckets``)."""
+    return int(df.sparkSession.conf.get(SALT_CONF, str(SALT_BUCKETS)))
 
 
 def bounded_rows(df: DataFrame, cap: int) -> int | None:
@@ -29,8 +41,8 @@ def bounded_rows(df: DataFrame, cap: int) -> int | None:
 def join_small(big: DataFrame, small: DataFrame, on: Sequence[str] | str,
                how: str = "inner", *, small_rows: int | None,
                salt_from: Sequence[str] | None = None,
-               max_rows: int = BROADCAST_MAX_ROWS,
-               salt_buckets: int = SALT_BUCKETS,
+               max_rows: int | None = None,
+               salt_buckets: int | None = None,
                condition: Column | None = None) -> DataFrame:
     """Join ``big`` to ``small``.
 
@@ -45,6 +57,8 @@ def join_small(big: DataFrame, small: DataFrame, on: Sequence[str] | str,
     the column names it refers to must be unique across the two frames.
     """
     keys = [on] if isinstance(on, str) else list(on)
+    max_rows = broadcast_cap(big) if max_rows is None else max_rows
+    salt_buckets = salt_count(big) if salt_buckets is None else salt_buckets
     if small_rows is not None and small_rows <= max_rows:
         return _join(big, F.broadcast(small), keys, how, condition)
     if salt_from and salt_buckets > 1 and how in ("inner", "left", "left_outer"):

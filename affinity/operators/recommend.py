@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, DoubleType, FloatType
 
 from ..functions.dates import as_date, days_before
-from ..functions.joins import BROADCAST_MAX_ROWS, bounded_rows, join_small
+from ..functions.joins import bounded_rows, broadcast_cap, join_small
 from ..sources.inputs import ItemTags, label_column
 from .candidates import item_postings, max_multiplicity, top_candidates
 from .distribution import label_tag_distribution, user_tag_distribution
@@ -168,7 +168,7 @@ def expand_label_to_users(label: str, cand: DataFrame, profile: DataFrame,
     kept = (cand.join(cut, col).filter(F.col("label_rank") <= F.col("_cut"))
             .drop("_cut").persist())
     cond = F.col("label_rank") <= F.lit(int(n)) + F.col("w")
-    fan = join_small(people, kept, col, small_rows=bounded_rows(kept, BROADCAST_MAX_ROWS),
+    fan = join_small(people, kept, col, small_rows=bounded_rows(kept, broadcast_cap(kept)),
                      salt_from=["up_id"], condition=cond)
     extra = ["lim"] if users is not None else []
     return fan.select("up_id", "video_id", "prob_sum", "pop", *extra)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.dates import date_column
-from ..functions.joins import BROADCAST_MAX_ROWS, bounded_rows
+from ..functions.joins import bounded_rows, broadcast_cap
 from ..operators import tags as tag_ops
 
 LABEL_COLUMNS = {"city": "reside_city", "phone": "phone_type"}
@@ -90,7 +90,7 @@ class ItemTags:
     def long_rows(self) -> int | None:
         """Proven bound on ``long`` rows, ``None`` above the broadcast cap."""
         if not self._counted:
-            self._long_rows = bounded_rows(self.long.select("video_id"), BROADCAST_MAX_ROWS)
+            self._long_rows = bounded_rows(self.long.select("video_id"), broadcast_cap(self.long))
             self._counted = True
         return self._long_rows
 

@@ -110,3 +110,25 @@ def test_candidate_volume_is_not_shuffled(spark, inputs):
     assert "Exchange hashpartitioning(up_id" not in head.split("ShuffledHashJoin")[0]
     assert "WindowGroupLimit" in plan
     assert "LeftAnti" in plan
+
+
+@pytest.mark.parametrize("name", ["tag_dist_user", "recommend_user", "recommend_city",
+                                  "weekly_drift"])
+def test_salted_path_equals_broadcast_path(spark, name):
+    """Beyond the broadcast cap the joins are salted; results must not change."""
+    expected = _digest(*_collect(entry.queries()[name](spark, SF)))
+    spark.conf.set("spark.affinity.broadcastMaxRows", "0")
+    spark.conf.set("spark.affinity.saltBuckets", "4")
+    try:
+        df = entry.queries()[name](spark, SF)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        got = _digest(*_collect(df))
+    finally:
+        spark.conf.unset("spark.affinity.broadcastMaxRows")
+        spark.conf.unset("spark.affinity.saltBuckets")
+    assert got == expected
+    assert "_salt" in plan
+
+
+def _collect(df):
+    return df.columns, [tuple(r) for r in df.collect()]
