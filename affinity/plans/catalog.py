@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.kl import kl_dense
 from ..operators import tags as tag_ops
 from ..operators.distribution import (dense_distribution, label_tag_distribution,
                                       user_tag_distribution)
@@ -112,6 +113,10 @@ def q_top_tags_user(spark, sf_dir):
     return top_tags(_user_dist(_inputs(spark, sf_dir)), "up_id", K)
 
 
+def q_top_tags_city(spark, sf_dir):
+    return top_tags(_label_dist(spark, sf_dir, "city"), "reside_city", K)
+
+
 def q_score_items_user(spark, sf_dir):
     i = _inputs(spark, sf_dir)
     selected = sample_tags(_user_dist(i, RECENT_FROM, TO_DATE), "up_id", K, SEED)
@@ -202,6 +207,10 @@ def q_precision_city(spark, sf_dir):
     return _precision(spark, sf_dir, "city")
 
 
+def q_precision_phone(spark, sf_dir):
+    return _precision(spark, sf_dir, "phone")
+
+
 def q_precision_user_holdout(spark, sf_dir):
     return _precision(spark, sf_dir, "user", "holdout")
 
@@ -217,6 +226,17 @@ def q_kl_user(spark, sf_dir):
     return kl.select("up_id", F.round("kl", ROUND).alias("kl"))
 
 
+def q_kl_user_dense(spark, sf_dir):
+    """The dense-array form of the KL operator (same values as ``kl_user``)."""
+    i = _inputs(spark, sf_dir)
+    old = dense_distribution(user_tag_distribution(i.history, i.items, None, KL_SPLIT),
+                             "up_id", N_TAGS)
+    new = dense_distribution(user_tag_distribution(i.history, i.items, KL_SPLIT, TO_DATE),
+                             "up_id", N_TAGS).withColumnRenamed("prob", "q")
+    kl = old.join(new, "up_id").select("up_id", kl_dense(F.col("prob"), F.col("q")).alias("kl"))
+    return kl.select("up_id", F.round("kl", ROUND).alias("kl"))
+
+
 def q_kl_summary(spark, sf_dir):
     s = kl_summary(_kl(_inputs(spark, sf_dir)))
     return s.select("n_users", "n_undefined",
@@ -255,6 +275,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sampled_tags_user": q_sampled_tags_user,
     "sampled_tags_city": q_sampled_tags_city,
     "top_tags_user": q_top_tags_user,
+    "top_tags_city": q_top_tags_city,
     "score_items_user": q_score_items_user,
     "recommend_user": q_recommend_user,
     "recommend_user_top": q_recommend_user_top,
@@ -267,8 +288,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "holdout_split": q_holdout_split,
     "precision_user": q_precision_user,
     "precision_city": q_precision_city,
+    "precision_phone": q_precision_phone,
     "precision_user_holdout": q_precision_user_holdout,
     "kl_user": q_kl_user,
+    "kl_user_dense": q_kl_user_dense,
     "kl_summary": q_kl_summary,
     "weekly_drift": q_weekly_drift,
     "saved_distribution": q_saved_distribution,

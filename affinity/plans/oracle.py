@@ -293,6 +293,10 @@ def build() -> dict[str, str]:
     d = q.label_dist("dl", "reside_city", "hist", DIST_FROM, TO_DATE)
     s = q.sample("sc", d, "reside_city")
     out["sampled_tags_city"] = q.render(f"SELECT reside_city, tag_idx, n, total, prob FROM {s}")
+    q = Q()
+    d = q.label_dist("dl", "reside_city", "hist", DIST_FROM, TO_DATE)
+    t = q.top("tc", d, "reside_city")
+    out["top_tags_city"] = q.render(f"SELECT reside_city, tag_idx, n, total, prob FROM {t}")
     q = _dist_user()
     t = q.top("tu", "du", "up_id")
     out["top_tags_user"] = q.render(f"SELECT up_id, tag_idx, n, total, prob FROM {t}")
@@ -345,6 +349,7 @@ def build() -> dict[str, str]:
 
     for name, label, split in (("precision_user", "user", "code"),
                                ("precision_city", "reside_city", "code"),
+                               ("precision_phone", "phone_type", "code"),
                                ("precision_user_holdout", "user", "holdout")):
         q = Q()
         out[name] = q.render(q.precision("pr", label, split))
@@ -358,6 +363,8 @@ def build() -> dict[str, str]:
     q, k = kl_query()
     out["kl_user"] = q.render(f"SELECT up_id, round(kl, {ROUND}) AS kl FROM {k}")
     q, k = kl_query()
+    out["kl_user_dense"] = q.render(f"SELECT up_id, round(kl, {ROUND}) AS kl FROM {k}")
+    q, k = kl_query()
     out["kl_summary"] = q.render(f"SELECT {_summary_cols()} FROM {k}")
 
     q = Q()
