@@ -10,6 +10,10 @@ An item's score for a user is ``sum(n(t))`` over the user's selected tags
   generated once, from its *first* selected tag in the user's order
   (n desc, tag asc); no aggregation over pairs is needed.
 
+* Signatures.  Items with the same tag list score the same for every user,
+  so the second pass scores (user, signature) pairs and expands only the
+  signatures that clear the floor to their items.
+
 * Score floor.  A first pass scores only the ``L + min(w(u), 64)`` most
   popular items of each selected tag (``w(u)`` = items the user has seen), drops seen
   pairs and takes the L-th best score theta(u).  The true L-th best unseen
@@ -17,8 +21,9 @@ An item's score for a user is ``sum(n(t))`` over the user's selected tags
   <= L.  In the second pass a tag t_i (in the user's order) can only start
   such a pair if ``mult * sum(n of t_i and all later tags) >= theta(u)``
   (``mult`` = the largest multiplicity of one tag on one item), so the
-  postings of the other tags are never read, and pairs below theta(u) are
-  dropped before the anti join and the rank sort.
+  postings of the other tags are never read, and (user, signature) pairs
+  below theta(u) are dropped before the expansion, the anti join and the
+  rank sort.
 
 Ranks (ties included) are exactly those of ranking every candidate: every
 pair that beats a pair of rank <= L scores at least theta(u) as well.
@@ -53,6 +58,21 @@ def item_postings(side: DataFrame) -> DataFrame:
     return posting.withColumn("prank", F.rank().over(order))
 
 
+def item_signatures(posting: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(signature postings (tag_idx, sig, tags), items by signature (sig, video_id, pop)).
+
+    An item's score for any user depends only on its tag list, so items with
+    the same list (its signature) are scored once per user.  The number of
+    signatures is bounded by the tag combinatorics, not by the catalogue
+    size.  Both frames are subsets of the size-checked item side.
+    """
+    items = (posting.select("video_id", "pop", "tags").dropDuplicates(["video_id"])
+             .withColumn("sig", F.array_join(F.array_sort("tags"), ",")))
+    sig_posting = (items.select("sig", "tags").dropDuplicates(["sig"])
+                   .select("sig", "tags", F.explode(F.array_distinct("tags")).alias("tag_idx")))
+    return sig_posting, items.select("sig", "video_id", "pop")
+
+
 def max_multiplicity(long: DataFrame) -> Column:
     """Scalar subquery: the most times one tag is listed for one item."""
     per = long.groupBy("video_id", "tag_idx").agg(F.count(F.lit(1)).alias("_r"))
@@ -108,6 +128,7 @@ def top_candidates(selected: DataFrame, n: int, posting: DataFrame,
             .persist(StorageLevel.MEMORY_AND_DISK))
     rows = info.select("up_id", "_m", "total", "lim", "w",
                        F.explode("_m").alias("tag_idx", "n"))
+    sig_posting, items_by_sig = item_signatures(posting)
 
     def generate(df: DataFrame, side: DataFrame, condition: Column) -> DataFrame:
         pairs = join_small(df, side, "tag_idx", small_rows=posting_rows,
@@ -139,8 +160,11 @@ def top_candidates(selected: DataFrame, n: int, posting: DataFrame,
                   .rowsBetween(Window.unboundedPreceding, Window.currentRow))
         rows = (rows.withColumn("_suffix", F.sum("n").over(suffix))
                 .filter(F.col("_suffix") * mult >= F.col("theta")))
-        cand = generate(rows, posting, F.lit(True)).filter(F.col("score") >= F.col("theta"))
+        by_sig = generate(rows, sig_posting, F.lit(True)).filter(F.col("score") >= F.col("theta"))
     else:
-        cand = generate(rows, posting, F.lit(True))
+        by_sig = generate(rows, sig_posting, F.lit(True))
+    # expand the surviving (user, signature) pairs to their items
+    cand = join_small(by_sig.select("up_id", "sig", "score", "total", "lim"), items_by_sig,
+                      "sig", small_rows=posting_rows, salt_from=["up_id"])
     cand = cand.select("up_id", "video_id", "score", "total", "pop", "lim")
     return unseen(cand)

@@ -110,7 +110,8 @@ def user_recommendations(dist: DataFrame, pop: DataFrame, items: ItemTags, seen:
     selected = select_tags(dist, "up_id", k, seed, mode)
     integral = not isinstance(selected.schema["n"].dataType,
                               (DoubleType, FloatType, DecimalType))
-    posting = item_postings(item_side(items, pop))
+    # small side (size-checked), read by the probe, the signatures and the expansion
+    posting = item_postings(item_side(items, pop)).persist(StorageLevel.MEMORY_AND_DISK)
     cand = top_candidates(selected, n, posting, items.long_rows(), max_multiplicity(items.long),
                           seen_by_user(seen), seen_counts(seen), prior)
     prob_sum = (F.col("score") / F.col("total")) if integral else F.col("score")
