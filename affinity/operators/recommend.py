@@ -66,8 +66,13 @@ def score_items(selected: DataFrame, key: str, side: DataFrame,
 
 
 def seen_by_user(seen: DataFrame) -> DataFrame:
-    """(up_id, video_id) of the seen history, hash-partitioned by user."""
-    return seen.select("up_id", "video_id").repartition("up_id")
+    """Distinct (up_id, video_id) of the seen history, hash-partitioned by user.
+
+    Pairs are de-duplicated first (map-side partial aggregation), so a user
+    with a huge share of all events still brings at most one row per item
+    into its partition (bounded by the catalogue, not by the event count).
+    """
+    return seen.select("up_id", "video_id").distinct().repartition("up_id")
 
 
 def exclude_seen(cand: DataFrame, seen: DataFrame) -> DataFrame:
