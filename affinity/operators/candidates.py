@@ -92,79 +92,93 @@ def _score(m: Column, tags: Column, integral: bool) -> Column:
     return F.aggregate(tags, zero, lambda acc, s: acc + F.coalesce(F.try_element_at(m, s), zero))
 
 
-def user_tag_maps(selected: DataFrame) -> DataFrame:
-    """(up_id, _m MAP<tag_idx, n>, total): at most k entries per user."""
-    return selected.groupBy("up_id").agg(
+def user_tag_maps(selected: DataFrame, key: str = "up_id") -> DataFrame:
+    """(key, _m MAP<tag_idx, n>, total): at most k entries per key."""
+    return selected.groupBy(key).agg(
         F.map_from_entries(F.collect_list(F.struct("tag_idx", "n"))).alias("_m"),
         F.max("total").alias("total"))
 
 
 def top_candidates(selected: DataFrame, n: int, posting: DataFrame,
-                   posting_rows: int | None, mult: Column, seen_pairs: DataFrame,
-                   seen_counts: DataFrame, prior: DataFrame | None = None) -> DataFrame:
-    """(up_id, video_id, score, total, pop, lim): unseen pairs that can rank <= lim.
-
-    ``selected`` (up_id, tag_idx, n, total) -- the drawn tags;
-    ``prior`` (up_id, n_prior) -- rows a user already has: ``lim = n - n_prior``
-    and users with ``lim <= 0`` are skipped (no prior: ``lim = n``);
-    ``seen_pairs`` (up_id, video_id) partitioned by user.
-
-    The per-user frame (map of drawn tags, list length, seen count) is the
-    single producer of both passes and is persisted (users x k entries), so
+                   posting_rows: int | None, mult: Column,
+                   seen_pairs: DataFrame | None = None, seen_counts: DataFrame | None = None,
+                   prior: DataFrame | None = None, key: str = "up_id",
+                   limits: DataFrame | None = None) -> DataFrame:
+    """(key, video_id, score, total, pop, lim): (unseen) pairs that can rank <= lim.
+
+    ``selected`` (key, tag_idx, n, total) -- the drawn tags of each user or label;
+    ``limits`` (key, lim) -- list length per key (keys without one are skipped);
+    otherwise ``prior`` (key, n_prior) gives ``lim = n - n_prior`` (keys with
+    ``lim <= 0`` are skipped), and without either ``lim = n``;
+    ``seen_pairs`` (up_id, video_id) partitioned by user, ``seen_counts``
+    (up_id, w) -- user lists only; label lists pass neither.
+
+    The per-key frame (map of drawn tags, list length, seen count) is the
+    single producer of both passes and is persisted (keys x k entries), so
     the distribution and the draws are computed once.
     """
     integral = not isinstance(selected.schema["n"].dataType,
                               (DoubleType, FloatType, DecimalType))
-    info = user_tag_maps(selected)
-    if prior is None:
+    info = user_tag_maps(selected, key)
+    if limits is not None:
+        info = info.join(limits.select(key, F.col("lim").cast("bigint").alias("lim")), key)
+    elif prior is None:
         info = info.withColumn("lim", F.lit(int(n)).cast("bigint"))
     else:
-        info = (info.join(prior.select("up_id", "n_prior"), "up_id", "left")
+        info = (info.join(prior.select(key, "n_prior"), key, "left")
                 .withColumn("lim", (F.lit(int(n)) - F.coalesce(F.col("n_prior"), F.lit(0)))
                             .cast("bigint"))
                 .filter(F.col("lim") > 0).drop("n_prior"))
-    info = (info.join(seen_counts, "up_id", "left")
-            .withColumn("w", F.coalesce(F.col("w"), F.lit(0)).cast("bigint"))
-            .persist(StorageLevel.MEMORY_AND_DISK))
-    rows = info.select("up_id", "_m", "total", "lim", "w",
-                       F.explode("_m").alias("tag_idx", "n"))
+    if seen_counts is not None:
+        info = (info.join(seen_counts, key, "left")
+                .withColumn("w", F.coalesce(F.col("w"), F.lit(0)).cast("bigint")))
+    else:
+        info = info.withColumn("w", F.lit(0).cast("bigint"))
+    info = info.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = info.select(key, "_m", "total", "lim", "w", F.explode("_m").alias("tag_idx", "n"))
     sig_posting, items_by_sig = item_signatures(posting)
 
     def generate(df: DataFrame, side: DataFrame, condition: Column) -> DataFrame:
         pairs = join_small(df, side, "tag_idx", small_rows=posting_rows,
-                           salt_from=["up_id"], condition=condition)
+                           salt_from=[key], condition=condition)
         pairs = pairs.filter(_first_tag(F.col("_m"), F.col("tag_idx"), F.col("n"),
                                         F.col("tags")))
         return pairs.withColumn("score", _score(F.col("_m"), F.col("tags"), integral))
 
     def unseen(df: DataFrame) -> DataFrame:
+        if seen_pairs is None:
+            return df
         return df.join(seen_pairs.hint("shuffle_hash"), ["up_id", "video_id"], "left_anti")
 
     if integral:
         # pass 1: score floor from the most popular items of each selected tag.
-        # The probe depth is capped (PROBE_SLACK) so its join stays users x k x
-        # (n + slack) rows; a user left with fewer than lim unseen probe items
-        # gets theta = 0 (no pruning), which is still exact.
-        shallow = posting.filter(F.col("prank") <= F.lit(int(n) + PROBE_SLACK))
+        # The probe depth is capped (PROBE_SLACK beyond the list length) so its
+        # join stays keys x k x (lim + slack) rows; a key left with fewer than
+        # lim (unseen) probe items gets theta = 0 (no pruning), still exact.
+        if limits is None:
+            deepest = F.lit(int(n) + PROBE_SLACK)
+        else:
+            deepest = limits.select(F.max("lim") + PROBE_SLACK).scalar()
+        shallow = posting.filter(F.col("prank") <= deepest)
         depth = F.col("lim") + F.least(F.col("w"), F.lit(PROBE_SLACK).cast("bigint"))
         probe = generate(rows, shallow, F.col("prank") <= depth)
-        probe = unseen(probe.select("up_id", "video_id", "score", "lim"))
-        order = Window.partitionBy("up_id").orderBy(F.col("score").desc())
+        probe = unseen(probe.select(key, "video_id", "score", "lim"))
+        order = Window.partitionBy(key).orderBy(F.col("score").desc())
         floor = (probe.withColumn("_k", F.row_number().over(order))
                  .filter(F.col("_k") == F.col("lim"))
-                 .select("up_id", F.col("score").alias("theta")))
-        rows = (rows.join(floor, "up_id", "left")
+                 .select(key, F.col("score").alias("theta")))
+        rows = (rows.join(floor, key, "left")
                 .withColumn("theta", F.coalesce(F.col("theta"), F.lit(0)).cast("bigint")))
         # keep tag t_i only if t_i and the tags after it can still reach theta
-        suffix = (Window.partitionBy("up_id").orderBy(F.col("n").asc(), F.col("tag_idx").desc())
+        suffix = (Window.partitionBy(key).orderBy(F.col("n").asc(), F.col("tag_idx").desc())
                   .rowsBetween(Window.unboundedPreceding, Window.currentRow))
         rows = (rows.withColumn("_suffix", F.sum("n").over(suffix))
                 .filter(F.col("_suffix") * mult >= F.col("theta")))
         by_sig = generate(rows, sig_posting, F.lit(True)).filter(F.col("score") >= F.col("theta"))
     else:
         by_sig = generate(rows, sig_posting, F.lit(True))
-    # expand the surviving (user, signature) pairs to their items
-    cand = join_small(by_sig.select("up_id", "sig", "score", "total", "lim"), items_by_sig,
-                      "sig", small_rows=posting_rows, salt_from=["up_id"])
-    cand = cand.select("up_id", "video_id", "score", "total", "pop", "lim")
+    # expand the surviving (key, signature) pairs to their items
+    cand = join_small(by_sig.select(key, "sig", "score", "total", "lim"), items_by_sig,
+                      "sig", small_rows=posting_rows, salt_from=[key])
+    cand = cand.select(key, "video_id", "score", "total", "pop", "lim")
     return unseen(cand)

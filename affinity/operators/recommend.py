@@ -145,48 +145,106 @@ def seen_counts(seen: DataFrame) -> DataFrame:
 
 
 def label_candidates(label: str, dist: DataFrame, pop: DataFrame, items: ItemTags,
-                     k: int, seed: int = 42, mode: str = "sample") -> DataFrame:
-    """(label, video_id, prob_sum, pop, label_rank) per label (O17 first half)."""
+                     k: int, seed: int = 42, mode: str = "sample",
+                     cut: DataFrame | None = None) -> DataFrame:
+    """(label, video_id, prob_sum, pop, label_rank) per label (O17 first half).
+
+    With ``cut`` (label, lim) only the rows with ``label_rank <= lim`` are
+    produced, through the exact score-floor generator (signatures scored per
+    label, expanded only above the floor); without it every candidate is
+    scored and ranked.
+    """
     col = label_column(label)
     selected = select_tags(dist, col, k, seed, mode)
-    cand = score_items(selected, col, item_side(items, pop), items.long_rows())
+    if cut is None:
+        cand = score_items(selected, col, item_side(items, pop), items.long_rows())
+    else:
+        integral = not isinstance(selected.schema["n"].dataType,
+                                  (DoubleType, FloatType, DecimalType))
+        posting = item_postings(item_side(items, pop)).persist(StorageLevel.MEMORY_AND_DISK)
+        top = top_candidates(selected, 0, posting, items.long_rows(),
+                             max_multiplicity(items.long), key=col, limits=cut)
+        prob_sum = (F.col("score") / F.col("total")) if integral else F.col("score")
+        cand = top.select(col, "video_id", prob_sum.alias("prob_sum"), "pop", "lim")
     order = Window.partitionBy(col).orderBy(*rank_order())
-    return cand.withColumn("label_rank", F.rank().over(order))
+    ranked = cand.withColumn("label_rank", F.rank().over(order))
+    if cut is not None:
+        ranked = ranked.filter(F.col("label_rank") <= F.col("lim")).drop("lim")
+    return ranked
+
+
+def _label_people(label: str, profile: DataFrame, seen: DataFrame,
+                  users: DataFrame | None) -> DataFrame:
+    """(up_id, label, w[, lim]): profile rows carrying the label, with seen counts."""
+    col = label_column(label)
+    people = profile.select(F.col("id").alias("up_id"), col).filter(F.col(col).isNotNull())
+    if users is not None:
+        people = people.join(users.select("up_id", "lim"), "up_id")
+    return (people.join(seen_counts(seen), "up_id", "left")
+            .withColumn("w", F.coalesce(F.col("w"), F.lit(0)).cast("bigint")))
+
+
+def label_cut(label: str, people: DataFrame, n: int) -> DataFrame:
+    """(label, lim): ``n + max w(u)`` over the label's users -- the deepest
+    label rank any of its users can still receive."""
+    col = label_column(label)
+    return people.groupBy(col).agg((F.max("w") + F.lit(int(n))).alias("lim"))
 
 
-def expand_label_to_users(label: str, cand: DataFrame, profile: DataFrame,
-                          seen: DataFrame, n: int,
-                          users: DataFrame | None = None) -> DataFrame:
+def expand_label_to_users(label: str, cand: DataFrame, people: DataFrame,
+                          n: int, restricted: bool = False) -> DataFrame:
     """Label candidates -> (up_id, video_id, prob_sum, pop[, lim]) per user.
 
     Cut: if item x ends in user u's top n, at most n - 1 unseen items beat
     it, and at most w(u) seen ones, so its rank in u's label list is at most
-    n + w(u).  Only those rows are fanned out, so the join emits at most
-    n + w(u) rows per user and label (exact, ties included).
+    n + w(u).  ``cand`` holds label ranks up to ``n + max w``; the fan-out
+    keeps ``label_rank <= n + w(u)``, so it emits at most n + w(u) rows per
+    user and label (exact, ties included).
     """
     col = label_column(label)
-    people = profile.select(F.col("id").alias("up_id"), col).filter(F.col(col).isNotNull())
-    if users is not None:
-        people = people.join(users.select("up_id", "lim"), "up_id")
-    people = (people.join(seen_counts(seen), "up_id", "left")
-              .withColumn("w", F.coalesce(F.col("w"), F.lit(0)).cast("bigint")))
-    cut = people.groupBy(col).agg((F.max("w") + F.lit(int(n))).alias("_cut"))
-    kept = (cand.join(cut, col).filter(F.col("label_rank") <= F.col("_cut"))
-            .drop("_cut").persist())
+    kept = cand.persist(StorageLevel.MEMORY_AND_DISK)
     cond = F.col("label_rank") <= F.lit(int(n)) + F.col("w")
     fan = join_small(people, kept, col, small_rows=bounded_rows(kept, broadcast_cap(kept)),
                      salt_from=["up_id"], condition=cond)
-    extra = ["lim"] if users is not None else []
+    extra = ["lim"] if restricted else []
     return fan.select("up_id", "video_id", "prob_sum", "pop", *extra)
 
 
+LABEL_DIRECT_CONF = "spark.affinity.labelDirectMaxPairs"
+LABEL_DIRECT_MAX_PAIRS = 20_000_000
+
+
+def _label_volume_small(label: str, profile: DataFrame, items: ItemTags) -> bool:
+    """True if (labels x item-tag rows) is proven below the direct-scoring cap.
+
+    The labels of a distribution are a subset of the profile's labels, so a
+    capped distinct count on the profile bounds them without running the
+    distribution.
+    """
+    cap = int(profile.sparkSession.conf.get(LABEL_DIRECT_CONF, str(LABEL_DIRECT_MAX_PAIRS)))
+    item_rows = items.long_rows()
+    if item_rows is None or item_rows == 0:
+        return item_rows == 0
+    labels = bounded_rows(profile.select(label_column(label)).distinct(),
+                          max(cap // item_rows, 0))
+    return labels is not None
+
+
 def recommend_by_label(label: str, dist: DataFrame, pop: DataFrame, items: ItemTags,
                        profile: DataFrame, seen: DataFrame, k: int, n: int,
                        seed: int = 42, mode: str = "sample",
                        users: DataFrame | None = None, ties: str = "keep") -> DataFrame:
     """(up_id, video_id, prob_sum, pop, rank) from per-label distributions."""
-    cand = label_candidates(label, dist, pop, items, k, seed, mode)
-    per_user = expand_label_to_users(label, cand, profile, seen, n, users)
+    people = _label_people(label, profile, seen, users)
+    cut = label_cut(label, people, n)
+    if _label_volume_small(label, profile, items):
+        # labels x items is proven small: score every candidate, cut by rank
+        cand = label_candidates(label, dist, pop, items, k, seed, mode)
+        cand = (cand.join(cut, label_column(label))
+                .filter(F.col("label_rank") <= F.col("lim")).drop("lim"))
+    else:
+        cand = label_candidates(label, dist, pop, items, k, seed, mode, cut=cut)
+    per_user = expand_label_to_users(label, cand, people, n, users is not None)
     ranked = rank_top_n(exclude_seen(per_user, seen), n, ties=ties,
                         limit_col="lim" if users is not None else None)
     return ranked.select("up_id", "video_id", "prob_sum", "pop", "rank")

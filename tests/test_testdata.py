@@ -132,3 +132,15 @@ def test_salted_path_equals_broadcast_path(spark, name):
 
 def _collect(df):
     return df.columns, [tuple(r) for r in df.collect()]
+
+
+@pytest.mark.parametrize("name", ["recommend_city", "recommend_phone_two_window"])
+def test_pruned_label_path_equals_direct_path(spark, name):
+    """Label lists through the score-floor generator give the same rows."""
+    expected = _digest(*_collect(entry.queries()[name](spark, SF)))
+    spark.conf.set("spark.affinity.labelDirectMaxPairs", "0")
+    try:
+        got = _digest(*_collect(entry.queries()[name](spark, SF)))
+    finally:
+        spark.conf.unset("spark.affinity.labelDirectMaxPairs")
+    assert got == expected
