@@ -32,6 +32,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app: str = "affinity", extra: dict | None = None) -> SparkSession:
     builder = (SparkSession.builder.master(master).appName(app)
                .config("spark.ui.enabled", "false")
+               .config("spark.sql.ui.retainedExecutions", "20")
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions)))
     for key, value in {**PLAN_CONF, **(extra or {})}.items():
         builder = builder.config(key, value)
