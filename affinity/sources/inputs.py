@@ -85,13 +85,17 @@ class ItemTags:
     n_tags: int
     vocabulary_size: int
     _long_rows: int | None = field(default=None, repr=False)
-    _counted: bool = field(default=False, repr=False)
+    _counted: int | None = field(default=None, repr=False)
 
     def long_rows(self) -> int | None:
-        """Proven bound on ``long`` rows, ``None`` above the broadcast cap."""
-        if not self._counted:
-            self._long_rows = bounded_rows(self.long.select("video_id"), broadcast_cap(self.long))
-            self._counted = True
+        """Proven bound on ``long`` rows, ``None`` above the broadcast cap.
+
+        Counted once per cap value (the cap is a session setting).
+        """
+        cap = broadcast_cap(self.long)
+        if self._counted != cap:
+            self._long_rows = bounded_rows(self.long.select("video_id"), cap)
+            self._counted = cap
         return self._long_rows
 
     def dense(self) -> DataFrame:
