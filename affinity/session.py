@@ -64,3 +64,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if base.startswith("file:"):
         base = base[len("file:"):]
     return os.path.join(base, "affinity", name)
+
+
+def release(spark: SparkSession) -> None:
+    """Drop the small intermediates the operators persist.
+
+    The recommenders persist per-user tag maps, item postings, recent lists
+    and label candidate lists (all at most users x k or the size-checked item
+    side) so that a plan reads them once; long-lived sessions call this
+    between jobs.
+    """
+    spark.catalog.clearCache()
