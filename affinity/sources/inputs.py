@@ -49,14 +49,20 @@ def present(df: DataFrame, name: str) -> Column:
     return cond
 
 
-def load_profile(source, spark: SparkSession | None = None) -> DataFrame:
-    """O1: (id, reside_city, phone_type); no filtering, an empty label is a label."""
+def load_profile(source, spark: SparkSession | None = None,
+                 dedupe: bool = False) -> DataFrame:
+    """O1: (id, reside_city, phone_type); no filtering, an empty label is a label.
+
+    Duplicate profile rows multiply counts as in the reference (bag
+    semantics); ``dedupe=True`` drops exact duplicates.
+    """
     df = _frame(spark, source)
     cols = [F.col("id")]
     for name in ("reside_city", "phone_type"):
         cols.append(F.col(name) if name in df.columns
                     else F.lit(None).cast("string").alias(name))
-    return df.select(*cols)
+    out = df.select(*cols)
+    return out.dropDuplicates() if dedupe else out
 
 
 def load_history(source, spark: SparkSession | None = None) -> DataFrame:
@@ -102,14 +108,19 @@ class ItemTags:
         return tag_ops.multi_hot(self.rows, self.dictionary, self.n_tags)
 
 
-def load_item_tags(source, n_tags: int, spark: SparkSession | None = None) -> ItemTags:
+def load_item_tags(source, n_tags: int, spark: SparkSession | None = None,
+                   dedupe: bool = False) -> ItemTags:
     """O3 (+O4, O6): clean the item -> CSV-tags table and index its vocabulary.
 
     Raises ``ValueError`` when the data holds more distinct tags than the
     vector length ``n_tags`` (the reference would index past its array).
+    Repeated rows of an item count once each (bag semantics, as in the
+    reference); ``dedupe=True`` drops exact duplicate rows first.
     """
     df = _frame(spark, source).select("video_id", "video_second_class")
     rows = df.filter(present(df, "video_second_class") & present(df, "video_id"))
+    if dedupe:
+        rows = rows.dropDuplicates()
     vocabulary = tag_ops.tag_tokens(rows).select("tag").distinct()
     size = bounded_rows(vocabulary, n_tags)
     if size is None:
@@ -127,6 +138,6 @@ class Inputs(NamedTuple):
 
 
 def load_inputs(profile, history, item_tags, n_tags: int,
-                spark: SparkSession | None = None) -> Inputs:
-    return Inputs(load_profile(profile, spark), load_history(history, spark),
-                  load_item_tags(item_tags, n_tags, spark))
+                spark: SparkSession | None = None, dedupe: bool = False) -> Inputs:
+    return Inputs(load_profile(profile, spark, dedupe), load_history(history, spark),
+                  load_item_tags(item_tags, n_tags, spark, dedupe))

@@ -220,3 +220,28 @@ def test_zero_probability_never_drawn(spark):
                                   "up_id STRING, prob ARRAY<DOUBLE>")
     drawn = {r.tag_idx for r in sample_tags(long_from_dense(given, "up_id"), "up_id", 5).collect()}
     assert drawn == {0, 2}
+
+
+def test_dedupe_option(spark):
+    tags = tags_frame(spark, [("v1", "a"), ("v1", "a")])
+    profile = spark.createDataFrame([("u", "X", "p"), ("u", "X", "p")], PROFILE_SCHEMA)
+    history = history_frame(spark, [("u", "v1", "2017-01-01")])
+    bag = load_inputs(profile, history, tags, 2)
+    assert {r.n for r in label_tag_distribution(
+        "city", bag.profile, bag.history, bag.items).collect()} == {4}
+    deduped = load_inputs(profile, history, tags, 2, dedupe=True)
+    assert {r.n for r in label_tag_distribution(
+        "city", deduped.profile, deduped.history, deduped.items).collect()} == {1}
+
+
+def test_empty_tag_table_gives_empty_results(spark):
+    i = load_inputs(spark.createDataFrame([("u", "X", "p")], PROFILE_SCHEMA),
+                    history_frame(spark, [("u", "v1", "2017-01-01")]),
+                    tags_frame(spark, [("v1", ""), ("v2", None)]), 3)
+    dist = user_tag_distribution(i.history, i.items)
+    pop = item_popularity(i.history)
+    assert dist.count() == 0
+    assert recommend_by_user(dist, pop, i.items, i.history, 2, 2).count() == 0
+    city = label_tag_distribution("city", i.profile, i.history, i.items)
+    assert recommend_by_label("city", city, pop, i.items, i.profile, i.history, 2, 2).count() == 0
+    assert recommend_user_two_window(i.history, i.items, 2, 2, "20170101", 7).count() == 0
