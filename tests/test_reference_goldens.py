@@ -79,3 +79,14 @@ def test_kl_summary(spark):
     dense = old.join(new.withColumnRenamed("prob", "q"), "up_id").select(
         "up_id", kl_dense("prob", "q").alias("kl"))
     assert {r.up_id: round(r.kl, 12) for r in dense.collect()} == {"1": 0.1, "2": 0.2}
+
+
+def test_sql_views(spark, fixture_inputs):
+    from affinity.plans.views import register_views
+    register_views(fixture_inputs, FROM_DATE, TO_DATE, prefix="fx_")
+    rows = spark.sql("""
+        SELECT d.reside_city, t.tag, d.prob
+        FROM fx_city_tag_dist d JOIN fx_tag_dictionary t ON d.tag_idx = t.tag_idx
+        ORDER BY t.tag""").collect()
+    assert [(r.reside_city, r.tag, r.prob) for r in rows] == [
+        ("Beijing", "0", 0.4), ("Beijing", "1", 0.4), ("Beijing", "2", 0.2)]
