@@ -44,7 +44,7 @@ OFFSET_WEEKS = 0
 ROUND = 6                            # digits kept for log-based doubles
 
 
-_LOADED: dict[tuple[int, str], Inputs] = {}
+_LOADED: dict[str, tuple[SparkSession, str, Inputs]] = {}
 
 
 def _inputs(spark: SparkSession, sf_dir: str) -> Inputs:
@@ -52,11 +52,14 @@ def _inputs(spark: SparkSession, sf_dir: str) -> Inputs:
 
     Loading runs the capped counts that prove the dictionary and item-side
     bounds; like a job that loads its inputs once, later queries reuse them.
+    A new session (or a restarted application) loads again.
     """
-    key = (id(spark), sf_dir)
-    if key not in _LOADED:
-        _LOADED[key] = testdata_inputs(spark, sf_dir, N_TAGS)
-    return _LOADED[key]
+    app = spark.sparkContext.applicationId
+    hit = _LOADED.get(sf_dir)
+    if hit is None or hit[0] is not spark or hit[1] != app:
+        hit = (spark, app, testdata_inputs(spark, sf_dir, N_TAGS))
+        _LOADED[sf_dir] = hit
+    return hit[2]
 
 
 def q_history_clean(spark, sf_dir):
