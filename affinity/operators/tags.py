@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import join_small
+
 TAG_SEPARATOR = ","
 
 
@@ -35,16 +37,19 @@ def tag_dictionary(vocabulary: DataFrame) -> DataFrame:
         "tag", (F.row_number().over(order) - 1).cast("int").alias("tag_idx"))
 
 
-def item_tags_long(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
+def item_tags_long(rows: DataFrame, dictionary: DataFrame, dict_rows: int) -> DataFrame:
     """(video_id, tag, tag_idx): the multi-hot table in long form.
 
-    The dictionary is at most D rows (proven by the loader), so it is
-    broadcast and the item table is never shuffled here.
+    The dictionary holds ``dict_rows`` (<= D) rows, counted by the loader: it
+    is broadcast under the session cap, so the item table is not shuffled
+    here (a salted join beyond it).
     """
-    return tag_tokens(rows).join(F.broadcast(dictionary), "tag")
+    return join_small(tag_tokens(rows), dictionary, "tag", small_rows=dict_rows,
+                      salt_from=["video_id"])
 
 
-def multi_hot(rows: DataFrame, dictionary: DataFrame, n_tags: int) -> DataFrame:
+def multi_hot(rows: DataFrame, dictionary: DataFrame, n_tags: int,
+              dict_rows: int) -> DataFrame:
     """(video_id, tags ARRAY<TINYINT>) of length D, one row per tag-table row.
 
     Identical source rows are grouped once and replicated back, so the output
@@ -54,7 +59,8 @@ def multi_hot(rows: DataFrame, dictionary: DataFrame, n_tags: int) -> DataFrame:
         F.count(F.lit(1)).alias("_dup"))
     keyed = (grouped.select("video_id", "video_second_class", "_dup",
                             F.explode(_token_set("video_second_class")).alias("tag"))
-             .join(F.broadcast(dictionary), "tag"))
+             .transform(lambda df: join_small(df, dictionary, "tag", small_rows=dict_rows,
+                                              salt_from=["video_id"])))
     sets = keyed.groupBy("video_id", "video_second_class", "_dup").agg(
         F.collect_set("tag_idx").alias("_idx"))
     vector = F.transform(F.sequence(F.lit(0), F.lit(int(n_tags) - 1)),

@@ -105,7 +105,7 @@ class ItemTags:
         return self._long_rows
 
     def dense(self) -> DataFrame:
-        return tag_ops.multi_hot(self.rows, self.dictionary, self.n_tags)
+        return tag_ops.multi_hot(self.rows, self.dictionary, self.n_tags, self.vocabulary_size)
 
 
 def load_item_tags(source, n_tags: int, spark: SparkSession | None = None,
@@ -126,7 +126,7 @@ def load_item_tags(source, n_tags: int, spark: SparkSession | None = None,
     if size is None:
         raise ValueError(f"more than n_tags={n_tags} distinct tags in the item table")
     dictionary = tag_ops.tag_dictionary(vocabulary)
-    long = tag_ops.item_tags_long(rows, dictionary)
+    long = tag_ops.item_tags_long(rows, dictionary, size)
     return ItemTags(rows=rows, dictionary=dictionary, long=long, n_tags=int(n_tags),
                     vocabulary_size=size)
 
