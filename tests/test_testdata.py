@@ -144,3 +144,13 @@ def test_pruned_label_path_equals_direct_path(spark, name):
     finally:
         spark.conf.unset("spark.affinity.labelDirectMaxPairs")
     assert got == expected
+
+
+def test_label_fan_out_is_a_broadcast_join(spark):
+    """Users meet the (cut) label list through a broadcast; they are never
+    shuffled by label, so a city holding a third of all users stays spread."""
+    df = entry.queries()["recommend_city"](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [reside_city" in plan
+    fan_out = plan.split("BroadcastHashJoin [reside_city")[1].split("BroadcastExchange")[0]
+    assert "Exchange hashpartitioning(reside_city" not in fan_out
