@@ -130,11 +130,19 @@ def recommend_by_user(dist: DataFrame, pop: DataFrame, items: ItemTags, seen: Da
     """(up_id, video_id, prob_sum, pop, rank) from per-user distributions.
 
     ``prior`` (up_id, n_prior) caps each user at ``n - n_prior`` rows and
-    skips users already at n (the older-window fill of O19).  Candidates come
-    from the exact score-floor generator in ``candidates.py``: only pairs
-    that can reach rank <= n are materialised, anti-joined and ranked.
+    skips users already at n (the older-window fill of O19).  Below a proven
+    users x items bound every candidate is scored directly; above it (and
+    for the fill) candidates come from the exact score-floor generator in
+    ``candidates.py``: only pairs that can reach rank <= n are materialised,
+    anti-joined and ranked.
     """
-    out = user_recommendations(dist, pop, items, seen, k, n, seed, mode, prior, ties)
+    if prior is None and direct_is_small(dist.select("up_id"), items):
+        # users x items is proven small: score every candidate directly
+        selected = select_tags(dist, "up_id", k, seed, mode)
+        cand = score_items(selected, "up_id", item_side(items, pop), items.long_rows())
+        out = rank_top_n(exclude_seen(cand, seen), n, ties=ties)
+    else:
+        out = user_recommendations(dist, pop, items, seen, k, n, seed, mode, prior, ties)
     return out.select("up_id", "video_id", "prob_sum", "pop", "rank")
 
 
@@ -210,24 +218,24 @@ def expand_label_to_users(label: str, cand: DataFrame, people: DataFrame,
     return fan.select("up_id", "video_id", "prob_sum", "pop", *extra)
 
 
-LABEL_DIRECT_CONF = "spark.affinity.labelDirectMaxPairs"
-LABEL_DIRECT_MAX_PAIRS = 20_000_000
+DIRECT_CONF = "spark.affinity.directMaxPairs"
+DIRECT_MAX_PAIRS = 200_000_000
 
 
-def _label_volume_small(label: str, profile: DataFrame, items: ItemTags) -> bool:
-    """True if (labels x item-tag rows) is proven below the direct-scoring cap.
+def direct_is_small(keys: DataFrame, items: ItemTags) -> bool:
+    """True if (distinct keys x item-tag rows) is proven below the direct cap.
 
-    The labels of a distribution are a subset of the profile's labels, so a
-    capped distinct count on the profile bounds them without running the
-    distribution.
+    ``keys`` holds the users or labels to be scored (duplicates allowed; a
+    capped distinct count bounds them).  Below the cap every candidate is
+    scored directly; above it the score-floor generator runs.
     """
-    cap = int(profile.sparkSession.conf.get(LABEL_DIRECT_CONF, str(LABEL_DIRECT_MAX_PAIRS)))
+    cap = int(keys.sparkSession.conf.get(DIRECT_CONF, str(DIRECT_MAX_PAIRS)))
     item_rows = items.long_rows()
-    if item_rows is None or item_rows == 0:
-        return item_rows == 0
-    labels = bounded_rows(profile.select(label_column(label)).distinct(),
-                          max(cap // item_rows, 0))
-    return labels is not None
+    if item_rows is None:
+        return False
+    if item_rows == 0:
+        return True
+    return bounded_rows(keys.distinct(), max(cap // item_rows, 0)) is not None
 
 
 def recommend_by_label(label: str, dist: DataFrame, pop: DataFrame, items: ItemTags,
@@ -237,7 +245,7 @@ def recommend_by_label(label: str, dist: DataFrame, pop: DataFrame, items: ItemT
     """(up_id, video_id, prob_sum, pop, rank) from per-label distributions."""
     people = _label_people(label, profile, seen, users)
     cut = label_cut(label, people, n)
-    if _label_volume_small(label, profile, items):
+    if direct_is_small(profile.select(label_column(label)), items):
         # labels x items is proven small: score every candidate, cut by rank
         cand = label_candidates(label, dist, pop, items, k, seed, mode)
         cand = (cand.join(cut, label_column(label))

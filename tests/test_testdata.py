@@ -138,11 +138,11 @@ def _collect(df):
 def test_pruned_label_path_equals_direct_path(spark, name):
     """Label lists through the score-floor generator give the same rows."""
     expected = _digest(*_collect(entry.queries()[name](spark, SF)))
-    spark.conf.set("spark.affinity.labelDirectMaxPairs", "0")
+    spark.conf.set("spark.affinity.directMaxPairs", "0")
     try:
         got = _digest(*_collect(entry.queries()[name](spark, SF)))
     finally:
-        spark.conf.unset("spark.affinity.labelDirectMaxPairs")
+        spark.conf.unset("spark.affinity.directMaxPairs")
     assert got == expected
 
 
