@@ -87,15 +87,18 @@ def weekly_drift(history: DataFrame, items: ItemTags, to_date, weeks: int,
     """
     t = as_date(to_date)
     w, o = int(weeks), int(offset_weeks)
-    per_day = (history.filter(F.col("play_date") <= F.lit(t))
-               .groupBy("up_id", "video_id", "play_date").agg(F.count(F.lit(1)).alias("c"))
-               .withColumn("_delta", F.datediff(F.lit(t), F.col("play_date"))))
     # base = floor(delta / 7) - offset; boundary days (delta % 7 == 0) also
     # fall into week base - 1; "before" holds for weeks 0 .. base - 1.
-    classed = (per_day
-               .withColumn("_base", F.least(F.floor(F.col("_delta") / 7) - o, F.lit(w + 1)))
-               .withColumn("_edge", (F.col("_delta") % 7) == 0)
-               .filter(F.col("_base") >= 0))
+    # Events are reduced to (user, item, base, edge) before the tag join, so
+    # all days of one week class travel as one row.
+    delta = F.datediff(F.lit(t), F.col("play_date"))
+    classed = (history.filter(F.col("play_date") <= F.lit(t))
+               .select("up_id", "video_id",
+                       F.least(F.floor(delta / 7) - o, F.lit(w + 1)).alias("_base"),
+                       ((delta % 7) == 0).alias("_edge"))
+               .filter(F.col("_base") >= 0)
+               .groupBy("up_id", "video_id", "_base", "_edge")
+               .agg(F.count(F.lit(1)).alias("c")))
     tagged = join_small(classed.select("up_id", "video_id", "_base", "_edge", "c"),
                         items.long.select("video_id", "tag_idx"), "video_id",
                         small_rows=items.long_rows(), salt_from=["up_id"])
