@@ -64,6 +64,8 @@ def test_query_matches_sql(spark, duck, name):
     assert sorted(df.columns) == sorted(ocols)
     assert len(rows) == len(orows)
     assert _digest(df.columns, rows) == _digest(ocols, orows)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
 def test_recommendations_are_unseen_and_ranked(spark, inputs):
