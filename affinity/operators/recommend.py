@@ -24,6 +24,7 @@ from pyspark.sql.types import DecimalType, DoubleType, FloatType
 
 from ..functions.dates import as_date, days_before
 from ..functions.joins import bounded_rows, broadcast_cap, join_small
+from ..session import cut_lineage
 from ..sources.inputs import ItemTags, label_column
 from .candidates import item_postings, max_multiplicity, top_candidates
 from .distribution import label_tag_distribution, user_tag_distribution
@@ -288,14 +289,17 @@ def recommend_user_two_window(history: DataFrame, items: ItemTags, k: int, n: in
     whole history up to ``to_date`` (items already recommended excluded),
     ranked after the recent rows.  The whole-history pass only generates
     candidates for those users.  The recent list (users x n rows) is
-    persisted: it feeds the merge, the per-user counts and the exclusion.
+    checkpointed to the shared folder: it feeds the merge, the per-user
+    counts and the exclusion, and the whole-history pass never depends on
+    the recent pass's lineage.
     """
     to_date = as_date(to_date)
     seen = history if seen is None else seen
     start = days_before(to_date, window_days)
     recent = recommend_by_user(user_tag_distribution(history, items, start, to_date),
                                item_popularity(history, start, to_date), items, seen,
-                               k, n, seed, mode, ties=ties).persist(StorageLevel.MEMORY_AND_DISK)
+                               k, n, seed, mode, ties=ties)
+    recent = cut_lineage(recent, "recent-user-list")
     prior = recent.groupBy("up_id").agg(F.count(F.lit(1)).alias("n_prior"))
     seen_old = seen.select("up_id", "video_id").unionByName(recent.select("up_id", "video_id"))
     older = user_recommendations(user_tag_distribution(history, items, None, to_date),
@@ -316,7 +320,8 @@ def recommend_label_two_window(label: str, profile: DataFrame, history: DataFram
     recent = recommend_by_label(
         label, label_tag_distribution(label, profile, history, items, start, to_date),
         item_popularity(history, start, to_date), items, profile, seen, k, n, seed, mode,
-        ties=ties).persist(StorageLevel.MEMORY_AND_DISK)
+        ties=ties)
+    recent = cut_lineage(recent, "recent-label-list")
     col = label_column(label)
     people = (profile.filter(F.col(col).isNotNull())
               .select(F.col("id").alias("up_id")).distinct())

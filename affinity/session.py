@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every plan in this package is designed around.
 #  * AQE re-plans joins at runtime from real shuffle sizes, coalesces small
@@ -75,3 +76,16 @@ def release(spark: SparkSession) -> None:
     between jobs.
     """
     spark.catalog.clearCache()
+
+
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write a small intermediate to the shared folder and read it back.
+
+    Later stages read the stored Parquet (with file statistics for the
+    planner) instead of depending on its lineage, so losing executors after
+    this point never re-runs the plan that produced it.  Eager (one job);
+    the folder is ``spark.checkpoint.dir``, never a machine-local default.
+    """
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
