@@ -63,3 +63,12 @@ def test_default_location_is_the_shared_folder(spark, inputs):
     stored = save_distribution(dist, "user")
     base = shared_dir(spark).replace("file:", "")
     assert any(base in f for f in stored.inputFiles())
+
+
+def test_cut_lineage_writes_to_the_shared_folder(spark):
+    from affinity.session import cut_lineage
+    df = spark.range(10).withColumnRenamed("id", "x")
+    out = cut_lineage(df, "unit")
+    base = shared_dir(spark).replace("file:", "")
+    assert sorted(r.x for r in out.collect()) == list(range(10))
+    assert all(base in f and "/unit-" in f for f in out.inputFiles())
