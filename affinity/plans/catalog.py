@@ -26,7 +26,7 @@ from ..operators.recommend import (item_side, recommend_by_label, recommend_by_u
 from ..operators.sampling import sample_tags, top_tags
 from ..sources.inputs import Inputs
 from ..sources.sinks import enrich_recommendations, save_distribution
-from ..sources.testdata import testdata_inputs
+from ..sources.testdata import events_history, testdata_inputs
 
 # Fixed query parameters (shared with oracle.py).
 N_TAGS = 80                          # vector length D
@@ -86,6 +86,14 @@ def q_item_popularity(spark, sf_dir):
     return item_popularity(_inputs(spark, sf_dir).history, RECENT_FROM, TO_DATE)
 
 
+EVENTS_FROM, EVENTS_TO = dt.date(2024, 1, 8), dt.date(2024, 1, 28)
+
+
+def q_item_popularity_events(spark, sf_dir):
+    """Popularity over the second history (event types as items)."""
+    return item_popularity(events_history(spark, sf_dir), EVENTS_FROM, EVENTS_TO)
+
+
 def _label_dist(spark, sf_dir, label):
     i = _inputs(spark, sf_dir)
     return label_tag_distribution(label, i.profile, i.history, i.items, DIST_FROM, TO_DATE)
@@ -281,6 +289,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "item_multi_hot": q_item_multi_hot,
     "tag_index_list": q_tag_index_list,
     "item_popularity": q_item_popularity,
+    "item_popularity_events": q_item_popularity_events,
     "tag_dist_city": q_tag_dist_city,
     "tag_dist_phone": q_tag_dist_phone,
     "tag_dist_user": q_tag_dist_user,

@@ -11,8 +11,8 @@ from __future__ import annotations
 
 import datetime as dt
 
-from .catalog import (DIST_FROM, EVAL_DATE, K, KL_SPLIT, N, N_TAGS, OFFSET_WEEKS, RECENT_FROM,
-                      ROUND, SEED, TO_DATE, WEEKS, WINDOW_DAYS)
+from .catalog import (DIST_FROM, EVAL_DATE, EVENTS_FROM, EVENTS_TO, K, KL_SPLIT, N, N_TAGS,
+                      OFFSET_WEEKS, RECENT_FROM, ROUND, SEED, TO_DATE, WEEKS, WINDOW_DAYS)
 
 SIGMA_SQL = "CAST(0.0001 AS DOUBLE)"
 
@@ -275,6 +275,12 @@ def build() -> dict[str, str]:
     q = Q()
     out["item_popularity"] = q.render(
         f"SELECT video_id, cnt, pop FROM {q.pop('ip', 'hist', RECENT_FROM, TO_DATE)}")
+    q = Q()
+    q.add("ev", """SELECT user_id AS up_id, event_type AS video_id, CAST(ts AS DATE) AS play_date
+        FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL AND event_type <> ''
+          AND ts IS NOT NULL""")
+    out["item_popularity_events"] = q.render(
+        f"SELECT video_id, cnt, pop FROM {q.pop('ipe', 'ev', EVENTS_FROM, EVENTS_TO)}")
     for label, col in (("city", "reside_city"), ("phone", "phone_type")):
         q = Q()
         d = q.label_dist("dl", col, "hist", DIST_FROM, TO_DATE)

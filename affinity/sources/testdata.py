@@ -33,6 +33,15 @@ def raw_history(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("o_orderdate").alias("play_date")))
 
 
+def events_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``events`` table as a second watch history: ``up_id = user_id``,
+    ``video_id = event_type`` (string ids), ``play_date = ts`` (timestamp)."""
+    events = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("up_id"), F.col("event_type").alias("video_id"),
+        F.col("ts").alias("play_date"))
+    return load_history(events)
+
+
 def raw_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
