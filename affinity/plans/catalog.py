@@ -164,11 +164,11 @@ def q_recommend_user_break_ties(spark, sf_dir):
     return _recommend_user(_inputs(spark, sf_dir), ties="break")
 
 
-def _recommend_label(spark, sf_dir, label):
+def _recommend_label(spark, sf_dir, label, mode="sample"):
     i = _inputs(spark, sf_dir)
     dist = label_tag_distribution(label, i.profile, i.history, i.items, RECENT_FROM, TO_DATE)
     return recommend_by_label(label, dist, item_popularity(i.history, RECENT_FROM, TO_DATE),
-                              i.items, i.profile, i.history, K, N, SEED)
+                              i.items, i.profile, i.history, K, N, SEED, mode)
 
 
 def q_recommend_city(spark, sf_dir):
@@ -179,6 +179,10 @@ def q_recommend_phone(spark, sf_dir):
     return _recommend_label(spark, sf_dir, "phone")
 
 
+def q_recommend_city_top(spark, sf_dir):
+    return _recommend_label(spark, sf_dir, "city", mode="top")
+
+
 def q_recommend_user_two_window(spark, sf_dir):
     i = _inputs(spark, sf_dir)
     return recommend_user_two_window(i.history, i.items, K, N, TO_DATE, WINDOW_DAYS, SEED)
@@ -305,6 +309,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "recommend_user_break_ties": q_recommend_user_break_ties,
     "recommend_city": q_recommend_city,
     "recommend_phone": q_recommend_phone,
+    "recommend_city_top": q_recommend_city_top,
     "recommend_user_two_window": q_recommend_user_two_window,
     "recommend_city_two_window": q_recommend_city_two_window,
     "recommend_phone_two_window": q_recommend_phone_two_window,

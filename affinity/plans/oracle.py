@@ -145,9 +145,10 @@ class Q:
         cand = self.score(f"{name}_c", sel, "up_id", pop)
         return self.rank(name, cand, seen, ties=ties)
 
-    def label_recs(self, name, col, hist, lo, hi, seen):
+    def label_recs(self, name, col, hist, lo, hi, seen, mode="sample"):
         dist = self.label_dist(f"{name}_d", col, hist, lo, hi)
-        sel = self.sample(f"{name}_s", dist, col)
+        sel = (self.sample(f"{name}_s", dist, col) if mode == "sample"
+               else self.top(f"{name}_s", dist, col))
         pop = self.pop(f"{name}_p", hist, lo, hi)
         cand = self.score(f"{name}_c", sel, col, pop)
         users = self.fan_out(f"{name}_u", cand, col)
@@ -330,6 +331,9 @@ def build() -> dict[str, str]:
         out[f"recommend_{label}"] = q.render(
             f"SELECT up_id, video_id, prob_sum, pop, rank FROM {r}")
     q = Q()
+    r = q.label_recs("rl", "reside_city", "hist", RECENT_FROM, TO_DATE, ["hist"], mode="top")
+    out["recommend_city_top"] = q.render(f"SELECT up_id, video_id, prob_sum, pop, rank FROM {r}")
+    q = Q()
     r = q.two_window("tw", "hist", TO_DATE, WINDOW_DAYS)
     out["recommend_user_two_window"] = q.render(f"SELECT up_id, video_id, rank, source FROM {r}")
     for label, col in (("city", "reside_city"), ("phone", "phone_type")):
