@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +13,21 @@ from pyspark.sql import functions as F
 from affinity.session import cut_lineage
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver found it.
+
+    Covers sessions whose executors see the same path but were started without
+    it on PYTHONPATH; elsewhere ship the package with ``--py-files``.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(p for p in (root, paths) if p)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, read through Spark (any file system)."""
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from affinity.llm import best_fit_packing, quality_ranking, secret_scan, simhash_trie
+from affinity.llm import (best_fit_packing, mixing, quality_ranking, secret_scan, simhash_trie, url_filter,
+                          warc_derivatives)
 from affinity.llm.common import table
 
 
+def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_derivatives.derive_pages(table(spark, sf_dir, "pages")).withColumnRenamed("source_key", "page_id")
+
+
 def op5_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
 
@@ -26,6 +31,16 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = mixing.sample(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "source", "lang", "mix_weight", "mix_probability")
+
+
 QUERIES = {f.__name__: f for f in (
-    op5_simhash_trie, op6_quality_ranking, op7_best_fit_packing, op8_secret_scan)}
+    op3_warc_derivatives, op5_simhash_trie, op6_quality_ranking, op7_best_fit_packing, op8_secret_scan,
+    op9_url_filter, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {}

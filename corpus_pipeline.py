@@ -8,10 +8,12 @@ rows and empty tables follow the operators' docstrings.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
-from affinity.llm import best_fit_packing, quality_ranking, secret_scan, simhash_trie
-from affinity.llm.common import cut, table
+from affinity.llm import best_fit_packing, mixing, quality_ranking, secret_scan, simhash_trie
+from affinity.llm.common import cut, importable, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,13 +31,27 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secret_scan.redact(docs)
 
 
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose tokens meet the tempered source, language and form shares."""
+    return mixing.sample(docs).select(*docs.columns)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 2048 tokens."""
     return best_fit_packing.pack(docs, with_ids=True)
 
 
-STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secrets),
-          ("packing", packing)]
+def _stage(fn):
+    @functools.wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        importable(spark)
+        return fn(spark, docs, sf_dir)
+    return run_stage
+
+
+STAGES = [(name, _stage(fn)) for name, fn in (
+    ("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secrets),
+    ("mixing", mixture), ("packing", packing))]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
