@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from affinity.llm import (best_fit_packing, mixing, quality_ranking, secret_scan, simhash_trie, url_filter,
-                          warc_derivatives)
+from affinity.llm import (best_fit_packing, mixing, quality_ranking, secret_scan, simhash_trie, topk_threshold,
+                          url_filter, warc_derivatives)
 from affinity.llm.common import table
 
 
@@ -13,6 +13,11 @@ def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_derivatives.derive_pages(table(spark, sf_dir, "pages")).withColumnRenamed("source_key", "page_id")
 
 
+def op4_topk_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk_threshold.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return topk_threshold.top_k(vectors, vectors.where("id % 20 = 0"), k=20)
+
+
 def op5_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
 
@@ -41,6 +46,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_warc_derivatives, op5_simhash_trie, op6_quality_ranking, op7_best_fit_packing, op8_secret_scan,
+    op3_warc_derivatives, op4_topk_threshold, op5_simhash_trie, op6_quality_ranking, op7_best_fit_packing, op8_secret_scan,
     op9_url_filter, op10_mixing)}
-ORACLE_SQL: dict[str, str] = {}
+_FINITE = """embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_topk_threshold": f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings WHERE {_FINITE}),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+}
