@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from affinity.llm import (best_fit_packing, mixing, quality_ranking, secret_scan, simhash_trie, topk_threshold,
+from affinity.llm import (best_fit_packing, chat_tree, mixing, quality_ranking, secret_scan, simhash_trie, topk_threshold,
                           url_filter, warc_derivatives)
 from affinity.llm.common import table
 
 
+def op2_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return chat_tree.read_back(*chat_tree.prefix_tree(turns.unionByName(extra)))
+
+
 def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_derivatives.derive_pages(table(spark, sf_dir, "pages")).withColumnRenamed("source_key", "page_id")
 
@@ -46,12 +53,27 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_warc_derivatives, op4_topk_threshold, op5_simhash_trie, op6_quality_ranking, op7_best_fit_packing, op8_secret_scan,
+    op2_chat_tree, op3_warc_derivatives, op4_topk_threshold, op5_simhash_trie, op6_quality_ranking, op7_best_fit_packing, op8_secret_scan,
     op9_url_filter, op10_mixing)}
 _FINITE = """embedding IS NOT NULL AND vec_id IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
 
+# A control string, after which the template puts one more character.
+_CONTROL = r"[<\[]\\*(\|im_start\|>|\|im_end\|>|/?s>|/?INST\]|</?SYS>>)"
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_chat_tree": f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           WHERE conv_id IS NOT NULL
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+           UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+       sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+       sum(length('<|im_start|>') + length(role) + 1 + length(text) + len(regexp_extract_all(text, '{_CONTROL}'))
+           + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id""",
     "op4_topk_threshold": f"""
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings WHERE {_FINITE}),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
