@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from affinity.llm import (best_fit_packing, chat_tree, mixing, quality_ranking, secret_scan, simhash_trie, topk_threshold,
-                          url_filter, warc_derivatives)
+from affinity.llm import (best_fit_packing, chat_tree, hnsw, mixing, quality_ranking, secret_scan, simhash_trie,
+                          topk_threshold, url_filter, warc_derivatives)
 from affinity.llm.common import table
 
 
+def op1_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op2_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -53,7 +57,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_chat_tree, op3_warc_derivatives, op4_topk_threshold, op5_simhash_trie, op6_quality_ranking, op7_best_fit_packing, op8_secret_scan,
+    op1_hnsw, op2_chat_tree, op3_warc_derivatives, op4_topk_threshold, op5_simhash_trie, op6_quality_ranking, op7_best_fit_packing, op8_secret_scan,
     op9_url_filter, op10_mixing)}
 _FINITE = """embedding IS NOT NULL AND vec_id IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
@@ -62,6 +66,16 @@ _FINITE = """embedding IS NOT NULL AND vec_id IS NOT NULL
 _CONTROL = r"[<\[]\\*(\|im_start\|>|\|im_end\|>|/?s>|/?INST\]|</?SYS>>)"
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_hnsw": f"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+                     WHERE {_FINITE} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+         WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id, vec_id AS c FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN link l ON l.a = r.c),
+best AS (SELECT vec_id, min(c) AS component_id FROM reach GROUP BY vec_id),
+n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM best LEFT JOIN n ON n.a = best.vec_id""",
     "op2_chat_tree": f"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            WHERE conv_id IS NOT NULL
