@@ -28,6 +28,8 @@ END_ID = 0
 OPEN_BINS = 1024
 # Items a task holds back to place the longest of them first.
 LOOKAHEAD = 2048
+# Pieces per packing task on average.
+TASK_ROWS = 16_384
 # Packing tasks whose open bins meet in one task of the next round.
 FAN_IN = 32
 # Sequence numbers of one task, and of one round, are this far from those of the next.
@@ -188,14 +190,13 @@ def pack(docs: DataFrame, tokenizer: tuple | None = None, capacity: int = CAPACI
     are cut, never shortened.  An empty table gives an empty result.  Only the
     two named columns are read, so extra columns cannot clash.
     """
-    spark = docs.sparkSession
     # the piece number of the table row, not the document, identifies a piece
     whole = cut(pieces(docs, tokenizer or public_encoder_args(), capacity, id_col, text_col, with_ids)
                 .withColumn("key", F.monotonically_increasing_id()), "pack-pieces")
     full = whole.where(F.col("length") == capacity).select(
         "*", (F.col("key") * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     part = whole.where(F.col("length") < capacity).select("key", "length")
-    tasks, level, items, placed = int(spark.conf.get("spark.sql.shuffle.partitions")), 0, part, None
+    tasks, level, items, placed = max(1, -(-part.count() // TASK_ROWS)), 0, part, None
     while True:
         got = cut(_best_fit(items, tasks, level, capacity, open_bins), "pack-round")
         rows = got.where("key IS NOT NULL")

@@ -17,7 +17,7 @@ from affinity.llm.common import cut
 LABEL_PAIRS = 100_000
 SWEEPS = 100
 TOLERANCE = 1e-6
-TEMPERATURE = 0.7
+TEMPERATURE = 0.9
 SEED = 42
 NONE = "(none)"
 
@@ -122,14 +122,14 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None,
     return cut(fitted(), "mix-weights")
 
 
-def unit_hash(seed: int) -> Column:
+def unit_hash(seed: int, id_col: str = "doc_id", text_col: str = "text") -> Column:
     """A value in [0, 1) from the document id, or its text where the id is null."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))
+    key = F.coalesce(F.col(id_col).cast("string"), F.col(text_col), F.lit(""))
     return F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11) / F.lit(float(1 << 53))
 
 
 def with_probability(docs: DataFrame, targets: dict | None = None, temperature: float = TEMPERATURE) -> DataFrame:
-    """``docs`` with ``mix_weight`` and ``mix_probability`` of each row.
+    """``row`` (a struct of the document's columns), ``mix_weight, mix_probability``.
 
     The weight is per token; the probability is the weight over the largest
     one, so expected kept tokens have the target marginals and the cell that
@@ -141,18 +141,19 @@ def with_probability(docs: DataFrame, targets: dict | None = None, temperature:
     weights = weights.select("_s", "_l", "_t", F.col("weight").alias("mix_weight"),
                              (F.col("weight") / F.lit(top)).alias("mix_probability"))
     # no hint: Spark broadcasts the written table if its size is below the threshold, else AQE splits hot cells
-    return docs.select("*", *_keys(docs)).join(weights, ["_s", "_l", "_t"]).select(
-        *docs.columns, "mix_weight", "mix_probability")
+    return docs.select(F.struct(*docs.columns).alias("row"), *_keys(docs)).join(weights, ["_s", "_l", "_t"]).select(
+        "row", "mix_weight", "mix_probability")
 
 
 def sample(docs: DataFrame, targets: dict | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
-    """The sampled documents with their columns, ``mix_weight`` and ``mix_probability``.
+    """The sampled documents: ``row`` (their columns), ``mix_weight, mix_probability``.
 
     Needs ``doc_id`` and ``text``; null or missing sources, languages and
     topics are a category of their own; a null or empty text counts as one
-    token.  Rows with one id are kept or left together, null ids go by their
-    text.  An empty table gives an empty result.  Own column names start with
-    ``mix_`` or an underscore; a ``topic`` column is used where there is one,
-    else the text's form stands in.
+    token.  Rows with one id are kept or left together if they share a cell;
+    null ids go by their text.  An empty table gives an empty result.  Documents
+    travel as one struct, so extra columns cannot clash; a ``topic`` column is
+    used where there is one, else the text's form stands in.
     """
-    return with_probability(docs, targets, temperature).where(unit_hash(seed) < F.col("mix_probability"))
+    return with_probability(docs, targets, temperature).where(
+        unit_hash(seed, "row.doc_id", "row.text") < F.col("mix_probability"))

@@ -53,7 +53,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = mixing.sample(table(spark, sf_dir, "documents"))
-    return kept.select("doc_id", "source", "lang", "mix_weight", "mix_probability")
+    return kept.select("row.doc_id", "row.source", "row.lang", "mix_weight", "mix_probability")
 
 
 QUERIES = {f.__name__: f for f in (

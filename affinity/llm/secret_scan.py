@@ -28,13 +28,16 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 # Equal to the greedy run followed by a length test, as a run has one start.
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_PERCENT = re.compile(r"[!-~]*%[0-9A-Fa-f]{2}[!-~]*")
-_UNICODE = re.compile(r"(?:[!-~]|\\u[0-9A-Fa-f]{4})*\\u\{?[0-9A-Fa-f]{2,6}\}?[!-~]*")
+_VISIBLE = re.compile(r"[!-~]+")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/=_-])")
 _PCT_UNIT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNI_UNIT = re.compile(r"(?:\\u(?:[0-9A-Fa-f]{4}|\{[0-9A-Fa-f]{1,6}\}))+")
 _UNI_ONE = re.compile(r"\\u(?:([0-9A-Fa-f]{4})|\{([0-9A-Fa-f]{1,6})\})")
 
+# Bytes that one compressed layer may grow to: memory stays bounded against
+# streams made to explode; what lies beyond is not scanned.
+INFLATED = 1 << 26
+
 Span = tuple[str, int, int]
 
 
@@ -90,12 +93,12 @@ def _utf8(data: bytes) -> str | None:
 
 
 def _inflate(data: bytes) -> bytes | None:
-    """The whole of a zlib or gzip stream, or None."""
+    """What a zlib or gzip stream holds (one cut short: what there is of it), or None."""
     if data[:2] != b"\x1f\x8b" and not (len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0):
         return None
     try:
         engine = zlib.decompressobj(47)
-        return engine.decompress(data) + engine.flush()
+        return engine.decompress(data, INFLATED)
     except zlib.error:
         return None
 
@@ -129,13 +132,10 @@ def _escapes(run: str) -> str | None:
 
 def _decoded(layer: _Layer) -> Iterator[_Layer]:
     text = layer.text
-    if "%" in text:
-        for m in _PERCENT.finditer(text):
-            if parts := _units(text, *m.span(), _PCT_UNIT, _percent):
-                yield layer.unwrap(*m.span(), parts)
-    if "\\u" in text:
-        for m in _UNICODE.finditer(text):
-            if parts := _units(text, *m.span(), _UNI_UNIT, _escapes):
+    for sign, unit, decode in (("%", _PCT_UNIT, _percent), ("\\u", _UNI_UNIT, _escapes)):
+        for m in _VISIBLE.finditer(text) if sign in text else ():
+            # what stands around the escapes without a blank may belong to the secret
+            if sign in m[0] and (parts := _units(text, *m.span(), unit, decode)):
                 yield layer.unwrap(*m.span(), parts)
     for m in _BASE64.finditer(text):
         body = m[0].rstrip("=").translate(_URLSAFE)

@@ -29,7 +29,7 @@ WORD_LENGTH = 24
 # Log odds are summed as integers, so that no order of summing changes a verdict.
 UNIT = 1e9
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_TAG, _WORD = re.compile(rb"<[^>]*>"), re.compile(rb"[a-z]+")
+_TAG, _WORD = re.compile(rb"<[^<>]*>"), re.compile(rb"[a-z]+")
 
 
 def host_of(url: Column) -> Column:

@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DATE = "2024-01-01T00:00:00Z"
-_DROP = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<(?:script|style)\b.*")
+_DROP = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)")
 _BLOCK = re.compile(r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|"
-                    r"header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>")
-_TAG = re.compile(r"<[!/?a-zA-Z][^>]*>")
+                    r"header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^<>]*>")
+_TAG = re.compile(r"<[!/?a-zA-Z][^<>]*>")
 _SPACE = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r"\s*\n\s*")
 
