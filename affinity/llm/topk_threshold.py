@@ -89,7 +89,7 @@ def _lists(query: np.ndarray, ids: np.ndarray, grp: int, shard: int) -> pd.DataF
     query, ids = query[order], ids[order]
     asked, starts = np.unique(query, return_index=True)
     return pd.DataFrame({"shard": np.full(len(asked), shard, "int32"), "grp": np.full(len(asked), grp, "int32"),
-                         "query": asked, "ids": np.split(ids, starts[1:]) if len(asked) else []})
+                         "query": asked, "ids": pd.Series(np.split(ids, starts[1:])[:len(asked)], dtype=object)})
 
 
 _LIST = "shard int, grp int, query long, ids array<long>"
@@ -132,7 +132,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, blocks: int = BLO
         keep = [c for c in rows.columns if c != "v"]
         return rows.select(*keep, cut_up).select(*keep, "p.block", "p.v").groupBy("shard", "grp", "block")
 
-    def gather(key, found: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    def gather(key: tuple, found: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         best = pd.DataFrame({"query": [], "id": [], "score": []}, dtype="int64")
         for got, ids, qid, own in _partial_scores(found, asked) if len(asked) else ():
             got[own] = _LOW
@@ -143,7 +143,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, blocks: int = BLO
                            np.append(best["score"], got[r, c]), k)
         return _lists(best["query"].to_numpy(), best["id"].to_numpy(), key[1], key[0])
 
-    def collect(key, found: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    def collect(key: tuple, found: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         query, listed = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if len(asked):
             # whole scores are integers: one block must reach the mean, rounded up
@@ -154,7 +154,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, blocks: int = BLO
                 listed.append(ids[c])
         return _lists(np.concatenate(query), np.concatenate(listed), key[1], key[0])
 
-    def exact(key, found: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    def exact(key: tuple, found: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         best = [pd.DataFrame({"query": [], "id": [], "score": []}, dtype="int64")]
         if len(found) and len(asked):
             found = found.sort_values("id")
