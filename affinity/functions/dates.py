@@ -30,7 +30,7 @@ def date_column(col: Column, data_type) -> Column:
 
     Strings follow the reference's reading: every ``-`` is removed and the
     first eight characters are read as ``yyyyMMdd``; anything unparsable
-    becomes NULL (and the row is then dropped by the loader).
+    becomes NULL (the loader keeps the row as an undated event).
     """
     if isinstance(data_type, DateType):
         return col
@@ -50,3 +50,18 @@ def in_range(col: Column, start=None, end=None) -> Column:
     if end is not None:
         cond = cond & (col <= F.lit(as_date(end)))
     return cond
+
+
+def string_range(col: Column, start=None, end=None) -> Column:
+    """A superset of ``in_range`` on the raw text of string dates, for Parquet pruning.
+
+    Every accepted layout starts with the four digits of the year unless a
+    ``-`` comes first, so the text is compared by year; text that starts below
+    the digits is kept for the exact filter to judge.
+    """
+    cond = F.lit(True)
+    if start is not None:
+        cond = cond & ((col >= F.lit(f"{as_date(start).year:04d}")) | (col < F.lit("0")))
+    if end is not None:
+        cond = cond & (col < F.lit(f"{as_date(end).year + 1:04d}"))
+    return cond

@@ -1,86 +1,66 @@
-"""Join helpers that only broadcast what is proven small.
+"""Joins that broadcast only what is measured to be small.
 
-``bounded_rows`` proves an upper bound on a frame's row count with a capped
-count (``limit(cap + 1).count()`` stops reading as soon as the cap is passed).
-``join_small`` broadcasts the small side only behind such a bound; beyond it
-the join is salted so that a join key with few distinct values (a tag, a
-city) or one hot value still spreads over ``salt_buckets`` tasks.
+``measure`` counts the rows of a frame and adds up the bytes of its values;
+``join_small`` broadcasts a side whose measured size is below both caps.
+Beyond them it is a plain shuffle join: AQE splits its large partitions, so a
+key with few values or one hot value still spreads, and no side is copied.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
-# Rows, not bytes: every frame passed through here is a handful of narrow
-# integer / short string columns (~40 bytes a row in the hash relation).
 BROADCAST_MAX_ROWS = 4_000_000
-SALT_BUCKETS = 64
-CAP_CONF = "spark.affinity.broadcastMaxRows"
-SALT_CONF = "spark.affinity.saltBuckets"
+BROADCAST_MAX_BYTES = 256 << 20
+ROWS_CONF = "spark.affinity.broadcastMaxRows"
+BYTES_CONF = "spark.affinity.broadcastMaxBytes"
 
 
-def broadcast_cap(df: DataFrame) -> int:
-    """Row cap for broadcasting, from the session (``spark.affinity.broadcastMaxRows``)."""
-    return int(df.sparkSession.conf.get(CAP_CONF, str(BROADCAST_MAX_ROWS)))
+class Size(NamedTuple):
+    rows: int
+    bytes: int
 
 
-def salt_count(df: DataFrame) -> int:
-    """Salt buckets for joins beyond the cap (``spark.affinity.saltBuckets``)."""
-    return int(df.sparkSession.conf.get(SALT_CONF, str(SALT_BUCKETS)))
+def _bytes_of(col: Column, kind: DataType) -> Column:
+    """Bytes of a value in memory, from its actual length."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(col), F.lit(0)) + 16
+    if isinstance(kind, (ArrayType, MapType)):
+        width = 16 if isinstance(kind, ArrayType) else 32
+        return F.greatest(F.size(col), F.lit(0)) * width + 32
+    if isinstance(kind, StructType):
+        return F.lit(16 * len(kind))
+    return F.lit(8)
 
 
-def bounded_rows(df: DataFrame, cap: int) -> int | None:
-    """Row count if it is at most ``cap``, else ``None`` (bound not proven)."""
-    n = df.limit(int(cap) + 1).count()
-    return n if n <= cap else None
+def measure(df: DataFrame) -> Size:
+    """Rows and bytes of a frame: one aggregation job, meant for written tables."""
+    width = sum((_bytes_of(F.col(f.name), f.dataType) for f in df.schema), F.lit(16))
+    got = df.agg(F.count(F.lit(1)).alias("n"), F.sum(width.cast("bigint")).alias("b")).first()
+    return Size(got["n"], got["b"] or 0)
 
 
-def join_small(big: DataFrame, small: DataFrame, on: Sequence[str] | str,
-               how: str = "inner", *, small_rows: int | None,
-               salt_from: Sequence[str] | None = None,
-               max_rows: int | None = None,
-               salt_buckets: int | None = None,
-               condition: Column | None = None) -> DataFrame:
-    """Join ``big`` to ``small``.
+def fits(df: DataFrame, size: Size | None) -> bool:
+    """True if a measured size may be broadcast (caps are session settings)."""
+    conf = df.sparkSession.conf
+    return (size is not None and size.rows <= int(conf.get(ROWS_CONF, str(BROADCAST_MAX_ROWS)))
+            and size.bytes <= int(conf.get(BYTES_CONF, str(BROADCAST_MAX_BYTES))))
 
-    * ``small_rows`` proven <= ``max_rows``: broadcast ``small``; ``big``
-      keeps its partitioning (no shuffle of the big side at all).
-    * otherwise, with ``salt_from`` given: each ``big`` row gets a salt from a
-      hash of its ``salt_from`` columns and ``small`` is replicated once per
-      salt, so one join key is spread over ``salt_buckets`` tasks.
-    * otherwise a plain shuffle join (AQE splits skewed partitions).
 
-    ``condition`` is an extra (non-equi) predicate over columns of both sides;
-    the column names it refers to must be unique across the two frames.
+def join_small(big: DataFrame, small: DataFrame, on: Sequence[str] | str, how: str = "inner", *,
+               size: Size | None, condition: Column | None = None) -> DataFrame:
+    """Join ``big`` to ``small``, broadcast if its measured ``size`` is below the caps.
+
+    A broadcast leaves ``big`` where it is.  ``condition`` is an extra
+    (non-equi) predicate over columns of both sides; the column names it
+    refers to must be unique across the two frames.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    max_rows = broadcast_cap(big) if max_rows is None else max_rows
-    salt_buckets = salt_count(big) if salt_buckets is None else salt_buckets
-    if small_rows is not None and small_rows <= max_rows:
-        return _join(big, F.broadcast(small), keys, how, condition)
-    if salt_from and salt_buckets > 1 and how in ("inner", "left", "left_outer"):
-        salt = F.pmod(F.xxhash64(*[F.col(c) for c in salt_from]), F.lit(salt_buckets))
-        big_s = big.withColumn("_salt", salt.cast("int"))
-        small_s = small.withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
-        return _join(big_s, small_s, keys + ["_salt"], how, condition).drop("_salt")
-    return _join(big, small, keys, how, condition)
-
-
-def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str,
-          condition: Column | None) -> DataFrame:
-    if condition is None:
-        return left.join(right, keys, how)
-    # USING-style keys plus an extra predicate: join on aliased key columns,
-    # then drop the right copies.
-    renamed = right
-    for k in keys:
-        renamed = renamed.withColumnRenamed(k, f"_r_{k}")
-    cond = condition
-    for k in keys:
-        cond = cond & (F.col(k) == F.col(f"_r_{k}"))
-    out = left.join(renamed, cond, how)
-    return out.drop(*[f"_r_{k}" for k in keys])
+    right = F.broadcast(small) if fits(big, size) else small
+    out = big.join(right, keys, how)
+    return out if condition is None else out.filter(condition)

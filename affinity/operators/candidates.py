@@ -1,214 +1,196 @@
-"""Exact top-N candidate generation per user without the full user x item volume.
-
-An item's score for a user is ``sum(n(t))`` over the user's selected tags
-``t`` that the item carries.  Two devices keep the work far below
-"every user x every item sharing a tag":
-
-* Inline scoring.  The user's selected tags travel as a small map
-  (tag -> n, at most k entries) and each item carries its tag array, so a
-  (user, item) pair is scored on the row where it is generated (unrolled
-  into plain expressions when items have few tags).  Each pair is
-  generated once, from its *first* selected tag in the user's order
-  (n desc, tag asc); no aggregation over pairs is needed.
-
-* Signatures.  Items with the same tag list score the same for every user,
-  so the second pass scores (user, signature) pairs and expands only the
-  signatures that clear the floor to their items.
-
-* Score floor.  A first pass scores only the ``L + min(w(u), 64)`` most
-  popular items of each selected tag (``w(u)`` = items the user has seen), drops seen
-  pairs and takes the L-th best score theta(u).  The true L-th best unseen
-  score is at least theta(u), so only pairs scoring >= theta(u) can rank
-  <= L.  In the second pass a tag t_i (in the user's order) can only start
-  such a pair if ``mult * sum(n of t_i and all later tags) >= theta(u)``
-  (``mult`` = the largest multiplicity of one tag on one item), so the
-  postings of the other tags are never read, and (user, signature) pairs
-  below theta(u) are dropped before the expansion, the anti join and the
-  rank sort.
-
-Ranks (ties included) are exactly those of ranking every candidate: every
-pair that beats a pair of rank <= L scores at least theta(u) as well.
+"""Exact top-N candidate generation without the full key x item volume.
+
+A key is a user or a label.  An item's score is ``sum(n(t) * times(t))`` over
+the key's selected tags ``t`` in the item's bag.  One path serves every size
+and both integer and DOUBLE counts:
+
+* Inline scoring.  A key carries its at most k selected tags as two short
+  arrays in the order (n desc, tag asc); an item carries its bag.  A pair is
+  scored on the row where it is generated, by k look-ups that whole-stage
+  codegen compiles; the sum always runs in the key's tag order, so the same
+  pair has the same score, to the last bit, wherever it is generated.  Each
+  pair is generated once, from the first selected tag that the item has.
+
+* Score floor.  A probe scores the ``lim + w`` most popular items of each
+  selected tag (``w`` = items the key has seen), drops seen pairs and takes the
+  lim-th best score theta.  The true lim-th best unseen score is at least
+  theta, so only pairs scoring >= theta can rank <= lim.  Postings are cut into
+  rank buckets of powers of two, and a key reads only the buckets that its own
+  depth needs: the probe is linear in list lengths plus seen pairs.
+
+* Signatures.  Items with the same bag score the same for every key, so the
+  second pass scores (key, signature) pairs, starts only from tags whose
+  suffix mass can still reach theta, and expands only signatures at or above
+  the floor to their items.
+
+Ranks (ties included) are exactly those of ranking every candidate: every pair
+that beats a pair of rank <= lim scores at least theta as well.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, DoubleType, FloatType
 
-from ..functions.joins import join_small
-
-# Probe depth beyond the list length: enough for users with up to this many
-# seen items to get a score floor; deeper users are generated unpruned.
-PROBE_SLACK = 64
-# Items with at most this many tag entries are scored with unrolled
-# expressions (whole-stage codegen); longer lists use array functions.
-UNROLL_MAX = 16
-
+from ..functions.joins import Size, fits, join_small, measure
+from ..session import cut_lineage
+from ..sources.inputs import ItemTags
 
-def item_postings(side: DataFrame) -> DataFrame:
-    """(tag_idx, video_id, pop, tags, prank) from the item side (video_id, tag_idx, pop).
-
-    ``tags`` keeps repeats (an item listed twice for a tag counts twice);
-    ``prank`` is the item's popularity rank within the tag's posting list.
-    The item side is the small, size-checked side, so the per-tag window
-    (at most #items rows per tag) is bounded.
-    """
-    arrays = side.groupBy("video_id", "pop").agg(F.collect_list("tag_idx").alias("tags"))
-    posting = arrays.select("video_id", "pop", "tags",
-                            F.explode(F.array_distinct("tags")).alias("tag_idx"))
-    order = Window.partitionBy("tag_idx").orderBy(F.col("pop").desc())
-    return posting.withColumn("prank", F.rank().over(order))
+# Doubles: how much a suffix sum in another order may fall short of the score.
+ROUNDING = 1e-9
+# Parts that a key's long candidate list is ranked in before the final rank.
+RANK_PARTS = 32
 
 
-def item_signatures(posting: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(signature postings (tag_idx, sig, tags), items by signature (sig, video_id, pop)).
+def bucket(rank: Column) -> Column:
+    """Power-of-two bucket of a rank from 1: 0 holds rank 1, b holds [2^b, 2^(b+1))."""
+    return F.floor(F.log2(rank)).cast("int")
 
-    An item's score for any user depends only on its tag list, so items with
-    the same list (its signature) are scored once per user.  The number of
-    signatures is bounded by the tag combinatorics, not by the catalogue
-    size.  Both frames are subsets of the size-checked item side.
-    """
-    items = (posting.select("video_id", "pop", "tags").dropDuplicates(["video_id"])
-             .withColumn("sig", F.array_join(F.array_sort("tags"), ",")))
-    sig_posting = (items.select("sig", "tags").dropDuplicates(["sig"])
-                   .select("sig", "tags", F.explode(F.array_distinct("tags")).alias("tag_idx")))
-    return sig_posting, items.select("sig", "video_id", "pop")
 
+def buckets_to(depth: Column) -> Column:
+    """All buckets that hold a rank up to ``depth`` (at least 1)."""
+    return F.sequence(F.lit(0), bucket(F.greatest(depth, F.lit(1))))
 
-def max_multiplicity(long: DataFrame) -> Column:
-    """Scalar subquery: the most times one tag is listed for one item."""
-    per = long.groupBy("video_id", "tag_idx").agg(F.count(F.lit(1)).alias("_r"))
-    return per.select(F.max("_r")).scalar()
 
+class Postings(NamedTuple):
+    """The items clicked in a window, by tag, by signature and by item (written tables)."""
 
-def _first_tag(m: Column, t: Column, n: Column, tags: Column) -> Column:
-    """True if ``t`` is the item's first selected tag in (n desc, tag asc) order."""
-    def earlier(s):
-        w = F.try_element_at(m, s)
-        return F.coalesce((w > n) | ((w == n) & (s < t)), F.lit(False))
-    return ~F.exists(tags, earlier)
+    by_tag: DataFrame       # tag_idx, bucket, prank, video_id, bag
+    tag_size: Size
+    signatures: DataFrame   # tag_idx, sig, bag
+    sig_size: Size
+    items: DataFrame        # sig, video_id, pop
+    item_size: Size
+    multiplicity: int
 
 
-def _unrolled(m: Column, t: Column, n: Column, tags: Column, width: int,
-              integral: bool) -> tuple[Column, Column]:
-    """(first-tag test, score) over at most ``width`` tags as plain expressions.
+def item_postings(items: ItemTags, pop: DataFrame) -> Postings:
+    """Postings of the items in ``pop`` (video_id, pop); the join restricts to clicked items.
 
-    Same results as ``_first_tag`` / ``_score``, but without lambdas: map
-    lookups, comparisons and sums that whole-stage codegen compiles (about 5x
-    faster per pair than the interpreted higher-order functions).
+    ``prank`` numbers a tag's items by popularity (``row_number``: ties cannot
+    make a prefix longer than its depth).
     """
+    side = cut_lineage(join_small(pop.select("video_id", "pop"), items.bags, "video_id", size=items.bag_size),
+                       "item-side")
+    posting = side.select("video_id", "pop", "bag", F.explode(F.map_keys("bag")).alias("tag_idx"))
+    order = Window.partitionBy("tag_idx").orderBy(F.col("pop").desc(), F.col("video_id"))
+    by_tag = cut_lineage(posting.withColumn("prank", F.row_number().over(order)).select(
+        "tag_idx", bucket(F.col("prank")).alias("bucket"), "prank", "video_id", "bag"), "postings")
+    distinct = side.groupBy("sig").agg(F.any_value("bag").alias("bag"))
+    signatures = cut_lineage(distinct.select("sig", "bag", F.explode(F.map_keys("bag")).alias("tag_idx")),
+                             "signatures")
+    by_sig = side.select("sig", "video_id", "pop")
+    return Postings(by_tag, measure(by_tag), signatures, measure(signatures), by_sig, measure(by_sig),
+                    items.multiplicity)
+
+
+def is_integral(selected: DataFrame) -> bool:
+    return not isinstance(selected.schema["n"].dataType, (DoubleType, FloatType, DecimalType))
+
+
+def key_tags(selected: DataFrame, key: str) -> DataFrame:
+    """(key, _t ARRAY<tag_idx>, _n ARRAY<n>, total): the key's tags by (n desc, tag asc)."""
+    ordered = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("neg"), "tag_idx")))
+    return selected.groupBy(key).agg(ordered.alias("_s"), F.max("total").alias("total")).select(
+        key, F.transform("_s", lambda s: s["tag_idx"]).alias("_t"),
+        F.transform("_s", lambda s: -s["neg"]).alias("_n"), "total")
+
+
+def _scored(pairs: DataFrame, k: int, integral: bool) -> DataFrame:
+    """Pairs kept at their first selected tag (``_i``), with ``score``."""
     zero = F.lit(0).cast("bigint") if integral else F.lit(0.0)
     earlier, score = F.lit(False), zero
-    for j in range(int(width)):
-        s = F.get(tags, j)
-        w = F.try_element_at(m, s)
-        earlier = earlier | F.coalesce((w > n) | ((w == n) & (s < t)), F.lit(False))
-        score = score + F.coalesce(w, zero)
-    return ~earlier, score
+    for j in range(int(k)):
+        times = F.coalesce(F.try_element_at("bag", F.get("_t", j)), F.lit(0))
+        earlier = earlier | ((F.lit(j) < F.col("_i")) & (times > 0))
+        score = score + F.coalesce(F.get("_n", j), zero) * times
+    return pairs.filter(~earlier).withColumn("score", score)
 
 
-def _score(m: Column, tags: Column, integral: bool) -> Column:
-    zero = F.lit(0).cast("bigint") if integral else F.lit(0.0)
-    return F.aggregate(tags, zero, lambda acc, s: acc + F.coalesce(F.try_element_at(m, s), zero))
-
+def _meet(keys: DataFrame, key_size: Size | None, side: DataFrame, side_size: Size, on: list[str]) -> DataFrame:
+    """Keys joined to postings: the smaller measured side is broadcast if it may be.
 
-def user_tag_maps(selected: DataFrame, key: str = "up_id") -> DataFrame:
-    """(key, _m MAP<tag_idx, n>, total): at most k entries per key."""
-    return selected.groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("tag_idx", "n"))).alias("_m"),
-        F.max("total").alias("total"))
+    A few labels travel to the item side, which stays spread; many users keep
+    their place and the item side travels; two large sides are shuffled.
+    """
+    if key_size is not None and key_size.bytes < side_size.bytes and fits(keys, key_size):
+        return side.join(F.broadcast(keys), on)
+    return join_small(keys, side, on, size=side_size)
 
 
-def top_candidates(selected: DataFrame, n: int, posting: DataFrame,
-                   posting_rows: int | None, mult: Column,
+def top_candidates(selected: DataFrame, k: int, n: int, postings: Postings, key: str = "up_id",
                    seen_pairs: DataFrame | None = None, seen_counts: DataFrame | None = None,
-                   prior: DataFrame | None = None, key: str = "up_id",
-                   limits: DataFrame | None = None) -> DataFrame:
+                   prior: DataFrame | None = None, limits: DataFrame | None = None) -> DataFrame:
     """(key, video_id, score, total, pop, lim): (unseen) pairs that can rank <= lim.
 
-    ``selected`` (key, tag_idx, n, total) -- the drawn tags of each user or label;
+    ``selected`` (key, tag_idx, n, total) -- at most ``k`` drawn tags of each key;
     ``limits`` (key, lim) -- list length per key (keys without one are skipped);
     otherwise ``prior`` (key, n_prior) gives ``lim = n - n_prior`` (keys with
     ``lim <= 0`` are skipped), and without either ``lim = n``;
-    ``seen_pairs`` (up_id, video_id) partitioned by user, ``seen_counts``
-    (up_id, w) -- user lists only; label lists pass neither.
-
-    The per-key frame (map of drawn tags, list length, seen count) is the
-    single producer of both passes and is persisted (keys x k entries), so
-    the distribution and the draws are computed once.
+    ``seen_pairs`` (up_id, video_id), ``seen_counts`` (up_id, w) -- user lists
+    only; label lists pass neither.
     """
-    integral = not isinstance(selected.schema["n"].dataType,
-                              (DoubleType, FloatType, DecimalType))
-    info = user_tag_maps(selected, key)
+    integral = is_integral(selected)
+    info = key_tags(selected, key).filter(F.col(key).isNotNull())
     if limits is not None:
         info = info.join(limits.select(key, F.col("lim").cast("bigint").alias("lim")), key)
     elif prior is None:
         info = info.withColumn("lim", F.lit(int(n)).cast("bigint"))
     else:
         info = (info.join(prior.select(key, "n_prior"), key, "left")
-                .withColumn("lim", (F.lit(int(n)) - F.coalesce(F.col("n_prior"), F.lit(0)))
-                            .cast("bigint"))
+                .withColumn("lim", (F.lit(int(n)) - F.coalesce("n_prior", F.lit(0))).cast("bigint"))
                 .filter(F.col("lim") > 0).drop("n_prior"))
     if seen_counts is not None:
         info = (info.join(seen_counts, key, "left")
-                .withColumn("w", F.coalesce(F.col("w"), F.lit(0)).cast("bigint")))
+                .withColumn("w", F.coalesce("w", F.lit(0)).cast("bigint")))
     else:
         info = info.withColumn("w", F.lit(0).cast("bigint"))
-    info = info.persist(StorageLevel.MEMORY_AND_DISK)
-    rows = info.select(key, "_m", "total", "lim", "w", F.explode("_m").alias("tag_idx", "n"))
-    sig_posting, items_by_sig = item_signatures(posting)
-
-    # longest tag list of an item (small side, one job): short lists are
-    # scored with unrolled expressions, long ones with array functions
-    width = posting.select(F.max(F.size("tags"))).first()[0] or 0
-
-    def generate(df: DataFrame, side: DataFrame, condition: Column) -> DataFrame:
-        pairs = join_small(df, side, "tag_idx", small_rows=posting_rows,
-                           salt_from=[key], condition=condition)
-        m, t, n_, tags = F.col("_m"), F.col("tag_idx"), F.col("n"), F.col("tags")
-        if width <= UNROLL_MAX:
-            first, score = _unrolled(m, t, n_, tags, width, integral)
-            return (pairs.withColumn("_first", first).withColumn("score", score)
-                    .filter(F.col("_first")).drop("_first"))
-        return (pairs.filter(_first_tag(m, t, n_, tags))
-                .withColumn("score", _score(m, tags, integral)))
+    info = cut_lineage(info, "key-tags")
+    per_label = seen_pairs is None
+    key_size = measure(info) if per_label else None
+    if not per_label:  # candidates then stay where their user is
+        info = info.repartition(key)
+    starts = info.select(key, "_t", "_n", "total", "lim", "w", F.posexplode("_t").alias("_i", "tag_idx"))
 
     def unseen(df: DataFrame) -> DataFrame:
-        if seen_pairs is None:
-            return df
-        return df.join(seen_pairs.hint("shuffle_hash"), ["up_id", "video_id"], "left_anti")
-
-    if integral:
-        # pass 1: score floor from the most popular items of each selected tag.
-        # The probe depth is capped (PROBE_SLACK beyond the list length) so its
-        # join stays keys x k x (lim + slack) rows; a key left with fewer than
-        # lim (unseen) probe items gets theta = 0 (no pruning), still exact.
-        if limits is None:
-            deepest = F.lit(int(n) + PROBE_SLACK)
-        else:
-            deepest = limits.select(F.max("lim") + PROBE_SLACK).scalar()
-        shallow = posting.filter(F.col("prank") <= deepest)
-        depth = F.col("lim") + F.least(F.col("w"), F.lit(PROBE_SLACK).cast("bigint"))
-        probe = generate(rows, shallow, F.col("prank") <= depth)
-        probe = unseen(probe.select(key, "video_id", "score", "lim"))
-        order = Window.partitionBy(key).orderBy(F.col("score").desc())
-        floor = (probe.withColumn("_k", F.row_number().over(order))
-                 .filter(F.col("_k") == F.col("lim"))
-                 .select(key, F.col("score").alias("theta")))
-        rows = (rows.join(floor, key, "left")
-                .withColumn("theta", F.coalesce(F.col("theta"), F.lit(0)).cast("bigint")))
-        # keep tag t_i only if t_i and the tags after it can still reach theta
-        suffix = (Window.partitionBy(key).orderBy(F.col("n").asc(), F.col("tag_idx").desc())
-                  .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        rows = (rows.withColumn("_suffix", F.sum("n").over(suffix))
-                .filter(F.col("_suffix") * mult >= F.col("theta")))
-        by_sig = generate(rows, sig_posting, F.lit(True)).filter(F.col("score") >= F.col("theta"))
-    else:
-        by_sig = generate(rows, sig_posting, F.lit(True))
-    # expand the surviving (key, signature) pairs to their items
-    cand = join_small(by_sig.select(key, "sig", "score", "total", "lim"), items_by_sig,
-                      "sig", small_rows=posting_rows, salt_from=[key])
-    cand = cand.select(key, "video_id", "score", "total", "pop", "lim")
-    return unseen(cand)
+        return df if per_label else df.join(seen_pairs, ["up_id", "video_id"], "left_anti")
+
+    # pass 1: score floor from the most popular items of each selected tag
+    depth = F.col("lim") + F.col("w")
+    wanted = starts.withColumn("bucket", F.explode(buckets_to(depth)))
+    probe = _meet(wanted, key_size, postings.by_tag, postings.tag_size, ["tag_idx", "bucket"])
+    probe = unseen(_scored(probe.filter(F.col("prank") <= depth), k, integral)
+                   .select(key, "video_id", "score", "lim"))
+    order = Window.partitionBy(key).orderBy(F.col("score").desc())
+    floor = (probe.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") == F.col("lim"))
+             .select(key, F.col("score").alias("theta")))
+    # pass 2: start from tag i only if it and the tags after it can still reach theta
+    rest = F.aggregate(F.slice("_n", F.col("_i") + 1, F.size("_n")), F.lit(0).cast("bigint") if integral
+                       else F.lit(0.0), lambda a, x: a + x)
+    reach = rest * F.lit(postings.multiplicity)
+    if not integral:
+        reach = reach * F.lit(1 + ROUNDING)
+    theta = F.coalesce("theta", F.lit(0).cast("bigint") if integral else F.lit(0.0))
+    rows = (starts.join(floor, key, "left").withColumn("theta", theta)
+            .filter(reach >= F.col("theta")))
+    by_sig = _scored(_meet(rows, key_size, postings.signatures, postings.sig_size, ["tag_idx"]), k, integral)
+    by_sig = by_sig.filter(F.col("score") >= F.col("theta")).select(key, "sig", "score", "total", "lim")
+    cand = join_small(by_sig, postings.items, "sig", size=postings.item_size)
+    return unseen(cand.select(key, "video_id", "score", "total", "pop", "lim"))
+
+
+def ranked_in_parts(cand: DataFrame, key: str, order: list[Column], limit: str, rank: str) -> DataFrame:
+    """``rank()`` per key up to the column ``limit``, first within parts of the key's items.
+
+    A row of rank <= limit has at most that rank in its own part, so a key with
+    very many candidates never meets in one task before its parts are cut.
+    """
+    part = F.pmod(F.xxhash64("video_id"), F.lit(RANK_PARTS)).cast("int")
+    local = (cand.withColumn("_part", part)
+             .withColumn("_r", F.rank().over(Window.partitionBy(key, "_part").orderBy(*order)))
+             .filter(F.col("_r") <= F.col(limit)).drop("_part", "_r"))
+    return (local.withColumn(rank, F.rank().over(Window.partitionBy(key).orderBy(*order)))
+            .filter(F.col(rank) <= F.col(limit)))

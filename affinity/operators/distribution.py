@@ -42,18 +42,46 @@ def watched_pairs(history: DataFrame, start=None, end=None) -> DataFrame:
             .groupBy("up_id", "video_id").agg(F.count(F.lit(1)).alias("c")))
 
 
-def _tag_counts(pairs: DataFrame, key: str, items: ItemTags) -> DataFrame:
-    """(key, tag_idx, n) from (key, video_id, c)."""
-    tagged = join_small(pairs, items.long.select("video_id", "tag_idx"), "video_id",
-                        small_rows=items.long_rows(), salt_from=[key])
-    return tagged.groupBy(key, "tag_idx").agg(F.sum("c").alias("n"))
+def counted_pairs(history: DataFrame, **windows) -> DataFrame:
+    """(up_id, video_id, <name>...): one scan, one count per named (start, end) window.
+
+    Every pair of the history is there (all of them count as seen), with 0 in
+    windows that it has no event in.
+    """
+    counts = [F.count_if(F.coalesce(in_range(F.col("play_date"), lo, hi), F.lit(False))).alias(name)
+              for name, (lo, hi) in windows.items()]
+    return history.groupBy("up_id", "video_id").agg(*counts)
+
+
+def pairs_in(pairs: DataFrame, name: str) -> DataFrame:
+    """(up_id, video_id, c) of one window of ``counted_pairs``."""
+    return pairs.filter(F.col(name) > 0).select("up_id", "video_id", F.col(name).alias("c"))
+
+
+def _tag_counts(pairs: DataFrame, key: str, items: ItemTags, counts: tuple[str, ...] = ("c",)) -> DataFrame:
+    """(key, tag_idx, n...) from (key, video_id, c...)."""
+    tagged = join_small(pairs, items.long.select("video_id", "tag_idx"), "video_id", size=items.long_size)
+    names = ("n",) if counts == ("c",) else counts
+    return tagged.groupBy(key, "tag_idx").agg(*[F.sum(c).alias(n) for c, n in zip(counts, names)])
+
+
+def user_distribution_of(pairs: DataFrame, items: ItemTags) -> DataFrame:
+    """O9 from (up_id, video_id, c)."""
+    return _with_prob(_tag_counts(pairs, "up_id", items), "up_id")
+
+
+def label_distribution_of(label: str, profile: DataFrame, pairs: DataFrame, items: ItemTags) -> DataFrame:
+    """O8 from (up_id, video_id, c)."""
+    col = label_column(label)
+    users = profile.select(F.col("id").alias("up_id"), col)
+    by_label = pairs.join(users, "up_id").groupBy(col, "video_id").agg(F.sum("c").alias("c"))
+    return _with_prob(_tag_counts(by_label, col, items), col)
 
 
 def user_tag_distribution(history: DataFrame, items: ItemTags, start=None,
                           end=None) -> DataFrame:
     """(up_id, tag_idx, n, total, prob) over events in ``[start, end]``."""
-    counts = _tag_counts(watched_pairs(history, start, end), "up_id", items)
-    return _with_prob(counts, "up_id")
+    return user_distribution_of(watched_pairs(history, start, end), items)
 
 
 def label_tag_distribution(label: str, profile: DataFrame, history: DataFrame,
@@ -64,12 +92,13 @@ def label_tag_distribution(label: str, profile: DataFrame, history: DataFrame,
     counts, as in the reference); a NULL label is its own group here and
     drops out later at the label join.
     """
-    col = label_column(label)
-    users = profile.select(F.col("id").alias("up_id"), col)
-    pairs = watched_pairs(history, start, end).join(users, "up_id")
-    by_label = pairs.groupBy(col, "video_id").agg(F.sum("c").alias("c"))
-    counts = _tag_counts(by_label, col, items)
-    return _with_prob(counts, col)
+    return label_distribution_of(label, profile, watched_pairs(history, start, end), items)
+
+
+def two_sided_counts(history: DataFrame, items: ItemTags, old: tuple, new: tuple) -> DataFrame:
+    """(up_id, tag_idx, old, new): tag counts of two windows from one scan of the events."""
+    pairs = counted_pairs(history, old=old, new=new).filter("old > 0 OR new > 0")
+    return _tag_counts(pairs, "up_id", items, ("old", "new"))
 
 
 def dense_distribution(dist: DataFrame, key: str, n_tags: int) -> DataFrame:

@@ -2,33 +2,32 @@
 
 Plan shape (user recommender):
 
-* the selected tags ``(up_id, tag_idx, n, total)`` come out of the
-  distribution window, hash-partitioned by ``up_id``;
-* the item side ``(video_id, tag_idx, pop)`` is broadcast when its size is
-  proven (else a salted join), so candidates are produced in place and the
-  sum per ``(up_id, video_id)`` needs no shuffle;
+* a key's selected tags come out of the distribution window and are written
+  once; users are then partitioned by ``up_id`` and stay in place;
+* postings of the clicked items are broadcast when their measured size allows
+  (else both sides are shuffled), so candidates are generated and scored
+  without moving;
 * the seen history is repartitioned by ``up_id`` and anti-joined
   (co-partitioned), the rank window reuses the same partitioning.
 
-So the user x item candidate volume is generated, reduced and ranked without
-ever crossing the network.  Scores are integer sums divided once
-(``prob_sum = sum(n) / total``), which makes ties exact.
+Candidates come from the score-floor generator in ``candidates.py``, at every
+size.  Scores are integer sums divided once (``prob_sum = sum(n) / total``),
+which makes ties exact.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType, DoubleType, FloatType
 
 from ..functions.dates import as_date, days_before
-from ..functions.joins import bounded_rows, broadcast_cap, join_small
+from ..functions.joins import join_small, measure
 from ..session import cut_lineage
 from ..sources.inputs import ItemTags, label_column
-from .candidates import item_postings, max_multiplicity, top_candidates
-from .distribution import label_tag_distribution, user_tag_distribution
-from .popularity import item_popularity
+from .candidates import (bucket, buckets_to, is_integral, item_postings, ranked_in_parts,
+                         top_candidates)
+from .distribution import (counted_pairs, label_distribution_of, pairs_in, user_distribution_of)
+from .popularity import pair_popularity
 from .sampling import select_tags
 
 RECENT, OLDER = 0, 1
@@ -40,30 +39,25 @@ def item_side(items: ItemTags, pop: DataFrame) -> DataFrame:
     An item needs a click in the window to be a candidate; the popularity
     join doubles as that restriction (before the explode, in both modes).
     """
-    return join_small(pop.select("video_id", "pop"),
-                      items.long.select("video_id", "tag_idx"), "video_id",
-                      small_rows=items.long_rows())
+    return join_small(pop.select("video_id", "pop"), items.long.select("video_id", "tag_idx"),
+                      "video_id", size=items.long_size)
 
 
-def score_items(selected: DataFrame, key: str, side: DataFrame,
-                side_rows: int | None, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(key, video_id, prob_sum, pop, *carry) for items sharing a selected tag.
+def score_items(selected: DataFrame, key: str, side: DataFrame) -> DataFrame:
+    """(key, video_id, prob_sum, pop) for all items sharing a selected tag.
 
     ``prob_sum`` is the summed probability of the item's selected tags (a tag
-    listed twice for an item counts twice, as in the reference).
+    listed twice for an item counts twice, as in the reference).  The
+    recommenders do not use this volume: see ``candidates.py``.
     """
-    integral = not isinstance(selected.schema["n"].dataType,
-                              (DoubleType, FloatType, DecimalType))
-    joined = join_small(selected.select(key, "tag_idx", "n", "total", "prob", *carry),
-                        side, "tag_idx", small_rows=side_rows, salt_from=[key])
-    group = [key, "video_id", "pop", *carry]
-    if integral:
-        agg = joined.groupBy(*group, "total").agg(F.sum("n").alias("_sn"))
+    joined = selected.select(key, "tag_idx", "n", "total", "prob").join(side, "tag_idx")
+    if is_integral(selected):
+        agg = joined.groupBy(key, "video_id", "pop", "total").agg(F.sum("n").alias("_sn"))
         prob_sum = (F.col("_sn") / F.col("total")).alias("prob_sum")
     else:
-        agg = joined.groupBy(*group).agg(F.sum("prob").alias("_sp"))
+        agg = joined.groupBy(key, "video_id", "pop").agg(F.sum("prob").alias("_sp"))
         prob_sum = F.col("_sp").alias("prob_sum")
-    return agg.select(key, "video_id", prob_sum, "pop", *carry)
+    return agg.select(key, "video_id", prob_sum, "pop")
 
 
 def seen_by_user(seen: DataFrame) -> DataFrame:
@@ -78,8 +72,7 @@ def seen_by_user(seen: DataFrame) -> DataFrame:
 
 def exclude_seen(cand: DataFrame, seen: DataFrame) -> DataFrame:
     """Drop (user, item) pairs present in ``seen`` (a left anti join)."""
-    return cand.join(seen_by_user(seen).hint("shuffle_hash"), ["up_id", "video_id"],
-                     "left_anti")
+    return cand.join(seen_by_user(seen), ["up_id", "video_id"], "left_anti")
 
 
 def rank_order(source: Column | None = None) -> list[Column]:
@@ -114,13 +107,9 @@ def user_recommendations(dist: DataFrame, pop: DataFrame, items: ItemTags, seen:
                          prior: DataFrame | None = None, ties: str = "keep") -> DataFrame:
     """(up_id, video_id, prob_sum, pop, rank, lim); see ``recommend_by_user``."""
     selected = select_tags(dist, "up_id", k, seed, mode)
-    integral = not isinstance(selected.schema["n"].dataType,
-                              (DoubleType, FloatType, DecimalType))
-    # small side (size-checked), read by the probe, the signatures and the expansion
-    posting = item_postings(item_side(items, pop)).persist(StorageLevel.MEMORY_AND_DISK)
-    cand = top_candidates(selected, n, posting, items.long_rows(), max_multiplicity(items.long),
-                          seen_by_user(seen), seen_counts(seen), prior)
-    prob_sum = (F.col("score") / F.col("total")) if integral else F.col("score")
+    cand = top_candidates(selected, k, n, item_postings(items, pop), "up_id", seen_by_user(seen),
+                          seen_counts(seen), prior)
+    prob_sum = (F.col("score") / F.col("total")) if is_integral(selected) else F.col("score")
     return rank_top_n(cand.select("up_id", "video_id", prob_sum.alias("prob_sum"), "pop", "lim"),
                       n, ties=ties, limit_col="lim")
 
@@ -131,55 +120,30 @@ def recommend_by_user(dist: DataFrame, pop: DataFrame, items: ItemTags, seen: Da
     """(up_id, video_id, prob_sum, pop, rank) from per-user distributions.
 
     ``prior`` (up_id, n_prior) caps each user at ``n - n_prior`` rows and
-    skips users already at n (the older-window fill of O19).  Below a proven
-    users x items bound every candidate is scored directly; above it (and
-    for the fill) candidates come from the exact score-floor generator in
-    ``candidates.py``: only pairs that can reach rank <= n are materialised,
-    anti-joined and ranked.
+    skips users already at n (the older-window fill of O19).
     """
-    if prior is None and direct_is_small(dist.select("up_id"), items):
-        # users x items is proven small: score every candidate directly
-        selected = select_tags(dist, "up_id", k, seed, mode)
-        cand = score_items(selected, "up_id", item_side(items, pop), items.long_rows())
-        out = rank_top_n(exclude_seen(cand, seen), n, ties=ties)
-    else:
-        out = user_recommendations(dist, pop, items, seen, k, n, seed, mode, prior, ties)
+    out = user_recommendations(dist, pop, items, seen, k, n, seed, mode, prior, ties)
     return out.select("up_id", "video_id", "prob_sum", "pop", "rank")
 
 
 def seen_counts(seen: DataFrame) -> DataFrame:
     """(up_id, w): distinct items each user has seen (reuses the by-user shuffle)."""
-    return seen_by_user(seen).groupBy("up_id").agg(
-        F.count_distinct("video_id").alias("w"))
+    return seen_by_user(seen).groupBy("up_id").agg(F.count(F.lit(1)).alias("w"))
 
 
-def label_candidates(label: str, dist: DataFrame, pop: DataFrame, items: ItemTags,
-                     k: int, seed: int = 42, mode: str = "sample",
-                     cut: DataFrame | None = None) -> DataFrame:
-    """(label, video_id, prob_sum, pop, label_rank) per label (O17 first half).
+def label_candidates(label: str, dist: DataFrame, pop: DataFrame, items: ItemTags, k: int,
+                     limits: DataFrame, seed: int = 42, mode: str = "sample") -> DataFrame:
+    """(label, video_id, prob_sum, pop, label_rank) per label up to ``limits`` (label, lim).
 
-    With ``cut`` (label, lim) only the rows with ``label_rank <= lim`` are
-    produced, through the exact score-floor generator (signatures scored per
-    label, expanded only above the floor); without it every candidate is
-    scored and ranked.
+    O17 first half.  The few labels travel to the item side, which stays
+    spread; each label's list is ranked in parts first.
     """
     col = label_column(label)
     selected = select_tags(dist, col, k, seed, mode)
-    if cut is None:
-        cand = score_items(selected, col, item_side(items, pop), items.long_rows())
-    else:
-        integral = not isinstance(selected.schema["n"].dataType,
-                                  (DoubleType, FloatType, DecimalType))
-        posting = item_postings(item_side(items, pop)).persist(StorageLevel.MEMORY_AND_DISK)
-        top = top_candidates(selected, 0, posting, items.long_rows(),
-                             max_multiplicity(items.long), key=col, limits=cut)
-        prob_sum = (F.col("score") / F.col("total")) if integral else F.col("score")
-        cand = top.select(col, "video_id", prob_sum.alias("prob_sum"), "pop", "lim")
-    order = Window.partitionBy(col).orderBy(*rank_order())
-    ranked = cand.withColumn("label_rank", F.rank().over(order))
-    if cut is not None:
-        ranked = ranked.filter(F.col("label_rank") <= F.col("lim")).drop("lim")
-    return ranked
+    cand = top_candidates(selected, k, 0, item_postings(items, pop), key=col, limits=limits)
+    prob_sum = (F.col("score") / F.col("total")) if is_integral(selected) else F.col("score")
+    cand = cand.select(col, "video_id", prob_sum.alias("prob_sum"), "pop", "lim")
+    return ranked_in_parts(cand, col, rank_order(), "lim", "label_rank").drop("lim")
 
 
 def _label_people(label: str, profile: DataFrame, seen: DataFrame,
@@ -206,59 +170,51 @@ def expand_label_to_users(label: str, cand: DataFrame, people: DataFrame,
 
     Cut: if item x ends in user u's top n, at most n - 1 unseen items beat
     it, and at most w(u) seen ones, so its rank in u's label list is at most
-    n + w(u).  ``cand`` holds label ranks up to ``n + max w``; the fan-out
-    keeps ``label_rank <= n + w(u)``, so it emits at most n + w(u) rows per
-    user and label (exact, ties included).
+    n + w(u) (exact, ties included).  Lists are cut into rank buckets of
+    powers of two and a user joins only the buckets up to that depth: one user
+    with a long history makes nobody else read further.
     """
     col = label_column(label)
-    kept = cand.persist(StorageLevel.MEMORY_AND_DISK)
-    cond = F.col("label_rank") <= F.lit(int(n)) + F.col("w")
-    fan = join_small(people, kept, col, small_rows=bounded_rows(kept, broadcast_cap(kept)),
-                     salt_from=["up_id"], condition=cond)
+    lists = cut_lineage(cand.withColumn("bucket", bucket(F.col("label_rank"))), "label-lists")
+    depth = F.lit(int(n)) + F.col("w")
+    asking = people.withColumn("bucket", F.explode(buckets_to(depth)))
+    fan = join_small(asking, lists, [col, "bucket"], size=measure(lists),
+                     condition=F.col("label_rank") <= depth)
     extra = ["lim"] if restricted else []
     return fan.select("up_id", "video_id", "prob_sum", "pop", *extra)
 
 
-DIRECT_CONF = "spark.affinity.directMaxPairs"
-DIRECT_MAX_PAIRS = 200_000_000
-
-
-def direct_is_small(keys: DataFrame, items: ItemTags) -> bool:
-    """True if (distinct keys x item-tag rows) is proven below the direct cap.
-
-    ``keys`` holds the users or labels to be scored (duplicates allowed; a
-    capped distinct count bounds them).  Below the cap every candidate is
-    scored directly; above it the score-floor generator runs.
-    """
-    cap = int(keys.sparkSession.conf.get(DIRECT_CONF, str(DIRECT_MAX_PAIRS)))
-    item_rows = items.long_rows()
-    if item_rows is None:
-        return False
-    if item_rows == 0:
-        return True
-    return bounded_rows(keys.distinct(), max(cap // item_rows, 0)) is not None
-
-
 def recommend_by_label(label: str, dist: DataFrame, pop: DataFrame, items: ItemTags,
                        profile: DataFrame, seen: DataFrame, k: int, n: int,
                        seed: int = 42, mode: str = "sample",
                        users: DataFrame | None = None, ties: str = "keep") -> DataFrame:
     """(up_id, video_id, prob_sum, pop, rank) from per-label distributions."""
     people = _label_people(label, profile, seen, users)
-    cut = label_cut(label, people, n)
-    if direct_is_small(profile.select(label_column(label)), items):
-        # labels x items is proven small: score every candidate, cut by rank
-        cand = label_candidates(label, dist, pop, items, k, seed, mode)
-        cand = (cand.join(cut, label_column(label))
-                .filter(F.col("label_rank") <= F.col("lim")).drop("lim"))
-    else:
-        cand = label_candidates(label, dist, pop, items, k, seed, mode, cut=cut)
+    cand = label_candidates(label, dist, pop, items, k, label_cut(label, people, n), seed, mode)
     per_user = expand_label_to_users(label, cand, people, n, users is not None)
     ranked = rank_top_n(exclude_seen(per_user, seen), n, ties=ties,
                         limit_col="lim" if users is not None else None)
     return ranked.select("up_id", "video_id", "prob_sum", "pop", "rank")
 
 
+def recommend_user_window(history: DataFrame, items: ItemTags, start, end, k: int, n: int,
+                          seed: int = 42, mode: str = "sample", ties: str = "keep") -> DataFrame:
+    """O18 over the events of ``[start, end]``: one scan gives interest, popularity and seen pairs."""
+    pairs = cut_lineage(counted_pairs(history, c=(start, end)), "pairs")
+    window = pairs_in(pairs, "c")
+    return recommend_by_user(user_distribution_of(window, items), pair_popularity(window), items, pairs,
+                             k, n, seed, mode, ties=ties)
+
+
+def recommend_label_window(label: str, profile: DataFrame, history: DataFrame, items: ItemTags, start, end,
+                           k: int, n: int, seed: int = 42, mode: str = "sample", ties: str = "keep") -> DataFrame:
+    """O17 over the events of ``[start, end]``, from one scan."""
+    pairs = cut_lineage(counted_pairs(history, c=(start, end)), "pairs")
+    window = pairs_in(pairs, "c")
+    return recommend_by_label(label, label_distribution_of(label, profile, window, items),
+                              pair_popularity(window), items, profile, pairs, k, n, seed, mode, ties=ties)
+
+
 def _merge_windows(recent: DataFrame, older: DataFrame) -> DataFrame:
     """Recent rows first (own rank), older rows after them (n_recent + rank)."""
     head = recent.select("up_id", "video_id", F.col("rank").cast("int").alias("rank"),
@@ -288,26 +244,28 @@ def recommend_user_two_window(history: DataFrame, items: ItemTags, k: int, n: in
     A user with fewer than n recent rows gets ``n - n_recent`` more from the
     whole history up to ``to_date`` (items already recommended excluded),
     ranked after the recent rows.  The whole-history pass only generates
-    candidates for those users.  The recent list (users x n rows) is
-    checkpointed to the shared folder: it feeds the merge, the per-user
-    counts and the exclusion, and the whole-history pass never depends on
-    the recent pass's lineage.
+    candidates for those users.  The history is scanned once, into written
+    counts per (user, item); the recent list (users x n rows) is written too,
+    as it feeds the merge, the per-user counts and the exclusion.
     """
     to_date = as_date(to_date)
-    seen = history if seen is None else seen
-    start = days_before(to_date, window_days)
-    recent = recommend_by_user(user_tag_distribution(history, items, start, to_date),
-                               item_popularity(history, start, to_date), items, seen,
-                               k, n, seed, mode, ties=ties)
-    recent = cut_lineage(recent, "recent-user-list")
+    pairs = _window_counts(history, to_date, window_days)
+    new, old = pairs_in(pairs, "recent"), pairs_in(pairs, "older")
+    seen = pairs if seen is None else seen
+    recent = cut_lineage(recommend_by_user(user_distribution_of(new, items), pair_popularity(new), items, seen,
+                                           k, n, seed, mode, ties=ties), "recent-user-list")
     prior = recent.groupBy("up_id").agg(F.count(F.lit(1)).alias("n_prior"))
     seen_old = seen.select("up_id", "video_id").unionByName(recent.select("up_id", "video_id"))
-    older = user_recommendations(user_tag_distribution(history, items, None, to_date),
-                                 item_popularity(history, None, to_date), items, seen_old,
+    older = user_recommendations(user_distribution_of(old, items), pair_popularity(old), items, seen_old,
                                  k, n, seed, mode, prior=prior, ties=ties)
     return _merge_windows(recent, older.withColumn("n_recent", F.lit(int(n)) - F.col("lim")))
 
 
+def _window_counts(history: DataFrame, to_date, window_days: int) -> DataFrame:
+    return cut_lineage(counted_pairs(history, recent=(days_before(to_date, window_days), to_date),
+                                     older=(None, to_date)), "pairs")
+
+
 def recommend_label_two_window(label: str, profile: DataFrame, history: DataFrame,
                                items: ItemTags, k: int, n: int, to_date, window_days: int,
                                seed: int = 42, mode: str = "sample",
@@ -315,21 +273,19 @@ def recommend_label_two_window(label: str, profile: DataFrame, history: DataFram
                                ties: str = "keep") -> DataFrame:
     """The label twin of O19 (city or phone)."""
     to_date = as_date(to_date)
-    seen = history if seen is None else seen
-    start = days_before(to_date, window_days)
-    recent = recommend_by_label(
-        label, label_tag_distribution(label, profile, history, items, start, to_date),
-        item_popularity(history, start, to_date), items, profile, seen, k, n, seed, mode,
-        ties=ties)
-    recent = cut_lineage(recent, "recent-label-list")
+    pairs = _window_counts(history, to_date, window_days)
+    new, old = pairs_in(pairs, "recent"), pairs_in(pairs, "older")
+    seen = pairs if seen is None else seen
+    recent = cut_lineage(recommend_by_label(
+        label, label_distribution_of(label, profile, new, items), pair_popularity(new), items, profile,
+        seen, k, n, seed, mode, ties=ties), "recent-label-list")
     col = label_column(label)
     people = (profile.filter(F.col(col).isNotNull())
               .select(F.col("id").alias("up_id")).distinct())
-    short = _short_users(people, recent, n)
+    short = cut_lineage(_short_users(people, recent, n), "short-users")
     seen_old = seen.select("up_id", "video_id").unionByName(recent.select("up_id", "video_id"))
     older = recommend_by_label(
-        label, label_tag_distribution(label, profile, history, items, None, to_date),
-        item_popularity(history, None, to_date), items, profile, seen_old, k, n, seed,
-        mode, users=short, ties=ties)
+        label, label_distribution_of(label, profile, old, items), pair_popularity(old), items, profile,
+        seen_old, k, n, seed, mode, users=short, ties=ties)
     older = older.join(short.select("up_id", "n_recent"), "up_id")
     return _merge_windows(recent, older)

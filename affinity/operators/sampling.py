@@ -1,7 +1,6 @@
 """Drawing k tags per key from its distribution (O11) or taking the top k.
 
-Sampling is a plain filter over the long distribution: no UDF, no join, no
-driver state.  For each key the tags are laid out on ``[0, total)`` in
+Sampling is a filter over each key's entries: no UDF, no join, no driver state.  For each key the tags are laid out on ``[0, total)`` in
 tag-index order (``hi`` = running count); draw ``j`` selects the tag whose
 interval ``[hi - n, hi)`` contains ``u_j * total`` with
 ``u_j = draw_hash(seed, key, j) / 2**32``.  A tag drawn several times is kept
@@ -11,7 +10,7 @@ drawn, and the same seed gives the same tags on every run and engine.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, DoubleType, FloatType
 
@@ -23,36 +22,39 @@ def _running(key: str) -> Window:
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
+def _position(h: Column, total: Column) -> Column:
+    """floor(h * total / 2**32) for h < 2**32 in BIGINT, without overflow.
+
+    ``total`` is split at bit 32 and ``h`` at bit 16, so that no product
+    exceeds 63 bits.
+    """
+    high, low = F.shiftright(total, 32), total.bitwiseAND(F.lit(DRAW_RANGE - 1))
+    a, b = F.shiftright(h, 16), h.bitwiseAND(F.lit(0xFFFF))
+    return h * high + F.shiftright(a * low + F.shiftright(b * low, 16), 16)
+
+
 def sample_tags(dist: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
     """The distinct tags hit by k seeded inverse-CDF draws per key.
 
-    Keeps the distribution's columns ``(key, tag_idx, n, total, prob)``.
-    Each (key, tag) row hashes the key's k draws itself: k x support (at
-    most k x D) md5 calls per key, linear in the number of keys and with no
-    join; hashing once per key and range-joining the draws measured slower
-    at the tested scale.  Integer counts are compared exactly in DECIMAL(38,0) (``h * total`` can
-    exceed BIGINT once a key has more than 2^31 tag events); a DOUBLE
-    distribution given as a vector is compared in DOUBLE.
+    Keeps the distribution's columns ``(key, tag_idx, n, total, prob)``.  A
+    key's at most D entries meet in one array (they already share a partition
+    after the distribution's window); its k draws are hashed once and turned
+    into positions on [0, total), and only the entries hit are exploded again.
+    Counts are compared exactly in BIGINT, a DOUBLE distribution given as a
+    vector in DOUBLE.
     """
     if k <= 0:
         return dist.limit(0)
     exact = not isinstance(dist.schema["n"].dataType, (DoubleType, FloatType, DecimalType))
-    with_hi = dist.withColumn("_hi", F.sum("n").over(_running(key)))
-    hs = draws(seed, F.col(key), k)
-    if exact:
-        def num(c):
-            return c.cast("decimal(20,0)")
-        scale = F.lit(DRAW_RANGE).cast("decimal(20,0)")
-        lo = num(F.col("_hi") - F.col("n")) * scale
-        hi = num(F.col("_hi")) * scale
-        tot = num(F.col("total"))
-        hit = F.exists(hs, lambda h: (num(h) * tot >= lo) & (num(h) * tot < hi))
-    else:
-        scale = F.lit(float(DRAW_RANGE))
-        lo = (F.col("_hi") - F.col("n")) * scale
-        hi = F.col("_hi") * scale
-        hit = F.exists(hs, lambda h: (h * F.col("total") >= lo) & (h * F.col("total") < hi))
-    return with_hi.filter(hit).drop("_hi")
+    entry = F.struct("tag_idx", "n", "total", "prob", F.sum("n").over(_running(key)).alias("hi"))
+    per_key = (dist.select(key, entry.alias("e")).groupBy(key)
+               .agg(F.collect_list("e").alias("es"), F.max("e.total").alias("total")))
+    total = F.col("total")
+    at = F.transform(draws(seed, F.col(key), k), lambda h: _position(h, total) if exact
+                     else h * total / F.lit(float(DRAW_RANGE)))
+    hit = F.filter("es", lambda e: F.exists("at", lambda p: (p >= e["hi"] - e["n"]) & (p < e["hi"])))
+    return (per_key.withColumn("at", at).select(key, F.explode(hit).alias("e"))
+            .select(key, "e.tag_idx", "e.n", "e.total", "e.prob"))
 
 
 def top_tags(dist: DataFrame, key: str, k: int) -> DataFrame:

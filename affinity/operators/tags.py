@@ -1,11 +1,11 @@
-"""Item tags: tokens, dictionary, long form and multi-hot view."""
+"""Item tags: tokens, dictionary, long form, bags and multi-hot view."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.joins import join_small
+from ..functions.joins import Size, join_small
 
 TAG_SEPARATOR = ","
 
@@ -20,7 +20,7 @@ def tag_tokens(rows: DataFrame, csv_col: str = "video_second_class") -> DataFram
     return rows.select("video_id", F.explode(_token_set(csv_col)).alias("tag"))
 
 
-def _token_set(csv_col: str):
+def _token_set(csv_col: str) -> Column:
     return F.array_distinct(F.filter(F.split(F.col(csv_col), TAG_SEPARATOR),
                                      lambda t: t != ""))
 
@@ -28,48 +28,50 @@ def _token_set(csv_col: str):
 def tag_dictionary(vocabulary: DataFrame) -> DataFrame:
     """(tag, tag_idx): dense 0-based index in lexicographic (binary) order.
 
-    ``vocabulary`` must hold distinct tags and be proven small (at most the
-    vector length D, checked by the loader): the single ordered window below
-    runs in one task.
+    ``vocabulary`` must hold distinct tags and be counted (at most the vector
+    length D, checked by the loader): the single ordered window below runs in
+    one task.
     """
     order = Window.orderBy("tag")
     return vocabulary.select(
         "tag", (F.row_number().over(order) - 1).cast("int").alias("tag_idx"))
 
 
-def item_tags_long(rows: DataFrame, dictionary: DataFrame, dict_rows: int) -> DataFrame:
+def item_tags_long(rows: DataFrame, dictionary: DataFrame, size: Size) -> DataFrame:
     """(video_id, tag, tag_idx): the multi-hot table in long form.
 
-    The dictionary holds ``dict_rows`` (<= D) rows, counted by the loader: it
-    is broadcast under the session cap, so the item table is not shuffled
-    here (a salted join beyond it).
+    The dictionary holds at most D rows, so the item table is not shuffled.
     """
-    return join_small(tag_tokens(rows), dictionary, "tag", small_rows=dict_rows,
-                      salt_from=["video_id"])
+    return join_small(tag_tokens(rows), dictionary, "tag", size=size)
 
 
-def multi_hot(rows: DataFrame, dictionary: DataFrame, n_tags: int,
-              dict_rows: int) -> DataFrame:
+def item_bags(long: DataFrame) -> DataFrame:
+    """(video_id, bag MAP<tag_idx, times>, sig): each item's tags with their multiplicity.
+
+    ``sig`` spells the bag out: items with the same bag score the same for
+    every user.  At most D entries per item.
+    """
+    times = long.groupBy("video_id", "tag_idx").agg(F.count(F.lit(1)).alias("times"))
+    entries = times.groupBy("video_id").agg(
+        F.sort_array(F.collect_list(F.struct("tag_idx", F.col("times").cast("int").alias("times")))).alias("e"))
+    sig = F.array_join(F.transform("e", lambda x: F.concat_ws(
+        ":", x["tag_idx"].cast("string"), x["times"].cast("string"))), ",")
+    return entries.select("video_id", F.map_from_entries("e").alias("bag"), sig.alias("sig"))
+
+
+def multi_hot(rows: DataFrame, dictionary: DataFrame, n_tags: int) -> DataFrame:
     """(video_id, tags ARRAY<TINYINT>) of length D, one row per tag-table row.
 
-    Identical source rows are grouped once and replicated back, so the output
-    keeps one vector per input row.
+    Map-side: the dictionary (at most D tags) is one array value, and every
+    slot tests whether its tag is among the row's tokens.
     """
-    grouped = rows.groupBy("video_id", "video_second_class").agg(
-        F.count(F.lit(1)).alias("_dup"))
-    keyed = (grouped.select("video_id", "video_second_class", "_dup",
-                            F.explode(_token_set("video_second_class")).alias("tag"))
-             .transform(lambda df: join_small(df, dictionary, "tag", small_rows=dict_rows,
-                                              salt_from=["video_id"])))
-    sets = keyed.groupBy("video_id", "video_second_class", "_dup").agg(
-        F.collect_set("tag_idx").alias("_idx"))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(int(n_tags) - 1)),
-                         lambda i: F.when(F.array_contains("_idx", i), 1).otherwise(0)
-                         .cast("tinyint"))
-    return (sets.select("video_id", vector.alias("tags"),
-                        F.explode(F.array_repeat(F.lit(0), F.col("_dup").cast("int")))
-                        .alias("_rep"))
-            .drop("_rep"))
+    words = dictionary.agg(F.transform(F.sort_array(F.collect_list(F.struct("tag_idx", "tag"))),
+                                       lambda e: e["tag"])).scalar()
+    tokens = rows.select("video_id", _token_set("video_second_class").alias("_tokens"))
+    vector = F.transform(F.sequence(F.lit(0), F.lit(int(n_tags) - 1)), lambda i: F.coalesce(
+        F.array_contains("_tokens", F.get("_words", i)), F.lit(False)).cast("tinyint"))
+    return (tokens.filter(F.size("_tokens") > 0).withColumn("_words", words)
+            .select("video_id", vector.alias("tags")))
 
 
 def tag_index_list(dense: DataFrame, tags_col: str = "tags") -> DataFrame:

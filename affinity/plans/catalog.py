@@ -17,16 +17,18 @@ from ..functions.kl import kl_dense
 from ..operators import tags as tag_ops
 from ..operators.distribution import (dense_distribution, label_tag_distribution,
                                       user_tag_distribution)
-from ..operators.drift import kl_divergence, kl_summary, weekly_drift
-from ..operators.evaluate import evaluate_precision, holdout_split
+from ..operators.drift import kl_summary, user_drift, weekly_drift
+from ..operators.evaluate import evaluate_precision, split_summary
 from ..operators.popularity import item_popularity
-from ..operators.recommend import (item_side, recommend_by_label, recommend_by_user,
-                                   recommend_label_two_window, recommend_user_two_window,
-                                   score_items)
+from ..operators.recommend import (exclude_seen, expand_label_to_users, item_side, label_candidates, label_cut,
+                                   rank_top_n, recommend_label_two_window, recommend_label_window,
+                                   recommend_user_two_window, recommend_user_window, score_items)
+from ..operators.recommend import _label_people as label_people
 from ..operators.sampling import sample_tags, top_tags
-from ..sources.inputs import Inputs
-from ..sources.sinks import enrich_recommendations, save_distribution
-from ..sources.testdata import events_history, testdata_inputs
+from ..sources.inputs import Inputs, load_item_tags
+from ..sources.sinks import enrich_and_save_recs, enrich_recommendations, save_distribution
+from ..sources.testdata import events_history, events_tags, testdata_inputs
+from .jobs import recommendations, run_rec, run_stat, run_train
 
 # Fixed query parameters (shared with oracle.py).
 N_TAGS = 80                          # vector length D
@@ -50,9 +52,10 @@ _LOADED: dict[str, tuple[SparkSession, str, Inputs]] = {}
 def _inputs(spark: SparkSession, sf_dir: str) -> Inputs:
     """The three inputs, loaded once per session and directory.
 
-    Loading runs the capped counts that prove the dictionary and item-side
-    bounds; like a job that loads its inputs once, later queries reuse them.
-    A new session (or a restarted application) loads again.
+    Loading writes the item-tag tables to the shared folder and measures them,
+    like a job that prepares its inputs once; measured sizes therefore belong
+    to what later queries read, whatever happens to the source files.  A new
+    session (or a restarted application) loads again.
     """
     app = spark.sparkContext.applicationId
     hit = _LOADED.get(sf_dir)
@@ -62,6 +65,15 @@ def _inputs(spark: SparkSession, sf_dir: str) -> Inputs:
     return hit[2]
 
 
+def forget_inputs() -> None:
+    """Drop the memo of loaded inputs (after ``session.release``)."""
+    _LOADED.clear()
+
+
+def q_profile_clean(spark, sf_dir):
+    return _inputs(spark, sf_dir).profile
+
+
 def q_history_clean(spark, sf_dir):
     return _inputs(spark, sf_dir).history
 
@@ -139,17 +151,28 @@ def q_top_tags_city(spark, sf_dir):
     return top_tags(_label_dist(spark, sf_dir, "city"), "reside_city", K)
 
 
+SCORED = 20  # scored items reported per user
+
+
+def _scored_user(i: Inputs) -> DataFrame:
+    selected = sample_tags(_user_dist(i, RECENT_FROM, TO_DATE), "up_id", K, SEED)
+    return score_items(selected, "up_id", item_side(i.items, item_popularity(i.history, RECENT_FROM, TO_DATE)))
+
+
 def q_score_items_user(spark, sf_dir):
+    """Each user's best scored items, seen ones included."""
+    best = rank_top_n(_scored_user(_inputs(spark, sf_dir)), SCORED)
+    return best.select("up_id", "video_id", "prob_sum", "pop")
+
+
+def q_unseen_candidates(spark, sf_dir):
+    """Each user's best scored items after the seen ones are excluded."""
     i = _inputs(spark, sf_dir)
-    selected = sample_tags(_user_dist(i, RECENT_FROM, TO_DATE), "up_id", K, SEED)
-    side = item_side(i.items, item_popularity(i.history, RECENT_FROM, TO_DATE))
-    return score_items(selected, "up_id", side, i.items.long_rows())
+    return rank_top_n(exclude_seen(_scored_user(i), i.history), SCORED).select("up_id", "video_id", "prob_sum", "pop")
 
 
-def _recommend_user(i: Inputs, mode="sample", ties="keep"):
-    return recommend_by_user(_user_dist(i, RECENT_FROM, TO_DATE),
-                             item_popularity(i.history, RECENT_FROM, TO_DATE), i.items,
-                             i.history, K, N, SEED, mode, ties=ties)
+def _recommend_user(i: Inputs, mode="sample", ties="keep", start=RECENT_FROM):
+    return recommend_user_window(i.history, i.items, start, TO_DATE, K, N, SEED, mode, ties)
 
 
 def q_recommend_user(spark, sf_dir):
@@ -164,11 +187,14 @@ def q_recommend_user_break_ties(spark, sf_dir):
     return _recommend_user(_inputs(spark, sf_dir), ties="break")
 
 
-def _recommend_label(spark, sf_dir, label, mode="sample"):
+def q_recommend_user_all(spark, sf_dir):
+    """Interest and popularity over the whole history."""
+    return _recommend_user(_inputs(spark, sf_dir), start=None)
+
+
+def _recommend_label(spark, sf_dir, label, mode="sample", start=RECENT_FROM):
     i = _inputs(spark, sf_dir)
-    dist = label_tag_distribution(label, i.profile, i.history, i.items, RECENT_FROM, TO_DATE)
-    return recommend_by_label(label, dist, item_popularity(i.history, RECENT_FROM, TO_DATE),
-                              i.items, i.profile, i.history, K, N, SEED, mode)
+    return recommend_label_window(label, i.profile, i.history, i.items, start, TO_DATE, K, N, SEED, mode)
 
 
 def q_recommend_city(spark, sf_dir):
@@ -183,6 +209,22 @@ def q_recommend_city_top(spark, sf_dir):
     return _recommend_label(spark, sf_dir, "city", mode="top")
 
 
+def q_recommend_city_all(spark, sf_dir):
+    """Interest and popularity over the whole history."""
+    return _recommend_label(spark, sf_dir, "city", start=None)
+
+
+def q_label_expanded(spark, sf_dir):
+    """Each user's best rows of its city's list, before seen items are excluded."""
+    i = _inputs(spark, sf_dir)
+    dist = label_tag_distribution("city", i.profile, i.history, i.items, RECENT_FROM, TO_DATE)
+    people = label_people("city", i.profile, i.history, None)
+    cand = label_candidates("city", dist, item_popularity(i.history, RECENT_FROM, TO_DATE), i.items, K,
+                            label_cut("city", people, N), SEED)
+    out = expand_label_to_users("city", cand, people, N)
+    return rank_top_n(out, N).select("up_id", "video_id", "prob_sum", "pop", "rank")
+
+
 def q_recommend_user_two_window(spark, sf_dir):
     i = _inputs(spark, sf_dir)
     return recommend_user_two_window(i.history, i.items, K, N, TO_DATE, WINDOW_DAYS, SEED)
@@ -204,19 +246,7 @@ def q_recommend_phone_two_window(spark, sf_dir):
 
 def q_holdout_split(spark, sf_dir):
     """Per part: events, users, items and date range of the split."""
-    i = _inputs(spark, sf_dir)
-    out = None
-    for split in ("code", "holdout"):
-        parts = holdout_split(i.history, EVAL_DATE, WINDOW_DAYS, split)
-        for name, df in (("train", parts.train), ("test", parts.test)):
-            s = df.agg(F.count(F.lit(1)).alias("n_events"),
-                       F.count_distinct("up_id").alias("n_users"),
-                       F.count_distinct("video_id").alias("n_items"),
-                       F.min("play_date").alias("first_day"),
-                       F.max("play_date").alias("last_day"))
-            s = s.select(F.lit(split).alias("split"), F.lit(name).alias("part"), "*")
-            out = s if out is None else out.unionByName(s)
-    return out
+    return split_summary(_inputs(spark, sf_dir).history, EVAL_DATE, WINDOW_DAYS)
 
 
 def _precision(spark, sf_dir, label, split="code"):
@@ -241,10 +271,8 @@ def q_precision_user_holdout(spark, sf_dir):
     return _precision(spark, sf_dir, "user", "holdout")
 
 
-def _kl(i: Inputs):
-    old = user_tag_distribution(i.history, i.items, None, KL_SPLIT)
-    new = user_tag_distribution(i.history, i.items, KL_SPLIT, TO_DATE)
-    return kl_divergence(old, new, N_TAGS)
+def _kl(i: Inputs, direction="old_new"):
+    return user_drift(i.history, i.items, (None, KL_SPLIT), (KL_SPLIT, TO_DATE), direction)
 
 
 def q_kl_user(spark, sf_dir):
@@ -252,6 +280,11 @@ def q_kl_user(spark, sf_dir):
     return kl.select("up_id", F.round("kl", ROUND).alias("kl"))
 
 
+def q_kl_user_reverse(spark, sf_dir):
+    kl = _kl(_inputs(spark, sf_dir), "new_old")
+    return kl.select("up_id", F.round("kl", ROUND).alias("kl"))
+
+
 def q_kl_user_dense(spark, sf_dir):
     """The dense-array form of the KL operator (same values as ``kl_user``)."""
     i = _inputs(spark, sf_dir)
@@ -269,59 +302,105 @@ def q_kl_summary(spark, sf_dir):
                     *[F.round(c, ROUND).alias(c) for c in ("kl_min", "kl_max", "kl_avg", "kl_var")])
 
 
-def q_weekly_drift(spark, sf_dir):
-    i = _inputs(spark, sf_dir)
-    s = weekly_drift(i.history, i.items, TO_DATE, WEEKS, OFFSET_WEEKS)
+def _drift_rows(s: DataFrame) -> DataFrame:
     return s.select("week", "week_start", "week_end", "n_users", "n_undefined",
                     *[F.round(c, ROUND).alias(c) for c in ("kl_min", "kl_max", "kl_avg", "kl_var")])
 
 
+def q_weekly_drift(spark, sf_dir):
+    i = _inputs(spark, sf_dir)
+    return _drift_rows(weekly_drift(i.history, i.items, TO_DATE, WEEKS, OFFSET_WEEKS))
+
+
+SHIFTED_WEEKS, SHIFT = 5, 3
+GAP_DATE, GAP_WEEKS = dt.date(2001, 9, 12), 9   # the newest windows lie after the last event
+WINDOW_LENGTH, WINDOWS = 10, 4
+EVENT_WEEKS = 4
+
+
+def q_weekly_drift_offset(spark, sf_dir):
+    """Weeks that end ``SHIFT`` weeks before the date, KL in the other direction."""
+    i = _inputs(spark, sf_dir)
+    return _drift_rows(weekly_drift(i.history, i.items, TO_DATE, SHIFTED_WEEKS, SHIFT, "new_old"))
+
+
+def q_weekly_drift_gaps(spark, sf_dir):
+    """One row per requested week, empty ones too."""
+    i = _inputs(spark, sf_dir)
+    return _drift_rows(weekly_drift(i.history, i.items, GAP_DATE, GAP_WEEKS))
+
+
+def q_drift_windows(spark, sf_dir):
+    """Windows of another length than a week."""
+    i = _inputs(spark, sf_dir)
+    return _drift_rows(weekly_drift(i.history, i.items, TO_DATE, WINDOWS, window_days=WINDOW_LENGTH))
+
+
+def q_weekly_drift_events(spark, sf_dir):
+    """Drift over the second history."""
+    items = load_item_tags(events_tags(spark, sf_dir), N_TAGS)
+    return _drift_rows(weekly_drift(events_history(spark, sf_dir), items, EVENTS_TO, EVENT_WEEKS))
+
+
 def q_saved_distribution(spark, sf_dir):
     i = _inputs(spark, sf_dir)
     return save_distribution(_user_dist(i), "user")
 
 
+def q_saved_distribution_city(spark, sf_dir):
+    return save_distribution(_label_dist(spark, sf_dir, "city"), "city")
+
+
+def q_saved_distribution_dense(spark, sf_dir):
+    return save_distribution(_label_dist(spark, sf_dir, "phone"), "phone", form="dense", n_tags=N_TAGS)
+
+
 def q_enriched_recs(spark, sf_dir):
     i = _inputs(spark, sf_dir)
     return enrich_recommendations(_recommend_user(i), i.items)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "history_clean": q_history_clean,
-    "tag_dictionary": q_tag_dictionary,
-    "item_tags_long": q_item_tags_long,
-    "item_multi_hot": q_item_multi_hot,
-    "tag_index_list": q_tag_index_list,
-    "item_popularity": q_item_popularity,
-    "item_popularity_events": q_item_popularity_events,
-    "tag_dist_city": q_tag_dist_city,
-    "tag_dist_phone": q_tag_dist_phone,
-    "tag_dist_user": q_tag_dist_user,
-    "tag_dist_user_dense": q_tag_dist_user_dense,
-    "tag_dist_city_dense": q_tag_dist_city_dense,
-    "sampled_tags_user": q_sampled_tags_user,
-    "sampled_tags_city": q_sampled_tags_city,
-    "top_tags_user": q_top_tags_user,
-    "top_tags_city": q_top_tags_city,
-    "score_items_user": q_score_items_user,
-    "recommend_user": q_recommend_user,
-    "recommend_user_top": q_recommend_user_top,
-    "recommend_user_break_ties": q_recommend_user_break_ties,
-    "recommend_city": q_recommend_city,
-    "recommend_phone": q_recommend_phone,
-    "recommend_city_top": q_recommend_city_top,
-    "recommend_user_two_window": q_recommend_user_two_window,
-    "recommend_city_two_window": q_recommend_city_two_window,
-    "recommend_phone_two_window": q_recommend_phone_two_window,
-    "holdout_split": q_holdout_split,
-    "precision_user": q_precision_user,
-    "precision_city": q_precision_city,
-    "precision_phone": q_precision_phone,
-    "precision_user_holdout": q_precision_user_holdout,
-    "kl_user": q_kl_user,
-    "kl_user_dense": q_kl_user_dense,
-    "kl_summary": q_kl_summary,
-    "weekly_drift": q_weekly_drift,
-    "saved_distribution": q_saved_distribution,
-    "enriched_recs": q_enriched_recs,
-}
+def _saved_recs(spark, sf_dir, label):
+    i = _inputs(spark, sf_dir)
+    recs = recommendations(i, label, K, N, TO_DATE, WINDOW_DAYS, SEED)
+    return enrich_and_save_recs(recs, i.items, label)
+
+
+def q_saved_recs_user(spark, sf_dir):
+    """The two-window list joined to item tags, written and read back."""
+    return _saved_recs(spark, sf_dir, "user")
+
+
+def q_saved_recs_city(spark, sf_dir):
+    return _saved_recs(spark, sf_dir, "city")
+
+
+def q_job_rec(spark, sf_dir):
+    return run_rec(_inputs(spark, sf_dir), "phone", K, N, TO_DATE, WINDOW_DAYS, SEED)
+
+
+def q_job_train(spark, sf_dir):
+    """The stored distribution's totals next to the precision of the same run."""
+    i = _inputs(spark, sf_dir)
+    stored, precision = run_train(i, "city", K, N, DIST_FROM, EVAL_DATE, WINDOW_DAYS, SEED)
+    totals = stored.agg(F.count(F.lit(1)).alias("rows_stored"), F.sum("n").alias("events_stored"))
+    return totals.withColumn("j", F.lit(1)).join(precision.withColumn("j", F.lit(1)), "j").drop("j")
+
+
+def q_job_stat(spark, sf_dir):
+    return _drift_rows(run_stat(_inputs(spark, sf_dir), TO_DATE, SHIFTED_WEEKS))
+
+
+_ALL = (
+    q_profile_clean, q_history_clean, q_tag_dictionary, q_item_tags_long, q_item_multi_hot, q_tag_index_list,
+    q_item_popularity, q_item_popularity_events, q_tag_dist_city, q_tag_dist_phone, q_tag_dist_user,
+    q_tag_dist_user_dense, q_tag_dist_city_dense, q_sampled_tags_user, q_sampled_tags_city, q_top_tags_user,
+    q_top_tags_city, q_score_items_user, q_unseen_candidates, q_recommend_user, q_recommend_user_top,
+    q_recommend_user_break_ties, q_recommend_user_all, q_recommend_city, q_recommend_phone, q_recommend_city_top,
+    q_recommend_city_all, q_label_expanded, q_recommend_user_two_window, q_recommend_city_two_window,
+    q_recommend_phone_two_window, q_holdout_split, q_precision_user, q_precision_city, q_precision_phone,
+    q_precision_user_holdout, q_kl_user, q_kl_user_reverse, q_kl_user_dense, q_kl_summary, q_weekly_drift,
+    q_weekly_drift_offset, q_weekly_drift_gaps, q_drift_windows, q_weekly_drift_events, q_saved_distribution,
+    q_saved_distribution_city, q_saved_distribution_dense, q_enriched_recs, q_saved_recs_user, q_saved_recs_city,
+    q_job_rec, q_job_train, q_job_stat)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__[2:]: f for f in _ALL}

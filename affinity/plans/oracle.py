@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import datetime as dt
 
-from .catalog import (DIST_FROM, EVAL_DATE, EVENTS_FROM, EVENTS_TO, K, KL_SPLIT, N, N_TAGS,
-                      OFFSET_WEEKS, RECENT_FROM, ROUND, SEED, TO_DATE, WEEKS, WINDOW_DAYS)
+from .catalog import (DIST_FROM, EVAL_DATE, EVENT_WEEKS, EVENTS_FROM, EVENTS_TO, GAP_DATE, GAP_WEEKS, K,
+                      KL_SPLIT, N, N_TAGS, OFFSET_WEEKS, RECENT_FROM, ROUND, SCORED, SEED, SHIFT,
+                      SHIFTED_WEEKS, TO_DATE, WEEKS, WINDOW_DAYS, WINDOW_LENGTH, WINDOWS)
 
 SIGMA_SQL = "CAST(0.0001 AS DOUBLE)"
 
@@ -265,8 +266,33 @@ def _dense(q: Q, dist: str, key: str) -> str:
         GROUP BY u.{key}"""
 
 
+def _drift(q: Q, to_date, weeks, offset=0, days=7, reverse=False, hist="hist", long="ilong") -> str:
+    """Week table joined to all events; every week is kept, with or without users."""
+    q.add("wk", f"""SELECT CAST(i AS INTEGER) AS week,
+        {_d(to_date)} - CAST({days} * (i + {offset}) AS INTEGER) AS wend,
+        {_d(to_date)} - CAST({days} * (i + {offset} + 1) AS INTEGER) AS wstart
+        FROM range({weeks}) r(i)""")
+    q.add("wev", f"""SELECT h.up_id, l.tag_idx, h.play_date FROM {hist} h
+        JOIN {long} l ON h.video_id = l.video_id WHERE h.play_date <= {_d(to_date)}""")
+    for side, cond in (("wo", "e.play_date <= w.wstart"),
+                       ("wn", "e.play_date BETWEEN w.wstart AND w.wend")):
+        q.add(f"{side}_c", f"""SELECT w.week, e.up_id, e.tag_idx, count(*) AS n
+            FROM wev e JOIN wk w ON {cond} GROUP BY w.week, e.up_id, e.tag_idx""")
+        q.add(side, f"""SELECT week, up_id, tag_idx,
+            CAST(n AS DOUBLE) / CAST(sum(n) OVER (PARTITION BY week, up_id) AS DOUBLE) AS prob
+            FROM {side}_c""")
+    sides = ("wn", "wo") if reverse else ("wo", "wn")
+    k = q.kl("wkl", *sides, ["week", "up_id"])
+    return q.render(f"""SELECT w.week, w.wstart AS week_start, w.wend AS week_end,
+        coalesce(s.n_users, 0) AS n_users, coalesce(s.n_undefined, 0) AS n_undefined,
+        s.kl_min, s.kl_max, s.kl_avg, s.kl_var
+        FROM wk w LEFT JOIN (SELECT week, {_summary_cols()} FROM {k} GROUP BY week) s
+        ON s.week = w.week""")
+
+
 def build() -> dict[str, str]:
     out: dict[str, str] = {}
+    out["profile_clean"] = _simple("SELECT id, reside_city, phone_type FROM prof")
     out["history_clean"] = _simple("SELECT up_id, video_id, play_date FROM hist")
     out["tag_dictionary"] = _simple("SELECT tag, tag_idx FROM dict")
     out["item_tags_long"] = _simple("SELECT video_id, tag, tag_idx FROM ilong")
@@ -307,15 +333,19 @@ def build() -> dict[str, str]:
     q = _dist_user()
     t = q.top("tu", "du", "up_id")
     out["top_tags_user"] = q.render(f"SELECT up_id, tag_idx, n, total, prob FROM {t}")
-    q = _dist_user(RECENT_FROM, TO_DATE)
-    s = q.sample("su", "du", "up_id")
-    p = q.pop("pp", "hist", RECENT_FROM, TO_DATE)
-    c = q.score("sc", s, "up_id", p)
-    out["score_items_user"] = q.render(f"SELECT up_id, video_id, prob_sum, pop FROM {c}")
-
-    def recs_user(mode="sample", ties="keep"):
+    for name, seen in (("score_items_user", ""), ("unseen_candidates", """WHERE NOT EXISTS (
+            SELECT 1 FROM hist x WHERE x.up_id = c.up_id AND x.video_id = c.video_id)""")):
+        q = _dist_user(RECENT_FROM, TO_DATE)
+        s = q.sample("su", "du", "up_id")
+        p = q.pop("pp", "hist", RECENT_FROM, TO_DATE)
+        c = q.score("sc", s, "up_id", p)
+        out[name] = q.render(f"""SELECT up_id, video_id, prob_sum, pop FROM (
+            SELECT c.*, rank() OVER (PARTITION BY up_id ORDER BY prob_sum DESC, pop DESC) AS r
+            FROM {c} c {seen}) t WHERE r <= {SCORED}""")
+
+    def recs_user(mode="sample", ties="keep", lo=RECENT_FROM):
         q = Q()
-        r = q.user_recs("ru", "hist", RECENT_FROM, TO_DATE, ["hist"], mode, ties)
+        r = q.user_recs("ru", "hist", lo, TO_DATE, ["hist"], mode, ties)
         return q, r
 
     q, r = recs_user()
@@ -325,12 +355,18 @@ def build() -> dict[str, str]:
     q, r = recs_user(ties="break")
     out["recommend_user_break_ties"] = q.render(
         f"SELECT up_id, video_id, prob_sum, pop, rank FROM {r}")
-    for label, col in (("city", "reside_city"), ("phone", "phone_type")):
+    q, r = recs_user(lo=None)
+    out["recommend_user_all"] = q.render(f"SELECT up_id, video_id, prob_sum, pop, rank FROM {r}")
+    for name, col, lo in (("city", "reside_city", RECENT_FROM), ("phone", "phone_type", RECENT_FROM),
+                          ("city_all", "reside_city", None)):
         q = Q()
-        r = q.label_recs("rl", col, "hist", RECENT_FROM, TO_DATE, ["hist"])
-        out[f"recommend_{label}"] = q.render(
+        r = q.label_recs("rl", col, "hist", lo, TO_DATE, ["hist"])
+        out[f"recommend_{name}"] = q.render(
             f"SELECT up_id, video_id, prob_sum, pop, rank FROM {r}")
     q = Q()
+    r = q.label_recs("rl", "reside_city", "hist", RECENT_FROM, TO_DATE, [])
+    out["label_expanded"] = q.render(f"SELECT up_id, video_id, prob_sum, pop, rank FROM {r}")
+    q = Q()
     r = q.label_recs("rl", "reside_city", "hist", RECENT_FROM, TO_DATE, ["hist"], mode="top")
     out["recommend_city_top"] = q.render(f"SELECT up_id, video_id, prob_sum, pop, rank FROM {r}")
     q = Q()
@@ -374,35 +410,53 @@ def build() -> dict[str, str]:
     out["kl_user"] = q.render(f"SELECT up_id, round(kl, {ROUND}) AS kl FROM {k}")
     q, k = kl_query()
     out["kl_user_dense"] = q.render(f"SELECT up_id, round(kl, {ROUND}) AS kl FROM {k}")
+    q = Q()
+    o = q.user_dist("ko", "hist", None, KL_SPLIT)
+    n = q.user_dist("kn", "hist", KL_SPLIT, TO_DATE)
+    k = q.kl("kl", n, o, ["up_id"])
+    out["kl_user_reverse"] = q.render(f"SELECT up_id, round(kl, {ROUND}) AS kl FROM {k}")
     q, k = kl_query()
     out["kl_summary"] = q.render(f"SELECT {_summary_cols()} FROM {k}")
 
+    out["weekly_drift"] = _drift(Q(), TO_DATE, WEEKS, OFFSET_WEEKS)
+    out["weekly_drift_offset"] = _drift(Q(), TO_DATE, SHIFTED_WEEKS, SHIFT, reverse=True)
+    out["weekly_drift_gaps"] = _drift(Q(), GAP_DATE, GAP_WEEKS)
+    out["drift_windows"] = _drift(Q(), TO_DATE, WINDOWS, days=WINDOW_LENGTH)
+    out["job_stat"] = _drift(Q(), TO_DATE, SHIFTED_WEEKS)
     q = Q()
-    q.add("wk", f"""SELECT CAST(i AS INTEGER) AS week,
-        {_d(TO_DATE)} - CAST(7 * (i + {OFFSET_WEEKS}) AS INTEGER) AS wend,
-        {_d(TO_DATE)} - CAST(7 * (i + {OFFSET_WEEKS} + 1) AS INTEGER) AS wstart
-        FROM range({WEEKS}) r(i)""")
-    q.add("wev", f"""SELECT h.up_id, l.tag_idx, h.play_date FROM hist h
-        JOIN ilong l ON h.video_id = l.video_id WHERE h.play_date <= {_d(TO_DATE)}""")
-    for side, cond in (("wo", "e.play_date <= w.wstart"),
-                       ("wn", "e.play_date BETWEEN w.wstart AND w.wend")):
-        q.add(f"{side}_c", f"""SELECT w.week, e.up_id, e.tag_idx, count(*) AS n
-            FROM wev e JOIN wk w ON {cond} GROUP BY w.week, e.up_id, e.tag_idx""")
-        q.add(side, f"""SELECT week, up_id, tag_idx,
-            CAST(n AS DOUBLE) / CAST(sum(n) OVER (PARTITION BY week, up_id) AS DOUBLE) AS prob
-            FROM {side}_c""")
-    k = q.kl("wkl", "wo", "wn", ["week", "up_id"])
-    out["weekly_drift"] = q.render(f"""SELECT s.week, w.wstart AS week_start, w.wend AS week_end,
-        s.n_users, s.n_undefined, s.kl_min, s.kl_max, s.kl_avg, s.kl_var
-        FROM (SELECT week, {_summary_cols()} FROM {k} GROUP BY week) s
-        JOIN wk w ON s.week = w.week""")
+    q.add("ev", """SELECT user_id AS up_id, event_type AS video_id, CAST(ts AS DATE) AS play_date
+        FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL AND event_type <> ''
+          AND ts IS NOT NULL""")
+    q.add("etok", """SELECT DISTINCT video_id, unnest(list_distinct([video_id, substr(video_id, 1, 1)])) AS tag FROM ev""")
+    q.add("elong", """SELECT t.video_id, d.tag_idx FROM etok t JOIN (
+        SELECT tag, row_number() OVER (ORDER BY tag) - 1 AS tag_idx FROM (SELECT DISTINCT tag FROM etok) v) d
+        ON t.tag = d.tag""")
+    out["weekly_drift_events"] = _drift(q, EVENTS_TO, EVENT_WEEKS, hist="ev", long="elong")
 
     q = _dist_user()
     out["saved_distribution"] = q.render("SELECT up_id, tag_idx, n, total, prob FROM du")
+    q = Q()
+    d = q.label_dist("dl", "reside_city", "hist", DIST_FROM, TO_DATE)
+    out["saved_distribution_city"] = q.render(f"SELECT reside_city, tag_idx, n, total, prob FROM {d}")
+    q = Q()
+    d = q.label_dist("dl", "phone_type", "hist", DIST_FROM, TO_DATE)
+    out["saved_distribution_dense"] = q.render(_dense(q, d, "phone_type"))
     q, r = recs_user()
     mh = _multi_hot_sql(q)
     out["enriched_recs"] = q.render(f"""SELECT r.video_id, r.up_id, r.prob_sum, r.pop, r.rank,
         m.tags FROM {r} r JOIN {mh} m ON r.video_id = m.video_id""")
+    for name, col in (("saved_recs_user", None), ("saved_recs_city", "reside_city"), ("job_rec", "phone_type")):
+        q = Q()
+        r = q.two_window("tw", "hist", TO_DATE, WINDOW_DAYS, col)
+        mh = _multi_hot_sql(q)
+        out[name] = q.render(f"""SELECT r.video_id, r.up_id, r.rank, r.source, m.tags
+            FROM {r} r JOIN {mh} m ON r.video_id = m.video_id""")
+    q = Q()
+    d = q.label_dist("dt", "reside_city", "hist", DIST_FROM, EVAL_DATE)
+    precision = q.precision("pr", "reside_city", "code")
+    out["job_train"] = q.render(f"""SELECT s.rows_stored, s.events_stored, p.hits, p.recommended, p.precision
+        FROM (SELECT count(*) AS rows_stored, CAST(sum(n) AS BIGINT) AS events_stored FROM {d}) s
+        CROSS JOIN ({precision}) p""")
     return out
 
 

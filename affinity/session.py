@@ -1,4 +1,4 @@
-"""Session settings the operators are planned against.
+"""Session settings the operators are planned against, and the shared folder.
 
 The library never builds a session behind the caller's back; ``build_session``
 is a convenience for tests, the bench and local runs.  On a cluster the same
@@ -7,15 +7,16 @@ settings belong in ``spark-defaults.conf``.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Settings every plan in this package is designed around.
+# Settings every plan in this package is designed around; none changes a result.
 #  * AQE re-plans joins at runtime from real shuffle sizes, coalesces small
-#    partitions and splits skewed join partitions.
+#    partitions and splits large join partitions.  With the factor at 0 every
+#    partition above the size threshold is split, not only one far above the
+#    median: a join on a few keys (tags, labels) still fills the cluster.
 #  * requireAllClusterKeysForCoPartition=false lets a join on (user, item)
 #    reuse a partitioning on user alone: candidates are produced partitioned by
 #    user and the seen-history side is repartitioned by user, so the
@@ -24,8 +25,8 @@ PLAN_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "0",
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
-    "spark.sql.session.timeZone": "UTC",
 }
 
 
@@ -34,6 +35,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     builder = (SparkSession.builder.master(master).appName(app)
                .config("spark.ui.enabled", "false")
                .config("spark.sql.ui.retainedExecutions", "20")
+               .config("spark.sql.session.timeZone", "UTC")
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions)))
     for key, value in {**PLAN_CONF, **(extra or {})}.items():
         builder = builder.config(key, value)
@@ -47,45 +49,50 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and written tables.
 
-    Read from ``spark.checkpoint.dir`` as the cluster configures it.  Only when
-    it is unset (local tests) a fresh scratch folder is created and set.
+    Read from ``spark.checkpoint.dir`` as the cluster configures it.  Where it
+    is unset, a local session (tests) gets a fresh scratch folder; on a cluster
+    executors could not see one, so that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if current:
         return current.rstrip("/")
-    local = tempfile.mkdtemp(prefix="affinity-ckpt-")
-    sc.setCheckpointDir(local)
-    return sc.getCheckpointDir() or local
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="affinity-ckpt-"))
+    return sc.getCheckpointDir().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder for a written table."""
-    base = shared_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return os.path.join(base, "affinity", name)
+    """A fresh path below the shared folder for a written table (its scheme is kept)."""
+    return f"{shared_dir(spark)}/affinity/{name}-{uuid.uuid4().hex}"
+
+
+# Folders written by ``cut_lineage``, by application; ``release`` deletes them.
+_CUTS: dict[str, list[str]] = {}
 
 
 def release(spark: SparkSession) -> None:
-    """Drop the small intermediates the operators persist.
+    """Delete the intermediates that this application's plans wrote.
 
-    The recommenders persist per-user tag maps, item postings, recent lists
-    and label candidate lists (all at most users x k or the size-checked item
-    side) so that a plan reads them once; long-lived sessions call this
-    between jobs.
+    For long-lived sessions, between jobs: frames returned before must have
+    been written or collected.  The caller's own caches are left alone.
     """
-    spark.catalog.clearCache()
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in _CUTS.pop(spark.sparkContext.applicationId, []):
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
 
 
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write a small intermediate to the shared folder and read it back.
+    """Write an intermediate to the shared folder and read it back.
 
     Later stages read the stored Parquet (with file statistics for the
     planner) instead of depending on its lineage, so losing executors after
-    this point never re-runs the plan that produced it.  Eager (one job);
-    the folder is ``spark.checkpoint.dir``, never a machine-local default.
+    this point never re-runs the plan that produced it.  Eager (one job).
     """
-    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    _CUTS.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.parquet(path)

@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.dates import date_column
-from ..functions.joins import bounded_rows, broadcast_cap
+from ..functions.dates import date_column, in_range, string_range
+from ..functions.joins import Size, measure
 from ..operators import tags as tag_ops
+from ..session import cut_lineage
 
 LABEL_COLUMNS = {"city": "reside_city", "phone": "phone_type"}
 
@@ -65,14 +66,30 @@ def load_profile(source, spark: SparkSession | None = None,
     return out.dropDuplicates() if dedupe else out
 
 
-def load_history(source, spark: SparkSession | None = None) -> DataFrame:
-    """O2: (up_id, video_id, play_date DATE) without empty keys or dates."""
+def load_history(source, spark: SparkSession | None = None, start=None, end=None) -> DataFrame:
+    """O2: (up_id, video_id, play_date DATE) without empty keys or dates.
+
+    An event whose date cannot be read keeps its row with a NULL date: it is in
+    no window but still counts as seen; ``undated_events`` counts such rows.
+    ``start`` / ``end`` read only the events of a window: next to the exact
+    filter, a range that Parquet can prune by is put on the raw column (for
+    string dates a superset by year that holds for every accepted layout).
+    """
     df = _frame(spark, source).select("up_id", "video_id", "play_date")
-    date = date_column(F.col("play_date"), df.schema["play_date"].dataType)
-    return (df.filter(present(df, "up_id") & present(df, "video_id")
-                      & present(df, "play_date"))
-            .select("up_id", "video_id", date.alias("play_date"))
-            .filter(F.col("play_date").isNotNull()))
+    kind = df.schema["play_date"].dataType
+    out = df.filter(present(df, "up_id") & present(df, "video_id") & present(df, "play_date"))
+    if isinstance(kind, StringType):
+        out = out.filter(string_range(F.col("play_date"), start, end))
+    out = out.select("up_id", "video_id", date_column(F.col("play_date"), kind).alias("play_date"))
+    if start is None and end is None:
+        return out
+    return out.filter(in_range(F.col("play_date"), start, end))
+
+
+def undated_events(history: DataFrame) -> DataFrame:
+    """(n_events, n_undated): loaded events and those whose date could not be read."""
+    return history.agg(F.count(F.lit(1)).alias("n_events"),
+                       F.count_if(F.col("play_date").isNull()).alias("n_undated"))
 
 
 @dataclass
@@ -80,32 +97,27 @@ class ItemTags:
     """The item -> tag table in every form the operators need.
 
     ``rows``        cleaned (video_id, video_second_class)
-    ``dictionary``  (tag, tag_idx), at most ``n_tags`` rows (checked)
+    ``dictionary``  (tag, tag_idx), at most ``n_tags`` rows (counted)
     ``long``        (video_id, tag, tag_idx), one row per tag per source row
+    ``bags``        (video_id, bag, sig), one row per item
     ``n_tags``      the vector length D
+    ``multiplicity`` the most times one tag is listed for one item
+
+    ``dictionary``, ``long`` and ``bags`` are tables written once per load, so
+    the measured sizes belong to exactly the files that later plans read.
     """
 
     rows: DataFrame
     dictionary: DataFrame
     long: DataFrame
+    bags: DataFrame
     n_tags: int
-    vocabulary_size: int
-    _long_rows: int | None = field(default=None, repr=False)
-    _counted: int | None = field(default=None, repr=False)
-
-    def long_rows(self) -> int | None:
-        """Proven bound on ``long`` rows, ``None`` above the broadcast cap.
-
-        Counted once per cap value (the cap is a session setting).
-        """
-        cap = broadcast_cap(self.long)
-        if self._counted != cap:
-            self._long_rows = bounded_rows(self.long.select("video_id"), cap)
-            self._counted = cap
-        return self._long_rows
+    multiplicity: int
+    long_size: Size = field(repr=False)
+    bag_size: Size = field(repr=False)
 
     def dense(self) -> DataFrame:
-        return tag_ops.multi_hot(self.rows, self.dictionary, self.n_tags, self.vocabulary_size)
+        return tag_ops.multi_hot(self.rows, self.dictionary, self.n_tags)
 
 
 def load_item_tags(source, n_tags: int, spark: SparkSession | None = None,
@@ -121,14 +133,16 @@ def load_item_tags(source, n_tags: int, spark: SparkSession | None = None,
     rows = df.filter(present(df, "video_second_class") & present(df, "video_id"))
     if dedupe:
         rows = rows.dropDuplicates()
-    vocabulary = tag_ops.tag_tokens(rows).select("tag").distinct()
-    size = bounded_rows(vocabulary, n_tags)
-    if size is None:
+    vocabulary = cut_lineage(tag_ops.tag_tokens(rows).select("tag").distinct(), "vocabulary")
+    if vocabulary.count() > n_tags:
         raise ValueError(f"more than n_tags={n_tags} distinct tags in the item table")
-    dictionary = tag_ops.tag_dictionary(vocabulary)
-    long = tag_ops.item_tags_long(rows, dictionary, size)
-    return ItemTags(rows=rows, dictionary=dictionary, long=long, n_tags=int(n_tags),
-                    vocabulary_size=size)
+    dictionary = cut_lineage(tag_ops.tag_dictionary(vocabulary), "dictionary")
+    long = cut_lineage(tag_ops.item_tags_long(rows, dictionary, measure(dictionary)), "item-tags")
+    bags = cut_lineage(tag_ops.item_bags(long), "item-bags")
+    most = bags.agg(F.max(F.array_max(F.map_values("bag")))).first()[0] or 1
+    return ItemTags(rows=rows, dictionary=dictionary, long=long, bags=bags, n_tags=int(n_tags),
+                    multiplicity=most, long_size=measure(long.select("video_id", "tag_idx")),
+                    bag_size=measure(bags))
 
 
 class Inputs(NamedTuple):

@@ -1,7 +1,8 @@
 """Writers for the stored outputs.
 
-Both overwrite a Parquet table: a catalog table when ``table`` is given,
-otherwise a path below the shared folder (``spark.checkpoint.dir``).  The
+Both overwrite a Parquet table: a catalog table when ``table`` is given, else
+``path``; without either, a path of its own per run below the shared folder
+(``spark.checkpoint.dir``), so that two runs never overwrite each other.  The
 returned frame reads the written files back, so downstream work starts from
 the stored table instead of re-running the lineage.
 """
@@ -10,10 +11,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from ..operators.distribution import dense_distribution
 from ..session import scratch_path
 from ..sources.inputs import ItemTags, label_column
 
 
+# The table names must equal the reference's.
 def distribution_table_name(label: str) -> str:
     """``user`` -> UserTagDistribution, ``city`` -> cityTagDistribution, ..."""
     if label == "user":
@@ -40,9 +43,18 @@ def write_table(df: DataFrame, name: str, table: bool = False,
     return spark.read.parquet(target)
 
 
-def save_distribution(dist: DataFrame, label: str, table: bool = False,
-                      path: str | None = None) -> DataFrame:
-    """Overwrite the (long) distribution table for ``label``."""
+def save_distribution(dist: DataFrame, label: str, table: bool = False, path: str | None = None,
+                      form: str = "long", n_tags: int | None = None) -> DataFrame:
+    """Overwrite the distribution table for ``label``.
+
+    ``form='long'`` stores one row per tag of the support; ``'dense'`` the
+    reference's ``(key, prob ARRAY<DOUBLE>)`` of length ``n_tags``.
+    """
+    if form == "dense":
+        key = "up_id" if label == "user" else label_column(label)
+        dist = dense_distribution(dist, key, n_tags)
+    elif form != "long":
+        raise ValueError(f"form must be 'long' or 'dense', got {form!r}")
     return write_table(dist, distribution_table_name(label), table, path)
 
 

@@ -42,6 +42,13 @@ def events_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_history(events)
 
 
+def events_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of the second history's items: the event type and its first letter."""
+    kinds = table(spark, sf_dir, "events").select(F.col("event_type").alias("video_id")).distinct()
+    return kinds.select("video_id", F.concat_ws(",", "video_id", F.substring("video_id", 1, 1))
+                        .alias("video_second_class"))
+
+
 def raw_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
