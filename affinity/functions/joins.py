@@ -31,18 +31,23 @@ def _bytes_of(col: Column, kind: DataType) -> Column:
     if isinstance(kind, (StringType, BinaryType)):
         return F.coalesce(F.octet_length(col), F.lit(0)) + 16
     if isinstance(kind, (ArrayType, MapType)):
-        width = 16 if isinstance(kind, ArrayType) else 32
+        width = 8 if isinstance(kind, ArrayType) else 32
         return F.greatest(F.size(col), F.lit(0)) * width + 32
     if isinstance(kind, StructType):
         return F.lit(16 * len(kind))
     return F.lit(8)
 
 
-def measure(df: DataFrame) -> Size:
-    """Rows and bytes of a frame: one aggregation job, meant for written tables."""
+def measure(df: DataFrame, copies: Column | None = None) -> Size:
+    """Rows and bytes of a frame: one aggregation job, meant for written tables.
+
+    With ``copies``, of the frame in which each row stands that many times.
+    """
+    copies = F.lit(1) if copies is None else copies
     width = sum((_bytes_of(F.col(f.name), f.dataType) for f in df.schema), F.lit(16))
-    got = df.agg(F.count(F.lit(1)).alias("n"), F.sum(width.cast("bigint")).alias("b")).first()
-    return Size(got["n"], got["b"] or 0)
+    got = df.agg(F.sum(copies.cast("bigint")).alias("n"),
+                 F.sum(width.cast("bigint") * copies).alias("b")).first()
+    return Size(got["n"] or 0, got["b"] or 0)
 
 
 def fits(df: DataFrame, size: Size | None) -> bool:

@@ -4,12 +4,12 @@ A key is a user or a label.  An item's score is ``sum(n(t) * times(t))`` over
 the key's selected tags ``t`` in the item's bag.  One path serves every size
 and both integer and DOUBLE counts:
 
-* Inline scoring.  A key carries its at most k selected tags as two short
-  arrays in the order (n desc, tag asc); an item carries its bag.  A pair is
-  scored on the row where it is generated, by k look-ups that whole-stage
-  codegen compiles; the sum always runs in the key's tag order, so the same
-  pair has the same score, to the last bit, wherever it is generated.  Each
-  pair is generated once, from the first selected tag that the item has.
+* Inline scoring.  A key carries its at most k selected tags in the order
+  (n desc, tag asc); an item carries its bag and its tag set as bits.  A pair
+  is kept at the first selected tag that the item has (one bit test per word
+  against the key's earlier tags) and scored on that row by k look-ups that
+  whole-stage codegen compiles.  The sum always runs in the key's tag order, so
+  a pair has the same score, to the last bit, wherever it is generated.
 
 * Score floor.  A probe scores the ``lim + w`` most popular items of each
   selected tag (``w`` = items the key has seen), drops seen pairs and takes the
@@ -38,6 +38,7 @@ from pyspark.sql.types import DecimalType, DoubleType, FloatType
 from ..functions.joins import Size, fits, join_small, measure
 from ..session import cut_lineage
 from ..sources.inputs import ItemTags
+from .tags import mask_words, tag_mask
 
 # Doubles: how much a suffix sum in another order may fall short of the score.
 ROUNDING = 1e-9
@@ -56,15 +57,17 @@ def buckets_to(depth: Column) -> Column:
 
 
 class Postings(NamedTuple):
-    """The items clicked in a window, by tag, by signature and by item (written tables)."""
+    """The items clicked in a window, by tag, by signature and by item.
 
-    by_tag: DataFrame       # tag_idx, bucket, prank, video_id, bag
-    tag_size: Size
-    signatures: DataFrame   # tag_idx, sig, bag
-    sig_size: Size
+    All three are views of one written table; ``size`` bounds each of them.
+    """
+
+    by_tag: DataFrame       # tag_idx, bucket, prank, video_id, bag, mask
+    signatures: DataFrame   # tag_idx, sig, bag, mask
     items: DataFrame        # sig, video_id, pop
-    item_size: Size
+    size: Size
     multiplicity: int
+    n_tags: int
 
 
 def item_postings(items: ItemTags, pop: DataFrame) -> Postings:
@@ -75,16 +78,17 @@ def item_postings(items: ItemTags, pop: DataFrame) -> Postings:
     """
     side = cut_lineage(join_small(pop.select("video_id", "pop"), items.bags, "video_id", size=items.bag_size),
                        "item-side")
-    posting = side.select("video_id", "pop", "bag", F.explode(F.map_keys("bag")).alias("tag_idx"))
+    # a posting row per tag of the item, each with the item's bag and mask
+    size = measure(side, copies=F.size("tags"))
+    posting = side.select("video_id", "pop", "bag", "mask", F.explode("tags").alias("tag_idx"))
     order = Window.partitionBy("tag_idx").orderBy(F.col("pop").desc(), F.col("video_id"))
-    by_tag = cut_lineage(posting.withColumn("prank", F.row_number().over(order)).select(
-        "tag_idx", bucket(F.col("prank")).alias("bucket"), "prank", "video_id", "bag"), "postings")
-    distinct = side.groupBy("sig").agg(F.any_value("bag").alias("bag"))
-    signatures = cut_lineage(distinct.select("sig", "bag", F.explode(F.map_keys("bag")).alias("tag_idx")),
-                             "signatures")
-    by_sig = side.select("sig", "video_id", "pop")
-    return Postings(by_tag, measure(by_tag), signatures, measure(signatures), by_sig, measure(by_sig),
-                    items.multiplicity)
+    by_tag = posting.withColumn("prank", F.row_number().over(order)).select(
+        "tag_idx", bucket(F.col("prank")).alias("bucket"), "prank", "video_id", "bag", "mask")
+    distinct = side.groupBy("sig").agg(F.any_value("tags").alias("tags"), F.any_value("bag").alias("bag"),
+                                       F.any_value("mask").alias("mask"))
+    signatures = distinct.select("sig", "bag", "mask", F.explode("tags").alias("tag_idx"))
+    return Postings(by_tag, signatures, side.select("sig", "video_id", "pop"), size,
+                    items.multiplicity, items.n_tags)
 
 
 def is_integral(selected: DataFrame) -> bool:
@@ -99,15 +103,31 @@ def key_tags(selected: DataFrame, key: str) -> DataFrame:
         F.transform("_s", lambda s: -s["neg"]).alias("_n"), "total")
 
 
-def _scored(pairs: DataFrame, k: int, integral: bool) -> DataFrame:
-    """Pairs kept at their first selected tag (``_i``), with ``score``."""
+def _starts(info: DataFrame, key: str, k: int, n_tags: int) -> DataFrame:
+    """One row per key and start tag ``tag_idx`` (position ``_i``).
+
+    The key's tags and counts are plain columns ``_t0.. / _n0..`` (k is a
+    parameter), ``_before`` holds the tags ahead of the start as bits and
+    ``_rest`` the count mass from the start on.
+    """
+    zero = F.lit(0).cast("bigint") if is_integral(info.select(F.element_at("_n", 1).alias("n"))) else F.lit(0.0)
+    rows = info.select("*", F.posexplode("_t").alias("_i", "tag_idx"))
+    plain = [F.get(c, j).alias(f"{c}{j}") for c in ("_t", "_n") for j in range(int(k))]
+    rest = F.aggregate(F.slice("_n", F.col("_i") + 1, F.size("_n")), zero, lambda a, x: a + x)
+    return rows.select(key, "total", "lim", "w", "_i", "tag_idx", *plain, rest.alias("_rest"),
+                       tag_mask(F.slice("_t", F.lit(1), F.col("_i")), n_tags).alias("_before"))
+
+
+def _scored(pairs: DataFrame, k: int, n_tags: int, integral: bool) -> DataFrame:
+    """Pairs kept at their first selected tag, with ``score``."""
+    met = F.lit(0).cast("bigint")
+    for w in range(mask_words(n_tags)):
+        met = met.bitwiseOR(F.get("mask", w).bitwiseAND(F.get("_before", w)))
     zero = F.lit(0).cast("bigint") if integral else F.lit(0.0)
-    earlier, score = F.lit(False), zero
+    score = zero
     for j in range(int(k)):
-        times = F.coalesce(F.try_element_at("bag", F.get("_t", j)), F.lit(0))
-        earlier = earlier | ((F.lit(j) < F.col("_i")) & (times > 0))
-        score = score + F.coalesce(F.get("_n", j), zero) * times
-    return pairs.filter(~earlier).withColumn("score", score)
+        score = score + F.coalesce(F.col(f"_n{j}") * F.get("bag", F.col(f"_t{j}")), zero)
+    return pairs.filter(met == 0).withColumn("score", score)
 
 
 def _meet(keys: DataFrame, key_size: Size | None, side: DataFrame, side_size: Size, on: list[str]) -> DataFrame:
@@ -151,9 +171,11 @@ def top_candidates(selected: DataFrame, k: int, n: int, postings: Postings, key:
     info = cut_lineage(info, "key-tags")
     per_label = seen_pairs is None
     key_size = measure(info) if per_label else None
-    if not per_label:  # candidates then stay where their user is
-        info = info.repartition(key)
-    starts = info.select(key, "_t", "_n", "total", "lim", "w", F.posexplode("_t").alias("_i", "tag_idx"))
+    if not per_label:
+        # candidates then stay where their user is; the number is given, as AQE would
+        # merge these few bytes into one partition and with it all that they generate
+        info = info.repartition(int(info.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    starts = _starts(info, key, k, postings.n_tags)
 
     def unseen(df: DataFrame) -> DataFrame:
         return df if per_label else df.join(seen_pairs, ["up_id", "video_id"], "left_anti")
@@ -161,24 +183,23 @@ def top_candidates(selected: DataFrame, k: int, n: int, postings: Postings, key:
     # pass 1: score floor from the most popular items of each selected tag
     depth = F.col("lim") + F.col("w")
     wanted = starts.withColumn("bucket", F.explode(buckets_to(depth)))
-    probe = _meet(wanted, key_size, postings.by_tag, postings.tag_size, ["tag_idx", "bucket"])
-    probe = unseen(_scored(probe.filter(F.col("prank") <= depth), k, integral)
+    probe = _meet(wanted, key_size, postings.by_tag, postings.size, ["tag_idx", "bucket"])
+    probe = unseen(_scored(probe.filter(F.col("prank") <= depth), k, postings.n_tags, integral)
                    .select(key, "video_id", "score", "lim"))
     order = Window.partitionBy(key).orderBy(F.col("score").desc())
     floor = (probe.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") == F.col("lim"))
              .select(key, F.col("score").alias("theta")))
     # pass 2: start from tag i only if it and the tags after it can still reach theta
-    rest = F.aggregate(F.slice("_n", F.col("_i") + 1, F.size("_n")), F.lit(0).cast("bigint") if integral
-                       else F.lit(0.0), lambda a, x: a + x)
-    reach = rest * F.lit(postings.multiplicity)
+    reach = F.col("_rest") * F.lit(postings.multiplicity)
     if not integral:
         reach = reach * F.lit(1 + ROUNDING)
     theta = F.coalesce("theta", F.lit(0).cast("bigint") if integral else F.lit(0.0))
     rows = (starts.join(floor, key, "left").withColumn("theta", theta)
             .filter(reach >= F.col("theta")))
-    by_sig = _scored(_meet(rows, key_size, postings.signatures, postings.sig_size, ["tag_idx"]), k, integral)
+    by_sig = _scored(_meet(rows, key_size, postings.signatures, postings.size, ["tag_idx"]),
+                     k, postings.n_tags, integral)
     by_sig = by_sig.filter(F.col("score") >= F.col("theta")).select(key, "sig", "score", "total", "lim")
-    cand = join_small(by_sig, postings.items, "sig", size=postings.item_size)
+    cand = join_small(by_sig, postings.items, "sig", size=postings.size)
     return unseen(cand.select(key, "video_id", "score", "total", "pop", "lim"))
 
 

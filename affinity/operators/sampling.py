@@ -36,25 +36,28 @@ def _position(h: Column, total: Column) -> Column:
 def sample_tags(dist: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
     """The distinct tags hit by k seeded inverse-CDF draws per key.
 
-    Keeps the distribution's columns ``(key, tag_idx, n, total, prob)``.  A
-    key's at most D entries meet in one array (they already share a partition
-    after the distribution's window); its k draws are hashed once and turned
-    into positions on [0, total), and only the entries hit are exploded again.
-    Counts are compared exactly in BIGINT, a DOUBLE distribution given as a
-    vector in DOUBLE.
+    Keeps the distribution's columns ``(key, tag_idx, n, total, prob)``.  The k
+    draws are hashed once per key, on its first row, turned into positions on
+    [0, total) and handed to the key's other rows (at most D) by a window over
+    the partitioning and order that the distribution already has.  Counts are
+    compared exactly in BIGINT, a DOUBLE distribution given as a vector in
+    DOUBLE.
     """
     if k <= 0:
         return dist.limit(0)
     exact = not isinstance(dist.schema["n"].dataType, (DoubleType, FloatType, DecimalType))
-    entry = F.struct("tag_idx", "n", "total", "prob", F.sum("n").over(_running(key)).alias("hi"))
-    per_key = (dist.select(key, entry.alias("e")).groupBy(key)
-               .agg(F.collect_list("e").alias("es"), F.max("e.total").alias("total")))
     total = F.col("total")
     at = F.transform(draws(seed, F.col(key), k), lambda h: _position(h, total) if exact
                      else h * total / F.lit(float(DRAW_RANGE)))
-    hit = F.filter("es", lambda e: F.exists("at", lambda p: (p >= e["hi"] - e["n"]) & (p < e["hi"])))
-    return (per_key.withColumn("at", at).select(key, F.explode(hit).alias("e"))
-            .select(key, "e.tag_idx", "e.n", "e.total", "e.prob"))
+    rows = (dist.withColumn("_hi", F.sum("n").over(_running(key)))
+            .withColumn("_first", F.row_number().over(_running(key))))
+    rows = (rows.withColumn("_at", F.when(F.col("_first") == 1, at))
+            .withColumn("_at", F.first("_at").over(_running(key))))
+    hit = F.lit(False)
+    for j in range(int(k)):
+        p = F.get("_at", j)
+        hit = hit | ((p >= F.col("_hi") - F.col("n")) & (p < F.col("_hi")))
+    return rows.filter(hit).drop("_hi", "_first", "_at")
 
 
 def top_tags(dist: DataFrame, key: str, k: int) -> DataFrame:

@@ -45,18 +45,40 @@ def item_tags_long(rows: DataFrame, dictionary: DataFrame, size: Size) -> DataFr
     return join_small(tag_tokens(rows), dictionary, "tag", size=size)
 
 
-def item_bags(long: DataFrame) -> DataFrame:
-    """(video_id, bag MAP<tag_idx, times>, sig): each item's tags with their multiplicity.
-
-    ``sig`` spells the bag out: items with the same bag score the same for
-    every user.  At most D entries per item.
+def item_bags(long: DataFrame, n_tags: int) -> DataFrame:
+    """(video_id, tags, bag, mask, sig): each item's tags, in the forms that scoring reads.
+
+    ``tags`` ARRAY<INT> lists the tag indexes; ``bag`` ARRAY<INT> has each
+    tag's multiplicity in a slot per index (length D, a parameter), so that a
+    look-up takes constant time; ``mask`` ARRAY<BIGINT> is the tag set in
+    64-bit words; ``sig`` spells the bag out: items with the same bag score
+    the same for every user.
     """
     times = long.groupBy("video_id", "tag_idx").agg(F.count(F.lit(1)).alias("times"))
     entries = times.groupBy("video_id").agg(
         F.sort_array(F.collect_list(F.struct("tag_idx", F.col("times").cast("int").alias("times")))).alias("e"))
     sig = F.array_join(F.transform("e", lambda x: F.concat_ws(
         ":", x["tag_idx"].cast("string"), x["times"].cast("string"))), ",")
-    return entries.select("video_id", F.map_from_entries("e").alias("bag"), sig.alias("sig"))
+    bag = F.transform(F.sequence(F.lit(0), F.lit(int(n_tags) - 1)),
+                      lambda i: F.coalesce(F.try_element_at(F.map_from_entries("e"), i), F.lit(0)))
+    tags = F.transform("e", lambda x: x["tag_idx"])
+    return entries.select("video_id", tags.alias("tags"), bag.alias("bag"),
+                          tag_mask(tags, n_tags).alias("mask"), sig.alias("sig"))
+
+
+def mask_words(n_tags: int) -> int:
+    return -(-int(n_tags) // 64)
+
+
+def tag_mask(tags: Column, n_tags: int) -> Column:
+    """ARRAY<BIGINT>: the set of tag indexes as bits, 64 to a word."""
+    zero = F.lit(0).cast("bigint")
+
+    def word(w: int) -> Column:
+        return F.aggregate(tags, zero, lambda a, t: F.when(
+            F.shiftright(t, 6) == w, a.bitwiseOR(F.call_function(
+                "shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(F.lit(63))))).otherwise(a))
+    return F.array(*[word(w) for w in range(mask_words(n_tags))])
 
 
 def multi_hot(rows: DataFrame, dictionary: DataFrame, n_tags: int) -> DataFrame:

@@ -99,7 +99,7 @@ class ItemTags:
     ``rows``        cleaned (video_id, video_second_class)
     ``dictionary``  (tag, tag_idx), at most ``n_tags`` rows (counted)
     ``long``        (video_id, tag, tag_idx), one row per tag per source row
-    ``bags``        (video_id, bag, sig), one row per item
+    ``bags``        (video_id, tags, bag, mask, sig), one row per item
     ``n_tags``      the vector length D
     ``multiplicity`` the most times one tag is listed for one item
 
@@ -138,8 +138,8 @@ def load_item_tags(source, n_tags: int, spark: SparkSession | None = None,
         raise ValueError(f"more than n_tags={n_tags} distinct tags in the item table")
     dictionary = cut_lineage(tag_ops.tag_dictionary(vocabulary), "dictionary")
     long = cut_lineage(tag_ops.item_tags_long(rows, dictionary, measure(dictionary)), "item-tags")
-    bags = cut_lineage(tag_ops.item_bags(long), "item-bags")
-    most = bags.agg(F.max(F.array_max(F.map_values("bag")))).first()[0] or 1
+    bags = cut_lineage(tag_ops.item_bags(long, n_tags), "item-bags")
+    most = bags.agg(F.max(F.array_max("bag"))).first()[0] or 1
     return ItemTags(rows=rows, dictionary=dictionary, long=long, bags=bags, n_tags=int(n_tags),
                     multiplicity=most, long_size=measure(long.select("video_id", "tag_idx")),
                     bag_size=measure(bags))

@@ -54,7 +54,7 @@ def test_train_job_stores_distribution_and_scores(spark, inputs, tmp_path):
 
 def test_stat_job(spark, inputs):
     out = jobs.run_stat(inputs, TO_DATE, weeks=3, offset_weeks=1).collect()
-    assert len(out) <= 3 and all(r.n_users > 0 for r in out)
+    assert sorted(r.week for r in out) == [0, 1, 2]
 
 
 def test_default_location_is_the_shared_folder(spark, inputs):
@@ -72,3 +72,39 @@ def test_cut_lineage_writes_to_the_shared_folder(spark):
     base = shared_dir(spark).replace("file:", "")
     assert sorted(r.x for r in out.collect()) == list(range(10))
     assert all(base in f and "/unit-" in f for f in out.inputFiles())
+
+
+def test_runs_never_share_a_default_path(spark, inputs):
+    from affinity.sources.sinks import save_distribution
+    dist = user_tag_distribution(inputs.history, inputs.items, "20010101", TO_DATE)
+    a, b = save_distribution(dist, "user"), save_distribution(dist.limit(1), "user")
+    assert a.count() == dist.count() and b.count() == 1
+
+
+def test_dense_form_is_stored(spark, inputs, tmp_path):
+    res = jobs.run_train(inputs, "phone", K, N, "20010101", EVAL_DATE, WINDOW_DAYS,
+                         path=str(tmp_path / "dense"), form="dense")
+    assert res.distribution.columns == ["phone_type", "prob"]
+    assert all(len(r.prob) == N_TAGS and abs(sum(r.prob) - 1) < 1e-9 for r in res.distribution.collect())
+
+
+def test_cluster_without_shared_folder_is_an_error():
+    from affinity import session
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext = Context()
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Session())

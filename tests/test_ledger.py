@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from affinity.operators.distribution import (label_tag_distribution, long_from_dense,
                                              user_tag_distribution)
 from affinity.operators.drift import kl_divergence
-from affinity.operators.evaluate import holdout_split, recommendation_precision
+from affinity.operators.evaluate import holdout_split, recommendation_precision, split_summary
 from affinity.operators.popularity import item_popularity
 from affinity.operators.recommend import (recommend_by_label, recommend_by_user,
                                           recommend_user_two_window)
-from affinity.operators.sampling import sample_tags, top_tags
-from affinity.sources.inputs import label_column, load_inputs, load_item_tags
+from affinity.operators.sampling import _position, sample_tags, top_tags
+from affinity.sources.inputs import (label_column, load_history, load_inputs, load_item_tags,
+                                     undated_events)
 from conftest import HISTORY_SCHEMA, PROFILE_SCHEMA, TAGS_SCHEMA
 
 
@@ -22,7 +23,7 @@ def tags_frame(spark, rows):
 
 
 def history_frame(spark, rows):
-    return spark.createDataFrame([(u, v, d, "dev", "") for u, v, d in rows], HISTORY_SCHEMA)
+    return spark.createDataFrame(rows, HISTORY_SCHEMA)
 
 
 def test_dirty_tag_lists(spark):
@@ -245,3 +246,67 @@ def test_empty_tag_table_gives_empty_results(spark):
     city = label_tag_distribution("city", i.profile, i.history, i.items)
     assert recommend_by_label("city", city, pop, i.items, i.profile, i.history, 2, 2).count() == 0
     assert recommend_user_two_window(i.history, i.items, 2, 2, "20170101", 7).count() == 0
+
+
+def test_unreadable_dates_are_counted_and_seen(spark):
+    h = history_frame(spark, [("u", "a", "2017-01-03"), ("u", "b", "2017/01/03"), ("u", "c", "2017-1-5"),
+                              ("u", "d", ""), ("u", "e", None), ("", "f", "2017-01-03")])
+    history = load_history(h)
+    assert {(r.video_id, r.play_date) for r in history.collect()} == {
+        ("a", dt.date(2017, 1, 3)), ("b", None), ("c", None)}
+    assert tuple(undated_events(history).first()) == (3, 2)
+    assert item_popularity(history, "20170101", "20170201").count() == 1
+    tags = tags_frame(spark, [(v, "t") for v in "abcx"])
+    i = load_inputs(spark.createDataFrame([("u", "C", "P")], PROFILE_SCHEMA),
+                    h.union(history_frame(spark, [("w", v, "2017-01-04") for v in "abcx"])), tags, 1)
+    out = recommend_user_two_window(i.history, i.items, 1, 3, "20170131", 31)
+    assert [r.video_id for r in out.filter("up_id = 'u'").collect()] == ["x"]
+
+
+def test_string_dates_are_pruned_at_the_scan(spark, tmp_path):
+    rows = [("u", f"v{y}{m}{k}", d) for y in (2015, 2016, 2017) for m in (1, 12)
+            for k, d in enumerate((f"{y}-{m:02d}-03", f"{y}{m:02d}03", f"-{y}-{m:02d}-03"))]
+    history_frame(spark, rows).write.parquet(str(tmp_path / "h"))
+    got = load_history(str(tmp_path / "h"), spark, "20160101", "20161231")
+    assert sorted(r.video_id for r in got.collect()) == sorted(v for _, v, d in rows if "2016" in d)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = load_history(str(tmp_path / "h"), spark, "20160101", "20161231")._jdf.queryExecution().executedPlan()
+    scan = next(x for x in plan.toString().split("\n") if "PushedFilters" in x)
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "GreaterThanOrEqual(play_date,2016)" in scan and "LessThan(play_date,2017)" in scan
+
+
+def test_draw_positions_are_exact_beyond_bigint_products(spark):
+    totals = [1, 7, 2 ** 31 - 1, 2 ** 32, 2 ** 32 + 12345, 2 ** 62 + 987654321, 2 ** 63 - 1]
+    hashes = [0, 1, 65535, 65536, 2 ** 31, 2 ** 32 - 1]
+    df = spark.createDataFrame([(h, t) for h in hashes for t in totals], "h BIGINT, t BIGINT")
+    for r in df.withColumn("p", _position(F.col("h"), F.col("t"))).collect():
+        assert r.p == r.h * r.t // 2 ** 32
+
+
+def test_multi_hot_keeps_repeated_rows_and_drops_empty_lists(spark):
+    items = load_item_tags(tags_frame(spark, [("v", "a,b"), ("v", "a,b"), ("w", ","), ("x", "b")]), 3)
+    assert sorted((r.video_id, tuple(r.tags)) for r in items.dense().collect()) == [
+        ("v", (1, 1, 0)), ("v", (1, 1, 0)), ("x", (0, 1, 0))]
+
+
+def test_split_summary_equals_the_split(spark):
+    i = _tie_inputs(spark)
+    got = {(r.split, r.part): r.n_events for r in split_summary(i.history, "20170101", 7).collect()}
+    for split in ("code", "holdout"):
+        parts = holdout_split(i.history, "20170101", 7, split)
+        for name, df in (("train", parts.train), ("test", parts.test)):
+            assert got.get((split, name), 0) == df.count()
+
+
+def test_release_deletes_only_own_tables(spark):
+    from affinity.session import cut_lineage, release
+    mine = spark.range(5).cache()
+    assert mine.count() == 5
+    out = cut_lineage(spark.range(3), "unit-release")
+    files = out.inputFiles()
+    release(spark)
+    import os
+    assert not any(os.path.exists(f.replace("file://", "").replace("file:", "")) for f in files)
+    assert mine.storageLevel.useMemory
+    mine.unpersist()
