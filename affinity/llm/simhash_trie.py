@@ -25,6 +25,8 @@ from affinity.llm.common import arrow_rows, connected_components, cut
 SEED = 42
 # A subtrie with more classes is dealt out as pairs of parts of this size.
 SUBTRIE_ROWS = 200_000
+# Rows of subtries per task on average; with the size above it bounds a task's arrays.
+TASK_ROWS = 1_000_000
 # Node pairs expanded at once; bounds the memory of the traversal.
 FRONTIER = 1 << 19
 
@@ -185,7 +187,9 @@ def _links(max_bits: int):
 
 def links(classes: DataFrame, max_bits: int) -> DataFrame:
     """(u, v): a spanning forest of all pairs of fingerprints within ``max_bits``."""
-    dealt = subtries(classes, max_bits).repartition("block", "value", "i", "j")
+    rows = (max_bits + 1) * classes.count()
+    tasks = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+    dealt = subtries(classes, max_bits).repartition(tasks, "block", "value", "i", "j")
     return dealt.mapInArrow(_links(max_bits), "u long, v long")
 
 
