@@ -13,7 +13,6 @@ from __future__ import annotations
 import base64
 import binascii
 import bisect
-import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -171,10 +170,6 @@ def scan_recursive(text: str | None) -> tuple[list[Span], list[Span]]:
     return base, sorted(found, key=order)
 
 
-def _joined(spans: list[Span]) -> str:
-    return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
-
-
 def mask(text: str, spans: list[Span]) -> str:
     """The text with every (merged) span replaced by a placeholder of its first kind."""
     out, at = [], 0
