@@ -17,6 +17,8 @@ from affinity.llm.common import cut
 LABEL_PAIRS = 100_000
 SWEEPS = 100
 TOLERANCE = 1e-6
+# A sweep that closes less than this part of the gap ends the fit.
+STALLED = 1e-3
 TEMPERATURE = 0.9
 SEED = 42
 NONE = "(none)"
@@ -61,7 +63,8 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None,
     is the tempered share of the data (share ** temperature, normalised).
     Shares of categories without tokens are left out and the rest normalised.
     A category that a given target does not name gets weight 0.  Marginals that
-    no cell pattern can meet end after ``SWEEPS`` sweeps at the best fit.
+    no cell pattern can meet end where a sweep brings nothing more (``SWEEPS``
+    at most).
 
     Each sweep is one job: source factors stay distributed, and only the
     language x topic matrix reaches the driver.
@@ -105,11 +108,13 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None,
             "_s", F.when(F.col("m") > 0, F.col("want") / F.col("m")).otherwise(0.0).alias("a"))
         return part.join(a, "_s").select("_s", "_l", "_t", "tokens", (F.col("a") * F.col("f")).alias("weight"))
 
+    last = np.inf
     for _ in range(SWEEPS):
         got = matrix(fitted().groupBy("_l", "_t").agg(F.sum(F.col("tokens") * F.col("weight")).alias("w")).collect())
         off = max(np.abs(got.sum(1) - want_l).max(), np.abs(got.sum(0) - want_t).max())
-        if off <= TOLERANCE:
+        if off <= TOLERANCE or off > (1 - STALLED) * last:
             break
+        last = off
         for _ in range(200):  # rake the small matrix fully before the next pass over the sources
             rows, cols = got.sum(1), None
             r = np.divide(want_l, rows, out=np.zeros_like(rows), where=rows > 0)
