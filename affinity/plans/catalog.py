@@ -383,8 +383,11 @@ def q_job_train(spark, sf_dir):
     """The stored distribution's totals next to the precision of the same run."""
     i = _inputs(spark, sf_dir)
     stored, precision = run_train(i, "city", K, N, DIST_FROM, EVAL_DATE, WINDOW_DAYS, SEED)
-    totals = stored.agg(F.count(F.lit(1)).alias("rows_stored"), F.sum("n").alias("events_stored"))
-    return totals.withColumn("j", F.lit(1)).join(precision.withColumn("j", F.lit(1)), "j").drop("j")
+    p = precision.first()  # one row
+    return stored.agg(F.count(F.lit(1)).alias("rows_stored"), F.sum("n").alias("events_stored"),
+                      F.lit(p["hits"]).cast("bigint").alias("hits"),
+                      F.lit(p["recommended"]).cast("bigint").alias("recommended"),
+                      F.lit(p["precision"]).cast("double").alias("precision"))
 
 
 def q_job_stat(spark, sf_dir):
