@@ -65,11 +65,6 @@ def _inputs(spark: SparkSession, sf_dir: str) -> Inputs:
     return hit[2]
 
 
-def forget_inputs() -> None:
-    """Drop the memo of loaded inputs (after ``session.release``)."""
-    _LOADED.clear()
-
-
 def q_profile_clean(spark, sf_dir):
     return _inputs(spark, sf_dir).profile
 

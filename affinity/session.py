@@ -72,16 +72,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _CUTS: dict[str, list[str]] = {}
 
 
-def release(spark: SparkSession) -> None:
+def written(spark: SparkSession) -> int:
+    """How many intermediates this application has written and not released."""
+    return len(_CUTS.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
     """Delete the intermediates that this application's plans wrote.
 
     For long-lived sessions, between jobs: frames returned before must have
-    been written or collected.  The caller's own caches are left alone.
+    been written or collected.  ``since``, a count from ``written``, keeps the
+    older ones (loaded inputs, say).  The caller's own caches are left alone.
     """
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in _CUTS.pop(spark.sparkContext.applicationId, []):
+    cuts = _CUTS.get(spark.sparkContext.applicationId, [])
+    for path in cuts[since:]:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(conf).delete(target, True)
+    del cuts[since:]
 
 
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
