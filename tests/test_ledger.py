@@ -300,12 +300,14 @@ def test_split_summary_equals_the_split(spark):
 
 
 def test_release_deletes_only_own_tables(spark):
-    from affinity.session import cut_lineage, release
+    from affinity.session import cut_lineage, release, written
     mine = spark.range(5).cache()
     assert mine.count() == 5
+    older, mark = cut_lineage(spark.range(2), "unit-kept"), written(spark)
     out = cut_lineage(spark.range(3), "unit-release")
     files = out.inputFiles()
-    release(spark)
+    release(spark, since=mark)
+    assert older.count() == 2
     import os
     assert not any(os.path.exists(f.replace("file://", "").replace("file:", "")) for f in files)
     assert mine.storageLevel.useMemory
