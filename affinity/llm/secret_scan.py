@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bisect
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -28,7 +29,14 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _VISIBLE = re.compile(r"[!-~]+")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/=_-])")
+# A whole run of the alphabet; runs over line breaks (also escaped or quoted ones) are one.
+_BREAK = r"[\x20\t]*(?:\r\n?|\n|(?:\\r)?\\n)[\x20\t>]*"
+_RUN = "[A-Za-z0-9+/_-]"
+_BASE64 = re.compile(f"(?<!{_RUN})(?:{_RUN}++(?:{_BREAK}{_RUN}++)++|{_RUN}{{16,}}+)={{0,2}}")
+_LINE = re.compile(f"({_RUN}+)(?:{_BREAK}|=*$)")
+_CUT = re.compile("[+/_-]")
+# The shortest secret has 12 characters (token=abcdef), all of them ASCII.
+_ASCII = re.compile(rb"[\x00-\x7f]{12,}")
 _PCT_UNIT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNI_UNIT = re.compile(r"(?:\\u(?:[0-9A-Fa-f]{4}|\{[0-9A-Fa-f]{1,6}\}))+")
 _UNI_ONE = re.compile(r"\\u(?:([0-9A-Fa-f]{4})|\{([0-9A-Fa-f]{1,6})\})")
@@ -91,6 +99,15 @@ def _utf8(data: bytes) -> str | None:
     return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
 
 
+def _texts(data: bytes) -> Iterator[tuple[str, int, int]]:
+    """(text, start, end): the bytes as one text, or each stretch of them that may hold a secret."""
+    if (plain := _utf8(data)) is not None:
+        yield plain, 0, len(data)
+    else:
+        for m in _ASCII.finditer(data):
+            yield m[0].decode("ascii"), *m.span()
+
+
 def _inflate(data: bytes) -> bytes | None:
     """What a zlib or gzip stream holds (one cut short: what there is of it), or None."""
     if data[:2] != b"\x1f\x8b" and not (len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0):
@@ -137,21 +154,50 @@ def _decoded(layer: _Layer) -> Iterator[_Layer]:
             if sign in m[0] and (parts := _units(text, *m.span(), unit, decode)):
                 yield layer.unwrap(*m.span(), parts)
     for m in _BASE64.finditer(text):
-        body = m[0].rstrip("=").translate(_URLSAFE)
-        try:
-            data = base64.b64decode(body + "=" * (-len(body) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        packed = _inflate(data)
-        while packed is not None:  # compressed more than once
-            data, packed = packed, _inflate(packed)
-        if (plain := _utf8(data)) is not None:
-            yield layer.unwrap(*m.span(), [(plain, *m.span())])
+        for plain, start, end in _base64(text, *m.span()):
+            yield layer.unwrap(start, end, [(plain, start, end)])
 
 
 _URLSAFE = str.maketrans("-_", "+/")
 
 
+def _base64(text: str, start: int, end: int) -> Iterator[tuple[str, int, int]]:
+    """(text, start, end) of what a run of base64 characters decodes to.
+
+    Words, paths or other lines may stand before the data and cannot be told
+    from it, but they only shift it: one of four alignments decodes all of it.
+    """
+    lines = [m.span(1) for m in _LINE.finditer(text, start, end)]
+    first = list(itertools.accumulate((e - s for s, e in lines), initial=0))  # of each line, in the body
+    body = "".join(text[s:e] for s, e in lines)
+    if len(body) < 16:
+        return
+    cuts = [*first[:-1], *(m.end() for m in _CUT.finditer(body))]
+    body = body.translate(_URLSAFE)
+
+    def place(at: int) -> int:
+        k = bisect.bisect_right(first, at) - 1
+        return lines[k][0] + at - first[k]
+
+    for shift in range(4):
+        rest = (len(body) - shift) % 4
+        data = base64.b64decode(body[shift:len(body) - (rest == 1)] + "=" * (4 - rest if rest > 1 else 0))
+
+        def span(lo: int, hi: int) -> tuple[int, int]:
+            lo, hi = shift + lo // 3 * 4, shift + -(-hi // 3) * 4
+            return place(lo), end if hi >= len(body) - (rest == 1) else place(hi - 1) + 1
+
+        for plain, lo, hi in _texts(data):
+            yield plain, *span(lo, hi)
+        # compressed data starts the run, a line or what follows a separator
+        for at in sorted({(c - shift) // 4 * 3 for c in cuts if c >= shift and (c - shift) % 4 == 0}):
+            packed, unpacked = _inflate(data[at:]), None
+            while packed is not None:  # compressed more than once
+                unpacked, packed = packed, _inflate(packed)
+            for plain, _, _ in _texts(unpacked) if unpacked else ():
+                yield plain, *span(at, len(data))
+
+
 def scan_recursive(text: str | None) -> tuple[list[Span], list[Span]]:
     """(base, all): spans of the text itself, and with those of decoded layers."""
     text = text or ""

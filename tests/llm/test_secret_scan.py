@@ -65,6 +65,36 @@ def test_layers_are_unwrapped_and_mapped(outer, inner):
     assert all(at <= s < e <= at + len(wrapped) for _, s, e in every)
 
 
+@pytest.mark.parametrize("inner", ["base64", "gzip", "zlib"])
+@pytest.mark.parametrize("before, after", [("data=", ""), ("?q=", "&r=1"), ("PAYLOAD=", "\n"), ("https://h.io/v1/", ""), ("a-b_", "/x"),
+                                           ("one\ntwo\nthree\n", "\nfour\n"), ("YWFhYWFhYWFhYWFhYWFhYQ==", " ")])
+def test_base64_in_its_usual_places(before, after, inner):
+    for pad in range(3):
+        wrapped = WRAPS[inner]("." * pad + SECRET)
+        every = ss.scan_recursive(before + wrapped + after)[1]
+        inside = {k for k, s, e in every if e > len(before) + 8 and s < len(before) + len(wrapped)}
+        assert inside >= set(ss.KINDS)
+
+
+@pytest.mark.parametrize("inner", ["base64", "gzip", "zlib"])
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n  ", "\n> ", "\\n"])
+@pytest.mark.parametrize("width", [64, 76])
+def test_wrapped_base64_is_one_candidate(width, end, inner):
+    noise = " ".join(str(random.Random(2).random()) for _ in range(40))
+    wrapped = WRAPS[inner](f"{noise} {SECRET} {noise}")
+    lines = end.join(wrapped[k:k + width] for k in range(0, len(wrapped), width))
+    for text in (lines, f"key: {lines} after"):
+        assert {k for k, _, _ in ss.scan_recursive(text)[1]} >= set(ss.KINDS)
+        assert ss.mask(text, ss.scan_recursive(text)[1]).count(end) == 0
+
+
+def test_words_before_base64_stay():
+    words = "\n".join(f"word{k}" for k in range(500))
+    text = f"{words}\n{b64(SECRET.encode())}\n{words}"
+    hidden = ss.mask(text, ss.scan_recursive(text)[1])
+    assert ss.scan_recursive(hidden)[1] == [] and hidden.startswith(words[:-20]) and hidden.endswith(words[20:])
+
+
 def test_escapes_map_to_their_own_place():
     text = "see p%61ssword=hunter2hunter now"
     assert ss.scan_recursive(text) == ([], [("assign", 4, 28)])
