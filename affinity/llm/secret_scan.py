@@ -28,7 +28,6 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 # Equal to the greedy run followed by a length test, as a run has one start.
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_VISIBLE = re.compile(r"[!-~]+")
 # A whole run of the alphabet; runs over line breaks (also escaped or quoted ones) are one.
 _BREAK = r"[\x20\t]*(?:\r\n?|\n|(?:\\r)?\\n)[\x20\t>]*"
 _RUN = "[A-Za-z0-9+/_-]"
@@ -81,12 +80,16 @@ class _Layer:
         for text, s, e in parts:
             if not text:
                 continue
-            lo, hi = self.source(s, e)
-            if len(text) == e - s and hi - lo == len(text):
-                marks.append((at, len(text), lo, hi))
-            else:  # decoded: the stretch as a whole, never one to one
-                marks.append((at, -1, lo, hi))
-            at += len(text)
+            if text != self.text[s:e]:  # decoded: the stretch as a whole, never one to one
+                marks.append((at, -1, *self.source(s, e)))
+                at += len(text)
+                continue
+            k = max(0, bisect.bisect_right(self.offsets, s) - 1)
+            while s < e:  # as it was: with the marks that it has
+                stop = min(e, self.offsets[k + 1]) if k + 1 < len(self.offsets) else e
+                offset, length, lo, hi = self.marks[k]
+                marks.append((at, stop - s, lo + s - offset, lo + stop - offset) if length == hi - lo else (at, -1, lo, hi))
+                at, s, k = at + stop - s, stop, k + 1
         return _Layer("".join(p[0] for p in parts), marks)
 
 
@@ -119,40 +122,30 @@ def _inflate(data: bytes) -> bytes | None:
         return None
 
 
-def _units(text: str, start: int, end: int, unit: re.Pattern, decode) -> list[tuple[str, int, int]] | None:
-    parts, at = [], start
-    for m in unit.finditer(text, start, end):
-        plain = decode(m[0])
-        if plain is None:
-            continue
-        parts += [(text[at:m.start()], at, m.start()), (plain, *m.span())]
+def _units(text: str, unit: re.Pattern, decode) -> list[tuple[str, int, int]] | None:
+    parts, at = [], 0
+    for m in unit.finditer(text):
+        parts += [(text[at:m.start()], at, m.start()), (decode(m[0]), *m.span())]
         at = m.end()
-    return parts + [(text[at:end], at, end)] if at > start else None
+    return parts + [(text[at:], at, len(text))] if at else None
 
 
-def _percent(run: str) -> str | None:
-    try:
-        return binascii.unhexlify(run.replace("%", "")).decode("utf-8")
-    except UnicodeDecodeError:
-        return None
+def _percent(run: str) -> str:
+    return binascii.unhexlify(run.replace("%", "")).decode("utf-8", "replace")
 
 
-def _escapes(run: str) -> str | None:
-    try:
-        units = [int(a or b, 16) for a, b in _UNI_ONE.findall(run)]
-        return b"".join(u.to_bytes(2, "little") if u < 0x10000 else chr(u).encode("utf-16-le")
-                        for u in units).decode("utf-16-le")
-    except (UnicodeDecodeError, ValueError, OverflowError):
-        return None
+def _escapes(run: str) -> str:
+    units = [min(int(a or b, 16), 0x110000) for a, b in _UNI_ONE.findall(run)]
+    return b"".join(u.to_bytes(2, "little") if u < 0x10000 else chr(u).encode("utf-16-le") if u < 0x110000 else b"\xfd\xff"
+                    for u in units).decode("utf-16-le", "replace")
 
 
 def _decoded(layer: _Layer) -> Iterator[_Layer]:
     text = layer.text
+    # all escapes at once, in place: keys and values may stand on both sides of blanks
     for sign, unit, decode in (("%", _PCT_UNIT, _percent), ("\\u", _UNI_UNIT, _escapes)):
-        for m in _VISIBLE.finditer(text) if sign in text else ():
-            # what stands around the escapes without a blank may belong to the secret
-            if sign in m[0] and (parts := _units(text, *m.span(), unit, decode)):
-                yield layer.unwrap(*m.span(), parts)
+        if sign in text and (parts := _units(text, unit, decode)):
+            yield layer.unwrap(0, len(text), parts)
     for m in _BASE64.finditer(text):
         for plain, start, end in _base64(text, *m.span()):
             yield layer.unwrap(start, end, [(plain, start, end)])

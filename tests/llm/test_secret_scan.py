@@ -102,6 +102,13 @@ def test_escapes_map_to_their_own_place():
     assert ss.scan_recursive(text)[1] == [("assign", 0, 27)]
 
 
+@pytest.mark.parametrize("secret", ["password: %68%75%6e%74%65%72%32", 'password": "\\u0068unter2hunter', "%70assword = hunter2hunter",
+                                    "\\u0070assword : %68unter2hunter", "%E9%70assword = hunter2hunter", "password = hunter%68\\u{68}unter"])
+def test_escapes_on_both_sides_of_blanks(secret):
+    text = f'é "{secret}" \\u{{ffffff}} %E9 \\ud800 after'
+    assert ss.scan_recursive(text)[1][-1] == ("assign", 3, 3 + len(secret))
+
+
 def test_cycles_long_texts_and_explosions_end():
     began = time.time()
     for text in ("%25" * 50_000, "%" + "x" * 300_000, "\\u0041" * 50_000, "A" * 300_000 + "===", "ab" * 500_000,
