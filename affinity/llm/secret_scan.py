@@ -13,10 +13,11 @@ from __future__ import annotations
 import base64
 import binascii
 import bisect
+import hashlib
 import itertools
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,9 +41,15 @@ _PCT_UNIT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNI_UNIT = re.compile(r"(?:\\u(?:[0-9A-Fa-f]{4}|\{[0-9A-Fa-f]{1,6}\}))+")
 _UNI_ONE = re.compile(r"\\u(?:([0-9A-Fa-f]{4})|\{([0-9A-Fa-f]{1,6})\})")
 
-# Bytes that one compressed layer may grow to: memory stays bounded against
-# streams made to explode; what lies beyond is not scanned.
-INFLATED = 1 << 26
+# ASCII as UTF-16 or UTF-32, with or without a byte order mark.
+_WIDE = [(re.compile(rb"(?:[\x01-\x7f]\x00){12,}+"), 0, 2), (re.compile(rb"(?:\x00[\x01-\x7f]){12,}+"), 1, 2),
+         (re.compile(rb"(?:[\x01-\x7f]\x00{3}){12,}+"), 0, 4), (re.compile(rb"(?:\x00{3}[\x01-\x7f]){12,}+"), 3, 4)]
+# Heads of gzip and (with the usual window) zlib streams.
+_HEAD = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+# Unpacked data is read in pieces and scanned in windows of about this size.
+PIECE, WINDOW = 1 << 20, 1 << 24
+# What no secret and no encoded stretch has inside: windows end behind one of these.
+_APART = (*(bytes([c]) for c in b",;()<!|*#&$@~^`"), bytes(16))
 
 Span = tuple[str, int, int]
 
@@ -93,33 +100,101 @@ class _Layer:
         return _Layer("".join(p[0] for p in parts), marks)
 
 
-def _utf8(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    # decoded control bytes mean that it was not text
-    return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
-
-
 def _texts(data: bytes) -> Iterator[tuple[str, int, int]]:
     """(text, start, end): the bytes as one text, or each stretch of them that may hold a secret."""
-    if (plain := _utf8(data)) is not None:
-        yield plain, 0, len(data)
-    else:
+    try:
+        yield data.decode("utf-16" if data[:2] in (b"\xff\xfe", b"\xfe\xff") else "utf-8"), 0, len(data)
+    except UnicodeDecodeError:
         for m in _ASCII.finditer(data):
             yield m[0].decode("ascii"), *m.span()
-
-
-def _inflate(data: bytes) -> bytes | None:
-    """What a zlib or gzip stream holds (one cut short: what there is of it), or None."""
-    if data[:2] != b"\x1f\x8b" and not (len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0):
-        return None
-    try:
-        engine = zlib.decompressobj(47)
-        return engine.decompress(data, INFLATED)
-    except zlib.error:
-        return None
+    if b"\0" in data:
+        for form, first, step in _WIDE:
+            for m in form.finditer(data):
+                yield m[0][first::step].decode("ascii"), *m.span()
+
+
+def _is_head(data: bytes) -> bool:
+    return data[:2] == b"\x1f\x8b" or len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0
+
+
+class _Inflated:
+    """What a zlib or gzip stream holds, in pieces: all members, one cut short as far as it goes."""
+
+    def __init__(self, chunks: Iterator[bytes]):
+        self.chunks, self.taken = chunks, 0  # taken: bytes of all that was read
+
+    def __iter__(self) -> Iterator[bytes]:
+        engine, fresh = zlib.decompressobj(47), True
+        for rest in self.chunks:
+            more = True
+            while rest or more:
+                if fresh and self.taken:  # members may be padded with zeros
+                    self.taken, rest = self.taken + len(rest) - len(rest.lstrip(b"\0")), rest.lstrip(b"\0")
+                    if not rest:
+                        break
+                try:
+                    out = engine.decompress(rest, PIECE)
+                except zlib.error:
+                    return
+                left = engine.unused_data if engine.eof else engine.unconsumed_tail
+                self.taken, rest, more, fresh = self.taken + len(rest) - len(left), left, len(out) == PIECE, False
+                if out:
+                    yield out
+                if engine.eof:
+                    engine, more, fresh = zlib.decompressobj(47), False, True
+
+
+def _from(chunks: Iterator[bytes], start: int) -> Iterator[bytes]:
+    for chunk in chunks:
+        if start < len(chunk):
+            yield chunk[start:]
+        start = max(0, start - len(chunk))
+
+
+def _windows(chunks: Iterable[bytes]) -> Iterator[bytes]:
+    """The chunks in windows that cut nothing apart; one grows as long as there is no place to cut."""
+    held, size = [], 0
+    for chunk in chunks:
+        held.append(chunk)
+        size += len(chunk)
+        if size >= WINDOW and (at := max(chunk.rfind(c) + len(c) if c in chunk else 0 for c in _APART)):
+            yield b"".join([*held[:-1], chunk[:at]])
+            held, size = [chunk[at:]], len(chunk) - at
+    yield b"".join(held)
+
+
+Source = Callable[[], Iterator[bytes]]
+
+
+def _packed(chunks: Source, heads: Iterable[int], seen: set[bytes]) -> Iterator[tuple[int, int, Iterator[str]]]:
+    """(start, end, texts) of the compressed streams that start at ``heads``; no content twice."""
+    done = 0
+    for head in heads:
+        if head < done:
+            continue
+        stream, digest, size = _Inflated(_from(chunks(), head)), hashlib.blake2b(), 0
+        for piece in stream:
+            digest.update(piece)
+            size += len(piece)
+        if size:
+            done = head + stream.taken
+            if digest.digest() not in seen:  # else a cycle, or nothing new
+                seen.add(digest.digest())
+                yield head, done, _unpacked(lambda head=head: iter(_Inflated(_from(chunks(), head))), seen)
+
+
+def _unpacked(chunks: Source, seen: set[bytes]) -> Iterator[str]:
+    """All texts of a stream of bytes and of the streams packed in it."""
+    at, heads = 0, []
+    for window in _windows(chunks()):
+        for plain, _, _ in _texts(window):
+            yield plain
+        heads += [at + m.start() for m in _HEAD.finditer(window)]
+        if not at and _is_head(window) and 0 not in heads:
+            heads.insert(0, 0)
+        at += len(window)
+    for _, _, texts in _packed(chunks, heads, seen):
+        yield from texts
 
 
 def _units(text: str, unit: re.Pattern, decode) -> list[tuple[str, int, int]] | None:
@@ -182,13 +257,12 @@ def _base64(text: str, start: int, end: int) -> Iterator[tuple[str, int, int]]:
 
         for plain, lo, hi in _texts(data):
             yield plain, *span(lo, hi)
-        # compressed data starts the run, a line or what follows a separator
-        for at in sorted({(c - shift) // 4 * 3 for c in cuts if c >= shift and (c - shift) % 4 == 0}):
-            packed, unpacked = _inflate(data[at:]), None
-            while packed is not None:  # compressed more than once
-                unpacked, packed = packed, _inflate(packed)
-            for plain, _, _ in _texts(unpacked) if unpacked else ():
-                yield plain, *span(at, len(data))
+        # compressed data starts the run, a line or what follows a separator; a usual head counts anywhere
+        heads = {m.start() for m in _HEAD.finditer(data)}
+        heads |= {at for c in cuts if c >= shift and (c - shift) % 4 == 0 and _is_head(data[(at := (c - shift) // 4 * 3):at + 3])}
+        for lo, hi, texts in _packed(lambda data=data: iter([data]), sorted(heads), set()):
+            for plain in texts:
+                yield plain, *span(lo, hi)
 
 
 def scan_recursive(text: str | None) -> tuple[list[Span], list[Span]]:
@@ -196,16 +270,19 @@ def scan_recursive(text: str | None) -> tuple[list[Span], list[Span]]:
     text = text or ""
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     base = sorted(scan(text), key=order)
-    found, seen = set(base), {text}
-    work = list(_decoded(_Layer(text, [(0, len(text), 0, len(text))])))
+    found, seen = set(base), set()
+    work = [_decoded(_Layer(text, [(0, len(text), 0, len(text))]))]
     while work:
-        layer = work.pop()
-        key = (layer.text, layer.source(0, len(layer.text)))
-        if layer.text == text or key in seen:
+        layer = next(work[-1], None)  # one layer at a time is in memory per depth
+        if layer is None:
+            work.pop()
+            continue
+        key = (hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass")).digest(), layer.source(0, len(layer.text)))
+        if not layer.text or layer.text == text or key in seen:
             continue
         seen.add(key)
         found.update((kind, *layer.source(s, e)) for kind, s, e in scan(layer.text))
-        work += _decoded(layer)
+        work.append(_decoded(layer))
     return base, sorted(found, key=order)
 
 

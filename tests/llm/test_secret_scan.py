@@ -109,6 +109,64 @@ def test_escapes_on_both_sides_of_blanks(secret):
     assert ss.scan_recursive(text)[1][-1] == ("assign", 3, 3 + len(secret))
 
 
+KEY = 'token = "abcdef123456"'
+
+
+@pytest.mark.parametrize("mark", "\ufeff \xa0 \u3000 \u200d \xad \f \x1b \0".split(" "))
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, zlib.compress])
+def test_any_character_may_stand_in_a_layer(mark, pack):
+    text = b64(pack(f"{mark}a{mark} {KEY} {mark}".encode()))
+    assert ss.scan_recursive(text)[1] == [("assign", 0, len(text))]
+
+
+@pytest.mark.parametrize("pack", [bytes, gzip.compress])
+@pytest.mark.parametrize("form", ["utf-16", "utf-16-le", "utf-16-be", "utf-32", "utf-32-be", "latin-1"])
+def test_other_encodings(form, pack):
+    text = b64(pack(f"\xe9 {KEY} \xe9".encode(form)))
+    assert {k for k, _, _ in ss.scan_recursive(text)[1]} == {"assign"}
+
+
+@pytest.mark.parametrize("data", [gzip.compress(b"x" * 99) + gzip.compress(KEY.encode()),
+                                  gzip.compress(b"x" * 99) + bytes(5) + gzip.compress(b"") + gzip.compress(KEY.encode())[:-8],
+                                  gzip.compress(random.Random(1).randbytes(500) + gzip.compress(KEY.encode())),
+                                  gzip.compress(b"x, " * (30 << 20) + KEY.encode(), 1),
+                                  gzip.compress(b"x\xc3\xa9" * (25 << 20) + b64(KEY.encode()).encode(), 1)],
+                         ids=["members", "padded", "inside", "90 MB", "75 MB"])
+def test_compressed_data_is_read_to_its_end(data):
+    assert {k for k, _, _ in ss.scan_recursive(b64(data))[1]} == {"assign"}
+
+
+def test_windows_cut_nothing(monkeypatch):
+    rng = random.Random(7)
+    parts = [KEY, b64(KEY.encode()), urllib.parse.quote(KEY, safe=""), ", ", "\n", "x" * 50, "(", "\xe9", " "]
+    for _ in range(50):
+        text = "".join(rng.choices(parts, k=60))
+        whole = [t for t in ss._windows(iter([text.encode()]))]
+        monkeypatch.setattr(ss, "PIECE", 16)
+        monkeypatch.setattr(ss, "WINDOW", 64)
+        raw = zlib.compress(text.encode())
+        pieces = list(ss._windows(ss._Inflated(iter([raw]))))
+        monkeypatch.undo()
+        assert b"".join(pieces) == b"".join(whole) == text.encode()
+        assert sum(len(ss.scan(p.decode("utf-8", "replace"))) for p in pieces) == len(ss.scan(text))
+
+
+def test_a_cycle_of_streams_ends(monkeypatch):
+    calls, head = [], b64(gzip.compress(b"start"))
+
+    class Same:
+        """Every stream unpacks to the same stream."""
+        def __init__(self, chunks):
+            self.taken = len(b"".join(chunks))
+            calls.append(1)
+
+        def __iter__(self):
+            return iter([gzip.compress(b"start")])
+    monkeypatch.setattr(ss, "_Inflated", Same)
+    ss.scan_recursive(head)
+    assert len(calls) < 20
+
+
 def test_cycles_long_texts_and_explosions_end():
     began = time.time()
     for text in ("%25" * 50_000, "%" + "x" * 300_000, "\\u0041" * 50_000, "A" * 300_000 + "===", "ab" * 500_000,
