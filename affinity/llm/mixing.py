@@ -7,6 +7,8 @@ proportional to the weight of their cell, by a hash of their id.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,10 +17,12 @@ from affinity.llm.common import cut
 
 # Languages x topics at most; both are closed label sets, sources are not.
 LABEL_PAIRS = 100_000
-SWEEPS = 100
+SWEEPS = 100_000  # a fit that is still short then says so
 TOLERANCE = 1e-6
-# A sweep that closes less than this part of the gap ends the fit.
-STALLED = 1e-3
+# Up to so many cells sweeps run on the driver, beyond that as one job each.
+DRIVER_CELLS = 1 << 20
+# Rounding of the proof that no weights meet the marginals.
+PROOF = 1e-12
 TEMPERATURE = 0.9
 SEED = 42
 NONE = "(none)"
@@ -62,12 +66,20 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None,
     ``targets`` may give shares for "source", "lang" and "topic"; a missing one
     is the tempered share of the data (share ** temperature, normalised).
     Shares of categories without tokens are left out and the rest normalised.
-    A category that a given target does not name gets weight 0.  Marginals that
-    no cell pattern can meet end where a sweep brings nothing more (``SWEEPS``
-    at most).
+    A category that a given target does not name gets weight 0.
+
+    The fit ends when all marginals are met to ``TOLERANCE``.  It ends short of
+    that only if the growth of the factors proves that no weights can meet them
+    and the gap has come to rest (or after ``SWEEPS``); a warning then names the
+    remaining gap of each marginal.
+
+    The proof: weights that meet the marginals have the mean log growth V = sum
+    of share x log growth over all factors, so V cannot be above the largest
+    log growth of a single cell.
 
-    Each sweep is one job: source factors stay distributed, and only the
-    language x topic matrix reaches the driver.
+    Up to ``DRIVER_CELLS`` cells sweep on the driver; beyond that each sweep is
+    one job, source factors stay distributed, and only language x topic
+    matrices reach the driver.
     """
     spark, targets = cells.sparkSession, targets or {}
     pair = cells.groupBy("_l", "_t").agg(F.sum("tokens").alias("w")).limit(LABEL_PAIRS + 1).collect()
@@ -77,10 +89,13 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None,
     if not pair:
         return cells.withColumn("weight", F.lit(1.0))
 
-    def matrix(rows) -> np.ndarray:
-        out = np.zeros((len(langs), len(topics)))
+    place_l, place_t = {k: i for i, k in enumerate(langs)}, {k: i for i, k in enumerate(topics)}
+
+    def matrix(rows, name: str = "w", empty: float = 0.0) -> np.ndarray:
+        out = np.full((len(langs), len(topics)), empty)
         for r in rows:
-            out[langs.index(r["_l"]), topics.index(r["_t"])] = r["w"]
+            if r[name] is not None:
+                out[place_l[r["_l"]], place_t[r["_t"]]] = r[name]
         return out
 
     def shares(name: str, labels: list[str], totals: np.ndarray) -> np.ndarray:
@@ -101,20 +116,61 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None,
     goal = goal.select("_s", (F.col("raw") / F.lit(mass)).alias("want"))
     b, c = np.ones(len(langs)), np.ones(len(topics))
 
-    def fitted() -> DataFrame:
-        factors = [(la, to, float(b[i] * c[j])) for i, la in enumerate(langs) for j, to in enumerate(topics)]
-        part = cells.join(F.broadcast(spark.createDataFrame(factors, "_l string, _t string, f double")), ["_l", "_t"])
-        a = part.groupBy("_s").agg(F.sum(F.col("tokens") * F.col("f")).alias("m")).join(goal, "_s").select(
-            "_s", F.when(F.col("m") > 0, F.col("want") / F.col("m")).otherwise(0.0).alias("a"))
-        return part.join(a, "_s").select("_s", "_l", "_t", "tokens", (F.col("a") * F.col("f")).alias("weight"))
-
-    last = np.inf
+    b0, c0 = b, c
+
+    def fitted(b: np.ndarray, c: np.ndarray, b0: np.ndarray, c0: np.ndarray) -> DataFrame:
+        """Weights by the factors, and the log growth of the source's factor since b0, c0."""
+        factors = [(la, to, float(b[i] * c[j]), float(b0[i] * c0[j])) for i, la in enumerate(langs) for j, to in enumerate(topics)]
+        part = cells.join(F.broadcast(spark.createDataFrame(factors, "_l string, _t string, f double, f0 double")), ["_l", "_t"])
+        a = part.groupBy("_s").agg(*(F.sum(F.col("tokens") * F.col(k)).alias(m) for k, m in (("f", "m"), ("f0", "m0")))).join(
+            goal, "_s").select("_s", F.when(F.col("m") > 0, F.col("want") / F.col("m")).otherwise(0.0).alias("a"),
+                               F.when((F.col("m") > 0) & (F.col("m0") > 0), F.log(F.col("m0") / F.col("m"))).alias("grown"))
+        return part.join(a, "_s").select("_s", "_l", "_t", "tokens", (F.col("a") * F.col("f")).alias("weight"), "grown")
+
+    def sweep_by_job(*factors: np.ndarray):
+        mass = F.col("tokens") * F.col("weight")
+        rows = fitted(*factors).groupBy("_l", "_t").agg(
+            F.sum(mass).alias("w"), F.sum(F.when(mass > 0, mass * F.col("grown"))).alias("v"),
+            F.max(F.when(mass > 0, F.col("grown"))).alias("m")).collect()
+        return matrix(rows), matrix(rows, "v").sum(), matrix(rows, "m", -np.inf)
+
+    sweep = sweep_by_job
+    if cells.count() <= DRIVER_CELLS:
+        held = cells.join(goal, "_s").select("_s", "_l", "_t", "tokens", "want").toPandas()
+        _, first, source = np.unique(held["_s"].to_numpy(str), return_index=True, return_inverse=True)
+        row, col = held["_l"].map(place_l).to_numpy(int), held["_t"].map(place_t).to_numpy(int)
+        tokens, want_s = held["tokens"].to_numpy(float), held["want"].to_numpy(float)[first]
+        pair_of, n_pairs = row * len(topics) + col, len(langs) * len(topics)
+
+        def sweep(b, c, b0, c0):
+            f = b[row] * c[col]
+            m, m0 = np.bincount(source, tokens * f), np.bincount(source, tokens * b0[row] * c0[col])
+            a = np.divide(want_s, m, out=np.zeros_like(m), where=m > 0)
+            grown = np.log(np.divide(m0, m, out=np.ones_like(m), where=(m > 0) & (m0 > 0)))
+            mass = tokens * a[source] * f
+            most = np.full(n_pairs, -np.inf)
+            np.maximum.at(most, pair_of[mass > 0], grown[source[mass > 0]])
+            got = np.bincount(pair_of, mass, n_pairs).reshape(len(langs), -1)
+            return got, float(mass @ grown[source]), most.reshape(len(langs), -1)
+
+    def growth(new: np.ndarray, old: np.ndarray) -> np.ndarray:
+        return np.log(np.divide(new, old, out=np.ones_like(new), where=(new > 0) & (old > 0)))
+
+    last, short = np.inf, False
     for _ in range(SWEEPS):
-        got = matrix(fitted().groupBy("_l", "_t").agg(F.sum(F.col("tokens") * F.col("weight")).alias("w")).collect())
-        off = max(np.abs(got.sum(1) - want_l).max(), np.abs(got.sum(0) - want_t).max())
-        if off <= TOLERANCE or off > (1 - STALLED) * last:
+        got, mean, most = sweep(b, c, b0, c0)
+        gaps = {"lang": np.abs(got.sum(1) - want_l).max(), "topic": np.abs(got.sum(0) - want_t).max(),
+                "source": abs(1 - got.sum())}  # each source is met as far as it has cells left
+        off = max(gaps.values())
+        if off <= TOLERANCE:
+            break
+        grown_l, grown_t = growth(b, b0), growth(c, c0)
+        cell = (most + grown_l[:, None] + grown_t[None, :])[most > -np.inf].max(initial=-np.inf)
+        # proved once, it holds: cells that lost all their mass, or a mean above the largest
+        short = short or gaps["source"] > TOLERANCE or mean + want_l @ grown_l + want_t @ grown_t > cell + PROOF
+        if short and abs(off - last) <= TOLERANCE * last:
             break
-        last = off
+        last, b0, c0 = off, b, c
         for _ in range(200):  # rake the small matrix fully before the next pass over the sources
             rows, cols = got.sum(1), None
             r = np.divide(want_l, rows, out=np.zeros_like(rows), where=rows > 0)
@@ -124,7 +180,11 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None,
             got, c = got * s, c * s
             if max(np.abs(r[want_l > 0] - 1).max(), np.abs(s[want_t > 0] - 1).max()) < 1e-10:
                 break
-    return cut(fitted(), "mix-weights")
+        b, c = b / b.max(), c / c.max()  # the sources take up the scale
+    if off > TOLERANCE:
+        warnings.warn("mixing: " + ("no weights meet the marginals" if short else f"not met after {SWEEPS} sweeps")
+                      + "".join(f"; {k} is off by {v:.3g}" for k, v in gaps.items()), RuntimeWarning, stacklevel=2)
+    return cut(fitted(b, c, b, c).drop("grown"), "mix-weights")
 
 
 def unit_hash(seed: int, id_col: str = "doc_id", text_col: str = "text") -> Column:

@@ -83,3 +83,34 @@ def test_zero_targets_and_pair_limit(spark, monkeypatch):
     monkeypatch.setattr(mixing, "LABEL_PAIRS", 2)
     with pytest.raises(ValueError):
         mixing.with_probability(docs)
+
+
+CELL = "_s string, _l string, _t string, tokens long"
+
+
+def off_by(rows, axis, want):
+    return max(abs(sum(r["tokens"] * r["weight"] for r in rows if r[axis] == k) - v) for k, v in want.items())
+
+
+@pytest.mark.parametrize("by_job", [False, True])
+def test_a_slow_fit_is_not_given_up(spark, monkeypatch, by_job):
+    n = 10 if by_job else 10 ** 6
+    cells = cut(spark.createDataFrame([("a", "en", "x", n), ("a", "fr", "x", 1), ("b", "en", "x", 1), ("b", "fr", "x", n)], CELL), "slow")
+    if by_job:
+        monkeypatch.setattr(mixing, "DRIVER_CELLS", 0)
+    source, lang = {"a": 0.3, "b": 0.7}, {"en": 0.3, "fr": 0.7}
+    if not by_job:
+        lang = {"en": 0.5, "fr": 0.5}
+    rows = mixing.rake(cells, {"source": source, "lang": lang}).collect()
+    assert off_by(rows, "_s", source) <= 2e-6 and off_by(rows, "_l", lang) <= 2e-6
+
+
+@pytest.mark.parametrize("by_job", [False, True])
+def test_marginals_that_cannot_be_met_are_told(spark, monkeypatch, by_job):
+    cells = cut(spark.createDataFrame([("a", "en", "x", 90), ("b", "fr", "x", 10), ("b", "en", "x", 5)], CELL), "short")
+    if by_job:
+        monkeypatch.setattr(mixing, "DRIVER_CELLS", 0)
+        monkeypatch.setattr(mixing, "TOLERANCE", 1e-2)  # few sweeps: each is a job
+    with pytest.warns(RuntimeWarning, match="no weights meet.*lang is off by 0.2"):
+        rows = mixing.rake(cells, {"source": {"a": 0.7, "b": 0.3}, "lang": {"en": 0.5, "fr": 0.5}}).collect()
+    assert off_by(rows, "_s", {"a": 0.7, "b": 0.3}) < 1e-9
