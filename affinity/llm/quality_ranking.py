@@ -3,8 +3,9 @@
 A document's strength is a linear score of features of its text alone.  The
 weights are learned from preference pairs (a document marked good against one
 marked bad) by logistic loss on the feature differences; a quantile of the
-scores then decides what is kept.  The fit reads a bounded sample of labelled
-rows; scoring is one pass over all documents without a shuffle.
+scores of all documents then decides what is kept.  The fit reads a bounded
+sample of labelled rows; the bad share counts all labels outside the held-out
+fold.  Scoring is one pass over all documents without a shuffle.
 """
 
 from __future__ import annotations
@@ -13,13 +14,15 @@ import math
 import operator
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from affinity.llm.common import cut
+
 # Labelled documents that the fit reads at most (a seeded hash picks them).
 LABELLED_ROWS = 20_000
 # Preference pairs drawn from them; each good document meets random bad ones.
@@ -27,6 +30,7 @@ PAIRS = 200_000
 RIDGE = 1e-2
 SEED = 42
 CUT = 0.3  # the score that the chosen quantile is mapped to
+RANKS = 100_000  # the sketch that brackets the quantile is off by 1 / RANKS of the rows at most
 
 _CLASSES = np.zeros((256, 8))
 for _k, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:?", b"!", b"|",
@@ -114,18 +118,48 @@ def _feature_rows(rows: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = LABELLED_ROWS) -> Model:
     """Fit on at most ``max_rows`` labelled documents outside the held-out fold.
 
-    Rows of ``labels`` with a null id or mark are left out; a repeated label
-    row counts once.
+    Threshold and scale are the quantile and deviation of the strengths of all
+    documents, at the bad share of all labels outside that fold.  Rows of
+    ``labels`` with a null id or mark are left out; a repeated label row counts
+    once.
     """
-    chosen = (labels.select("doc_id", F.col("quality").cast("int").alias("quality"))
-              .where("doc_id IS NOT NULL AND quality IN (0, 1)").where(~held_out()).distinct()
-              .orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id", "quality").limit(max_rows))
+    usable = (labels.select("doc_id", F.col("quality").cast("int").alias("quality"))
+              .where("doc_id IS NOT NULL AND quality IN (0, 1)").where(~held_out()).distinct())
+    chosen = (usable.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id", "quality").limit(max_rows))
     # max_rows bounds the broadcast side and, once repeated ids are cut, the fit
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     got = (_feature_rows(rows).withColumn("k", F.xxhash64("quality", "x")).orderBy("k", "x").limit(max_rows)
            .select("quality", "x").collect())
     x = np.array([r["x"] for r in got], float).reshape(-1, N_FEATURES)
-    return fit(x, np.array([r["quality"] for r in got], int))
+    model = fit(x, np.array([r["quality"] for r in got], int))
+    if not model.weights.any():
+        return model
+    strengths = cut(_strengths(docs, model), "quality-strengths")
+    share = usable.agg(F.avg(1 - F.col("quality"))).first()[0]
+    spread = strengths.agg(F.stddev_pop("s")).first()[0]
+    return replace(model, threshold=_quantile(strengths, share), scale=max(spread / 4, 1e-9))
+
+
+def _strengths(docs: DataFrame, model: Model) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = np.array([features(t.as_py()) for t in b.column(0)], float)
+                yield pa.RecordBatch.from_arrays([pa.array(model.strength(x))], names=["s"])
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "s double")
+
+
+def _quantile(values: DataFrame, share: float) -> float:
+    """The exact quantile (interpolated) of column ``s``: a sketch brackets it, the ranks inside are counted."""
+    n = values.count()
+    slack = 2 / RANKS + 2 / n
+    low, high = values.agg(F.percentile_approx("s", [max(0.0, share - slack), min(1.0, share + slack)], RANKS)).first()[0]
+    below = values.where(F.col("s") < low).count()
+    inside = values.where(F.col("s").between(low, high)).groupBy("s").count().orderBy("s").collect()
+    ends = below + np.cumsum([r["count"] for r in inside])  # rank behind the last row of each value
+    at = share * (n - 1)
+    left, right = (inside[int(np.searchsorted(ends, k, side="right"))]["s"] for k in (math.floor(at), math.ceil(at)))
+    return left + (right - left) * (at - math.floor(at))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

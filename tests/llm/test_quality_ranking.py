@@ -80,3 +80,25 @@ def test_keep_good_filters_by_the_score(spark):
     assert kept.columns == table.columns
     want = {r["doc_id"] for r in qr.score(table, model).collect() if r["predicted"]}
     assert {r["doc_id"] for r in kept.collect()} == want
+
+
+def test_threshold_covers_all_documents_and_labels(spark):
+    rows, marks = corpus(400)
+    plain = [(10_000 + i, t) for i, t in rows for i in (i, i + 1000) if t.endswith(".")]  # without labels, and better
+    table = docs(spark, rows + plain)
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    model = qr.train(table, labels, max_rows=60)
+    x = np.array([qr.features(t) for _, t in rows + plain])
+    share = np.mean([q == 0 for i, q, _ in marks if zlib.crc32(str(i).encode()) % 5])
+    strengths = model.strength(x)
+    assert abs(model.threshold - np.quantile(strengths, share)) < 1e-9 and abs(model.scale - strengths.std() / 4) < 1e-9
+
+
+def test_exact_quantile(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    for ranks, n in ((100_000, 1), (100_000, 50), (50, 5000)):
+        monkeypatch.setattr(qr, "RANKS", ranks)
+        s = np.round(rng.standard_normal(n), 2)
+        values = spark.createDataFrame([(float(v),) for v in s], "s double")
+        for share in (0.0, 0.137, 1.0):
+            assert abs(qr._quantile(values, share) - np.quantile(s, share)) < 1e-12
