@@ -13,6 +13,7 @@ Tasks return a spanning forest of the links they found, never all pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -56,12 +57,19 @@ def _signed(value: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's bits as a signed BIGINT."""
+    """(doc_id, fp, size, mark): fp is the fingerprint's bits as a signed BIGINT;
+    size and mark (a 64-bit hash) tell the texts of a repeated doc_id apart."""
     def run(cols):
-        return {"doc_id": cols["doc_id"], "fp": [_signed(fingerprint(t, shingle)) for t in cols["text"]]}
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return arrow_rows(source, run, pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())]),
-                      "doc_id long, fp long")
+        return {"doc_id": cols["doc_id"], "fp": [_signed(fingerprint(t, shingle)) for t in cols["text"]],
+                "size": cols["size"], "mark": cols["mark"]}
+    text = F.col(text_col).cast("string")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *_text_key(text))
+    return arrow_rows(source, run, pa.schema([(c, pa.int64()) for c in ("doc_id", "fp", "size", "mark")]),
+                      "doc_id long, fp long, size long, mark long")
+
+
+def _text_key(text):
+    return (F.coalesce(F.octet_length(text), F.lit(-1)).cast("long").alias("size"), F.xxhash64(text).alias("mark"))
 
 
 def block_masks(max_bits: int) -> list[int]:
@@ -208,29 +216,53 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4,
     columns are read, so extra columns cannot clash.
     """
     rows = cut(fingerprints(docs, shingle, id_col, text_col), "simhash-rows")
-    classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
-    groups = connected_components(links(classes.select("fp"), max_bits))
-    labelled = cut(classes.join(groups, classes["fp"] == groups["node"], "left")
-                   .select("fp", "rep", F.coalesce("component", "fp").alias("label")), "simhash-labels")
-    least = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
-    by_fp = cut(labelled.join(least, "label").select("fp", "component_id"), "simhash-components")
+    labelled = _labelled(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), max_bits)
+    least = cut(labelled.groupBy("label").agg(F.min("rep").alias("component_id")), "simhash-least")
+    by_fp = cut(labelled.join(least.hint("merge"), "label").select("fp", "component_id"), "simhash-components")
     return (rows.join(by_fp.hint("merge"), "fp")
             .select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"))
 
 
-def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """The documents with one of each near-duplicate group: its smallest doc_id.
+def _labelled(classes: DataFrame, max_bits: int) -> DataFrame:
+    """The classes of equal fingerprints with ``label``, the same for all of a component."""
+    classes = cut(classes, "simhash-classes")
+    groups = connected_components(links(classes.select("fp"), max_bits))
+    return cut(classes.join(groups, classes["fp"] == groups["node"], "left")
+               .select(*classes.columns, F.coalesce("component", "fp").alias("label")), "simhash-labels")
+
 
-    Rows that share a doc_id are one document, of which the first in column
-    order stays.  Rows with a null doc_id cannot be told apart by id and stay.
+def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
+    """The documents with one row of each near-duplicate group.
+
+    Rows are judged one by one: of a group, the row with the smallest doc_id
+    stays, of several such rows the one with the shortest text (then the
+    smaller text hash).  A doc_id that repeats on unlike texts therefore keeps
+    a row in each group where it is the smallest.  Rows equal in doc_id and
+    text are reduced to the first by their JSON form, so columns of any type
+    (maps too) may follow.  Rows with a null doc_id cannot be told apart by id:
+    they link others, and all stay.  Null texts count as empty; an empty table
+    gives an empty result; extra columns are kept, whatever their names.
     """
-    found = near_duplicates(docs, shingle, max_bits).where("doc_id IS NOT NULL")
-    drop = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
-    repeated = cut(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "simhash-repeated")
+    rows = cut(fingerprints(docs, shingle, "doc_id", "text"), "simhash-rows")
+    key = ("doc_id", "size", "mark")
+    # nulls sort last here, as a group may be led by an id from any of its rows
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct(*key))).alias("rep")
+    labelled = _labelled(rows.groupBy("fp").agg(first), max_bits)
+    winners = cut(labelled.where("rep IS NOT NULL").groupBy("label").agg(F.min("rep").alias("rep"))
+                  .select(*[F.col(f"rep.{c}").alias(f"_w_{c}") for c in key]).distinct(), "simhash-winners")
+    text = docs["text"].cast("string")
+    same = [docs["doc_id"].cast("long") == winners["_w_doc_id"],
+            *[k == winners[f"_w_{c}"] for k, c in zip(_text_key(text), key[1:])]]
+    won = docs.join(winners, reduce(lambda a, b: a & b, same), "left_semi")
+    unnamed = docs.where(docs["doc_id"].isNull())
+    repeated = cut(rows.groupBy(*key).count().where("count > 1 AND doc_id IS NOT NULL")
+                   .select(*[F.col(c).alias(f"_w_{c}") for c in key]), "simhash-repeated")
     if repeated.isEmpty():
-        return kept
-    again = kept.join(repeated, "doc_id", "left_semi")
-    one = again.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("r"))
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(
-        one.select("doc_id", "r.*").select(*docs.columns))
+        return won.unionByName(unnamed)
+    alike = reduce(lambda a, b: a & b, [won["doc_id"].cast("long") == repeated["_w_doc_id"],
+                                        *[k == repeated[f"_w_{c}"] for k, c in zip(_text_key(won["text"].cast("string")), key[1:])]])
+    row = F.struct(*[won[c] for c in docs.columns])
+    one = (won.join(repeated, alike, "left_semi").select(row.alias("r"), F.to_json(row).alias("j"))
+           .groupBy(F.col("r.doc_id").alias("i"), F.xxhash64("r.text").alias("m"))
+           .agg(F.min_by("r", "j").alias("r")).select("r.*"))
+    return won.join(repeated, alike, "left_anti").unionByName(one).unionByName(unnamed)

@@ -109,13 +109,43 @@ def test_keep_one_per_group(spark):
     kept = st.keep_one(table)
     assert kept.columns == table.columns
     fps = [brute_fingerprint(t) for _, t in rows]
-    want = brute_components([i for i, _ in rows], fps, 4)
-    first = {want[k] for k, (i, _) in enumerate(rows) if i is not None}
+    group = brute_components(list(range(len(rows))), fps, 4)
+    members = {g: [rows[k][0] for k in group if group[k] == g and rows[k][0] is not None] for g in set(group.values())}
     got = [r["doc_id"] for r in kept.select("doc_id").collect()]
-    assert sorted(i for i in got if i is not None) == sorted(first)
+    assert sorted(i for i in got if i is not None) == sorted(min(m) for m in members.values() if m)
     assert got.count(None) == 2
 
 
+def test_keep_one_decides_per_row(spark):
+    x, y = "alpha beta gamma delta epsilon", "one two three four five six seven"
+    rows = [(5, x, "a"), (7, x, "b"), (5, y, "c"), (3, y, "d")]
+    table = spark.createDataFrame([(i, t, {"k": m}, m, 1) for i, t, m in rows],
+                                  "doc_id long, text string, m map<string,string>, label string, count long")
+    kept = st.keep_one(table)
+    assert kept.columns == table.columns
+    assert sorted((r["doc_id"], r["text"], r["m"]["k"]) for r in kept.collect()) == [(3, y, "d"), (5, x, "a")]
+
+
+def test_keep_one_repeated_rows_and_null_texts(spark):
+    x = "alpha beta gamma delta epsilon"
+    rows = [(5, x, "b"), (5, x, "a"), (6, x, "c"), (9, None, "n"), (9, None, "m"), (11, "", "e"), (None, x, "z"), (None, None, "y")]
+    table = spark.createDataFrame([(i, t, {"k": m}) for i, t, m in rows], "doc_id long, text string, m map<string,string>")
+    got = sorted((r["doc_id"] or -1, r["text"] or "", r["m"]["k"]) for r in st.keep_one(table).collect())
+    assert got == [(-1, "", "y"), (-1, x, "z"), (5, x, "a"), (9, "", "m")]
+
+
+def test_no_group_is_lost_where_ids_repeat(spark):
+    rng = random.Random(3)
+    texts = [t for _, t in _corpus()]
+    rows = [(rng.randrange(30), rng.choice(texts)) for _ in range(300)]
+    kept = [(r["doc_id"], r["text"]) for r in st.keep_one(docs(spark, rows)).select("doc_id", "text").collect()]
+    fps = [brute_fingerprint(t) for _, t in rows]
+    group = brute_components(list(range(len(rows))), fps, 4)
+    by_text = {t: group[k] for k, (_, t) in enumerate(rows)}
+    assert sorted(by_text[t] for _, t in kept) == sorted(set(group.values()))
+    assert all(i == min(rows[k][0] for k in group if group[k] == by_text[t]) for i, t in kept)
+
+
 def test_empty_table(spark):
     assert st.near_duplicates(docs(spark, [])).collect() == []
     assert st.keep_one(docs(spark, [])).collect() == []
