@@ -29,7 +29,9 @@ NO_PAIR = np.iinfo(np.int32).max
 # Code points encoded at once; longer texts are cut at word ends.
 CHUNK = 1 << 20
 # Distinct words a task remembers between chunks.
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 16
+# Rows of a batch handled, and returned, at once.
+SLICE = 256
 
 
 class Vocabulary:
@@ -390,6 +392,12 @@ def vocabulary(path: str) -> Vocabulary:
     return _VOCABULARIES[path]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def public_model(name: str = "piece_bpe_32k") -> str:
     import public_tokenizers
     return public_tokenizers.path(f"{name}.model")
@@ -405,7 +413,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary(path))
-        for batch in batches:
+        for batch in _slices(batches):
             ids = encoder.encode(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(r) for r in ids], pa.int64()),
@@ -421,7 +429,7 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
-        for batch in batches:
+        for batch in _slices(batches):
             cells = batch.column(names.index("ids")).to_pylist()
             texts = decode(vocab, [np.frombuffer(c or b"", "<u4") for c in cells])
             yield pa.RecordBatch.from_arrays(
