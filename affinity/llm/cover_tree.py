@@ -11,13 +11,13 @@ tasks, each of which keeps its lower levels as flat arrays in one written row.
 Anchors first descend in their own cell for their positives; the k-th score
 found there lets them skip most other cells.  With the positives known, an
 anchor visits only cells whose bounds meet one of its score windows.  Inside a
-tree the descent is best first and skips nodes outside all windows or below
-what is already found; leaves are verified in exact integers.
+tree a task's anchors descend together, each best leaves first, skipping nodes
+outside its windows or below what it has found; leaves are verified in exact
+integers.
 """
 
 from __future__ import annotations
 
-import heapq
 import pickle
 from collections.abc import Iterator
 from functools import reduce
@@ -34,7 +34,9 @@ SAMPLE, CENTRES = 4_096, 32
 # Bytes of vectors in one tree, and anchors that one task serves, on average.
 TREE_BYTES, GROUP_ROWS = 8 << 20, 1_024
 # Children of a node at most, and points of a leaf.
-FAN, LEAF = 16, 64
+FAN, LEAF = 16, 128
+# Squared lengths, and so scores, stay below this.
+LIMIT = 1 << 62
 # Relative rounding allowed to the bounds.
 SLACK = 1e-7
 
@@ -109,7 +111,7 @@ class CoverTree:
         todo = [0] if len(ids) else []
         while todo:
             i = todo.pop()
-            part = order[start[i]:end[i]]
+            part = order[start[i]:end[i]].copy()
             if len(part) <= LEAF or radius[i] == 0:
                 continue
             here = up[part]
@@ -148,62 +150,85 @@ def bounds(query: np.ndarray, centre: np.ndarray, radius: np.ndarray, size: floa
     return (reach * np.cos(np.minimum(angle + turn, np.pi)) - wide, reach * np.cos(np.maximum(angle - turn, 0)) + wide)
 
 
-def exact_products(points: np.ndarray, query: np.ndarray, most: float) -> np.ndarray:
-    """Inner products of integers up to ``most``; ValueError where a sum may not fit a BIGINT."""
-    most = most * float(np.abs(query.astype(float)).max(initial=0)) * points.shape[1]
-    if most < 2 ** 53:
-        return (points.astype(float) @ query.astype(float)).astype(np.int64)
-    if most >= 2 ** 63:
-        raise ValueError("inner products of these components do not fit 64 bits")
-    return points @ query
+def exact_products(points: np.ndarray, queries: np.ndarray, most: float) -> np.ndarray:
+    """Inner products (point, query) of integers up to ``most``, none beyond 2^62 (float BLAS where that is exact)."""
+    if most * float(np.abs(queries.astype(float)).max(initial=0)) * points.shape[1] < 2 ** 53:
+        return (points.astype(float) @ queries.astype(float).T).astype(np.int64)
+    return points @ queries.T
 
 
-def descend(tree: CoverTree, query: np.ndarray, own: int, label: int, same: bool, windows: list[tuple[int, int]],
-            k: int) -> list[list[tuple[int, int]]]:
-    """For every window of scores its k best (score, id) in the tree, ties to the smaller id.
+def _merged(slot: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best (score, then smaller id) of every slot."""
+    order = np.lexsort((ids, -score, slot))
+    slot, score, ids = slot[order], score[order], ids[order]
+    first = np.ones(len(slot), bool)
+    first[1:] = slot[1:] != slot[:-1]
+    starts = np.flatnonzero(first)
+    keep = np.arange(len(slot)) - np.repeat(starts, np.diff(np.append(starts, len(slot)))) < k
+    return slot[keep], score[keep], ids[keep]
 
-    Only rows of the query's label (``same``) or of another one count, never
-    its own row.  ``windows`` are inclusive.
+
+def descend(tree: CoverTree, queries: np.ndarray, own: np.ndarray, labels: np.ndarray, same: bool,
+            owner: np.ndarray, lows: np.ndarray, highs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window, score, id): for every window of scores its k best in the tree, ties to the smaller id.
+
+    Window w belongs to query ``owner[w]`` and holds scores from ``lows[w]`` to
+    ``highs[w]``.  Only rows of the query's label (``same``) or of another one
+    count, never its own row.  All queries go down together: a node stays alive
+    for a query while its bounds meet one of the query's windows, above what
+    the window has found.  Each round opens every query's best leaves, twice as
+    many as the round before, and drops the nodes that the new finds rule out.
     """
-    best: list[list[tuple[int, int]]] = [[] for _ in windows]  # heaps of (score, -id)
-    floats = query.astype(float)
-    low, high = bounds(floats, tree.centre[:1], tree.radius[:1], tree.size)
-    heap = [(-float(high[0]), 0, float(low[0]))]
-    lows = [lo for lo, _ in windows]
-    while heap:
-        top, node, bottom = heapq.heappop(heap)
-        top = -top
-        if not any(top >= floor and bottom <= hi for floor, (_, hi) in zip(lows, windows)):
-            if top < min(lows):
-                break  # all others are below as well
-            continue
-        first, last = tree.start[node], tree.end[node]
-        if first == last or tree.one_label[node] and (tree.labels[first] == label) != same:
-            continue
-        if tree.children[node]:
-            kids = np.arange(tree.child[node], tree.child[node] + tree.children[node])
-            low, high = bounds(floats, tree.centre[kids], tree.radius[kids], tree.size)
-            for kid, b, t in zip(kids.tolist(), low.tolist(), high.tolist()):
-                if any(t >= floor and b <= hi for floor, (_, hi) in zip(lows, windows)):
-                    heapq.heappush(heap, (-t, kid, b))
-            continue
-        score = exact_products(tree.points[first:last], query, tree.most)
-        ids = tree.ids[first:last]
-        fits = ((tree.labels[first:last] == label) == same) & (ids != own)
-        for w, (lo, hi) in enumerate(windows):
-            at = np.flatnonzero(fits & (score >= lo) & (score <= hi) & (score >= lows[w]))
-            if not len(at):
-                continue
-            if len(at) > k:
-                at = at[np.lexsort((ids[at], -score[at]))[:k]]
-            for s, i in zip(score[at].tolist(), ids[at].tolist()):
-                if len(best[w]) < k:
-                    heapq.heappush(best[w], (s, -i))
-                else:
-                    heapq.heappushpop(best[w], (s, -i))
-            if len(best[w]) == k:
-                lows[w] = max(lo, best[w][0][0])
-    return [[(s, -i) for s, i in sorted(found, reverse=True)] for found in best]
+    none = np.zeros(0, np.int64)
+    if not len(tree.ids) or not len(owner):
+        return none, none, none
+    low, high = bounds(queries.astype(float), tree.centre, tree.radius, tree.size)
+    # nothing to find where all points have the label that is not wanted
+    wrong = tree.one_label[None, :] & ((tree.labels[tree.start][None, :] == labels[:, None]) != same)
+    floors = lows.copy()
+    found = (none, none, none)
+    order = np.argsort(owner, kind="stable")
+    begins = np.searchsorted(owner[order], np.arange(len(queries) + 1))
+    most = int(np.diff(begins).max())
+    shut = np.zeros(low.shape, bool)  # opened leaves
+    leaves = np.flatnonzero(tree.children == 0)
+    step = 1
+    while True:
+        meets = np.zeros(low.shape, bool)
+        for nth in range(most):
+            has = np.flatnonzero(begins[:-1] + nth < begins[1:])
+            w = order[begins[has] + nth]
+            meets[has] |= (high[has] >= floors[w, None]) & (low[has] <= highs[w, None])
+        alive = meets & ~wrong & ~shut
+        for node in np.flatnonzero(tree.children):  # parents stand before their children
+            alive[:, tree.child[node]:tree.child[node] + tree.children[node]] &= alive[:, node, None]
+        bound = np.where(alive[:, leaves], high[:, leaves], -np.inf)
+        if not alive[:, leaves].any():
+            return found
+        if step < len(leaves):
+            edge = np.partition(bound, len(leaves) - step, axis=1)[:, len(leaves) - step, None]
+            pick = (bound >= edge) & (bound > -np.inf)
+        else:
+            pick = bound > -np.inf
+        parts = [found]
+        for leaf, at in zip(leaves[pick.any(0)].tolist(), np.flatnonzero(pick.any(0))):
+            rows = slice(tree.start[leaf], tree.end[leaf])
+            who = np.flatnonzero(pick[:, at])
+            ids, score = tree.ids[rows], exact_products(tree.points[rows], queries[who], tree.most)
+            fits = ((tree.labels[rows][:, None] == labels[None, who]) == same) & (ids[:, None] != own[None, who])
+            for nth in range(most):
+                has = np.flatnonzero(begins[who] + nth < begins[who + 1])
+                w = order[begins[who[has]] + nth]
+                here = score[:, has]
+                r, c = np.nonzero(fits[:, has] & (here >= floors[None, w]) & (here <= highs[None, w]))
+                parts.append((w[c], here[r, c], ids[r]))
+            shut[who, leaf] = True
+        found = _merged(*(np.concatenate(x) for x in zip(*parts)), k)
+        # the k-th score of a full window is the least that still counts
+        full = np.flatnonzero(np.bincount(found[0], minlength=len(owner)) == k)
+        last = np.searchsorted(found[0], full, side="right") - 1
+        floors[full] = np.maximum(floors[full], found[1][last])
+        step *= 2
 
 
 def _top_level(rows: DataFrame, width: int, size: float) -> np.ndarray:
@@ -235,15 +260,17 @@ def _search(trees: DataFrame, asked: DataFrame, same: bool, k: int) -> DataFrame
     per anchor and tree to visit.
     """
     def run(key: tuple, asked: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
+        out = {"anchor": [], "slot": [], "id": [], "score": []}
         if len(tree) and len(asked):
             built: CoverTree = pickle.loads(tree["tree"].iloc[0])
-            queries = matrix(asked["v"], built.points.shape[1])
-            for k_th, (anchor, label, slots, lows, highs) in enumerate(
-                    zip(asked["anchor"], asked["label"], asked["slots"], asked["lows"], asked["highs"])):
-                found = descend(built, queries[k_th], anchor, label, same, list(zip(lows.tolist(), highs.tolist())), k)
-                out += [(anchor, slot, i, s) for slot, best in zip(slots, found) for s, i in best]
-        return pd.DataFrame(out, columns=["anchor", "slot", "id", "score"])
+            n = np.array([len(s) for s in asked["slots"]])
+            anchor = asked["anchor"].to_numpy()
+            owner = np.repeat(np.arange(len(asked)), n)
+            window, score, ids = descend(
+                built, matrix(asked["v"], built.points.shape[1]), anchor, asked["label"].to_numpy(), same, owner,
+                np.concatenate(asked["lows"].to_list()), np.concatenate(asked["highs"].to_list()), k)
+            out = {"anchor": anchor[owner[window]], "slot": np.concatenate(asked["slots"].to_list())[window], "id": ids, "score": score}
+        return pd.DataFrame(out)
 
     return asked.groupBy("cell", "part", "grp").cogroup(trees.groupBy("cell", "part", "grp")).applyInPandas(run, _FOUND)
 
@@ -269,7 +296,8 @@ def mine(rows: DataFrame, anchors: DataFrame, positives: int = 5, negatives: int
     positive score leaves no such range).  Fewer rows give fewer results;
     anchors without positives or positives without negatives give none.
     Shorter vectors count as padded with zeros, equal vectors all stay.  Empty
-    inputs give an empty result.  Scores that may not fit a BIGINT raise.
+    inputs give an empty result.  Vectors of a squared length from 2^62 on raise
+    ValueError, as their scores may not fit a BIGINT.
     """
     spark = rows.sparkSession
     rows = cut(rows, "cover-rows")
@@ -278,6 +306,8 @@ def mine(rows: DataFrame, anchors: DataFrame, positives: int = 5, negatives: int
     if shape["d"] is None:
         return spark.createDataFrame([], "anchor_id long, positive_id long, rank int, negative_id long, "
                                          "positive_score long, negative_score long")
+    if shape["m"] >= LIMIT:
+        raise ValueError("inner products of these components may not fit 64 bits")
     width, size = max(1, shape["d"]), float(np.sqrt(shape["m"])) * (1 + 1e-12)
     centres = _top_level(rows, width, size)
     celled = _celled(rows, centres, width, size)
@@ -320,7 +350,7 @@ def mine(rows: DataFrame, anchors: DataFrame, positives: int = 5, negatives: int
         return to.select("*", F.explode(F.sequence(F.lit(0), (n_parts - 1).cast("int"))).alias("part"),
                          F.pmod(F.xxhash64("anchor"), F.lit(n_groups)).cast("int").alias("grp"))
 
-    least, most = -(1 << 62), 1 << 62
+    least, most = -LIMIT, LIMIT
 
     def whole(low):
         return (F.array(F.lit(0)).alias("slots"), F.array(low.cast("long")).alias("lows"),
