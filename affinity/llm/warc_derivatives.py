@@ -13,6 +13,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -21,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DATE = "2024-01-01T00:00:00Z"
-_DROP = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)")
+# A tag's name ends at a blank, "/" or ">"; quoted attribute values may hold ">".
+_END, _REST = r"(?=[\s/>]|\Z)", r"""(?:[^<>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>"""
+_DROP = re.compile(rf"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template){_END}.*?(?:</\1{_END}[^>]*+>|\Z)")
 _BLOCK = re.compile(r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|"
-                    r"header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^<>]*>")
-_TAG = re.compile(r"<[!/?a-zA-Z][^<>]*>")
+                    rf"header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul){_END}(?:{_REST}|[^<>]*>)")
+_TAG = re.compile(rf"<[!/?a-zA-Z](?:{_REST}|[^<>]*>)")
 _SPACE = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r"\s*\n\s*")
 
@@ -82,8 +85,81 @@ def plain_text(markup: str) -> str:
     return _LINES.sub("\n", _SPACE.sub(" ", text)).strip()
 
 
+def _unchunked(body: bytes) -> bytes | None:
+    """The content of a chunked body; None if it is not one (it was undone before, say)."""
+    out, at = [], 0
+    while True:
+        line = body.find(b"\r\n", at)
+        size = body[at:line].split(b";")[0].strip() if line >= 0 else b""
+        if not re.fullmatch(rb"[0-9a-fA-F]{1,15}", size):
+            return None
+        n, at = int(size, 16), line + 2
+        if n == 0:
+            return b"".join(out)
+        out.append(body[at:at + n])
+        if body[at + n:at + n + 2] != b"\r\n":
+            return None
+        at += n + 2
+
+
+def _inflated(body: bytes, bits: int) -> bytes:
+    """All members of a compressed body (what can be read of a cut one)."""
+    out = []
+    while body:
+        stream = zlib.decompressobj(bits)
+        out.append(stream.decompress(body))
+        out.append(stream.flush())
+        body = stream.unused_data.lstrip(b"\0")
+        if bits != 31:
+            break
+    return b"".join(out)
+
+
+def decoded_body(body: bytes, http: list[tuple[str, str]]) -> tuple[bytes, list[str], list[str]]:
+    """(content, encodings undone, encodings left) of an HTTP body.
+
+    Transfer codings are undone first, then content codings, the last one
+    first.  gzip, deflate (zlib or raw), chunked and identity are known; the
+    first other one, or one that the body does not have, ends it.
+    """
+    codings = []
+    for name in ("content-encoding", "transfer-encoding"):
+        codings += [c.strip().lower() for k, v in http if k.lower() == name for c in v.split(",") if c.strip()]
+    undone: list[str] = []
+    while codings:
+        kind = codings[-1].removeprefix("x-")
+        try:
+            if kind == "chunked":
+                content = _unchunked(body)
+            elif kind == "gzip":
+                content = _inflated(body, 31)
+            elif kind == "deflate":
+                try:
+                    content = _inflated(body, 15)
+                except zlib.error:
+                    content = _inflated(body, -15)
+            else:
+                content = body if kind == "identity" else None
+        except zlib.error:
+            content = None
+        if content is None and kind == "chunked":
+            codings.pop()  # stored without it, as archives often do
+            continue
+        if content is None:
+            break
+        body = content
+        undone.append(codings.pop())
+    return body, undone, codings
+
+
 def derive(source: Record) -> list[Record]:
-    """The metadata and the conversion record of a response."""
+    """The metadata and the conversion record of a response.
+
+    The metadata block has the HTTP status and headers, every WARC header of
+    the source (``warc-header-...``), digests, and the encodings that were
+    undone before the conversion or could not be (``content-left-encoded``; the
+    conversion then is empty, as the bytes are no text).
+    """
     head, _, payload = source.block.partition(b"\r\n\r\n")
     status, *lines = head.decode("utf-8", "replace").split("\r\n")
     origin = source.get("WARC-Record-ID") or record_id("source", digest(source.block))
@@ -92,14 +168,17 @@ def derive(source: Record) -> list[Record]:
     block_digest = source.get("WARC-Block-Digest") or digest(source.block)
     http = [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines if ":" in x)]
     kind = next((v for k, v in http if k.lower() == "content-type"), "")
-    charset = re.search(r"charset=([\w.:-]+)", kind, re.I)
+    content, undone, left = decoded_body(payload, http)
+    charset = re.search(r"charset=[\"']?([\w.:-]+)", kind, re.I)
     try:
-        markup = payload.decode(charset[1] if charset else "utf-8", "replace")
+        markup = content.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
-        markup = payload.decode("utf-8", "replace")
-    text = plain_text(markup).encode("utf-8", "replace")
+        markup = content.decode("utf-8", "replace")
+    text = b"" if left else plain_text(markup).encode("utf-8", "replace")
+    coding = [(name, ", ".join(c)) for name, c in (("content-decoded", undone), ("content-left-encoded", left)) if c]
     ids = {t: record_id(t, origin) for t in ("metadata", "conversion")}
     fields = [("http-status", status), *((f"http-header-{k.lower()}", v) for k, v in http),
+              *((f"warc-header-{k.lower()}", v) for k, v in source.headers), *coding,
               ("source-payload-digest", payload_digest), ("source-block-digest", block_digest),
               ("source-length", str(len(payload))), ("conversion-record-id", ids["conversion"]),
               ("conversion-block-digest", digest(text)), ("conversion-length", str(len(text)))]

@@ -47,10 +47,62 @@ def test_text_matches_a_full_parser():
         assert got == brute_text(page)
 
 
+def test_custom_elements_and_quoted_attributes():
+    assert wd.plain_text("<p>a</p><template-card><p>keep me</p></template-card><p>tail text</p>") == "a\nkeep me\ntail text"
+    assert wd.plain_text("<style-guide>x</style-guide><script-x>y</script-x>") == "xy"
+    assert wd.plain_text("a<p-card>b</p-card>c") == "abc"
+    assert wd.plain_text('<a title="x > y">t</a> <a title=\'<b>\'>u</a>') == "t u"
+    assert wd.plain_text("<a title=\"x>t") == "t"
+    assert wd.plain_text("<p class=a\"b>t</p>1 < 2 > 0") == "t\n1 < 2 > 0"
+    assert wd.plain_text("<script>x</script >y<template\nid=a>z</template\n>w<script/src=a>q</script>v") == "y w v"
+
+
+def test_every_page_of_the_table_matches_a_full_parser(spark):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    assert len(pages) > 100
+    for page in pages:
+        got = [x.strip() for x in wd.plain_text(page or "").split("\n") if x.strip()]
+        assert got == brute_text(page or "")
+
+
+def _response(body, *headers):
+    block = b"\r\n".join([b"HTTP/1.1 200 OK", b"Content-Type: text/html; charset=utf-8", *headers]) + b"\r\n\r\n" + body
+    return wd.Record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:1>"), ("WARC-Target-URI", "http://h/"),
+                      ("WARC-IP-Address", "192.0.2.1"), ("WARC-Truncated", "length"), ("Content-Length", str(len(block)))], block)
+
+
+def test_transfer_and_content_encodings_are_undone():
+    import gzip
+    import zlib
+    page = "<p>caf\u00e9</p><p>two</p>".encode()
+    raw = zlib.compressobj(9, zlib.DEFLATED, -15)
+    raw = raw.compress(page) + raw.flush()
+
+    def chunked(data):
+        parts = [data[k:k + 7] for k in range(0, len(data), 7)]
+        return b"".join(b"%x;x=1\r\n%s\r\n" % (len(c), c) for c in parts) + b"0\r\nTrailer: x\r\n\r\n"
+
+    cases = [(page,), (gzip.compress(page), b"Content-Encoding: gzip"), (zlib.compress(page), b"content-encoding: deflate"),
+             (raw, b"Content-Encoding: deflate"), (chunked(page), b"Transfer-Encoding: chunked"),
+             (chunked(gzip.compress(page)), b"Transfer-Encoding: chunked", b"Content-Encoding: x-gzip"),
+             (gzip.compress(zlib.compress(page)), b"Content-Encoding: deflate, gzip"),
+             (gzip.compress(page[:9]) + gzip.compress(page[9:]), b"Content-Encoding: gzip"),
+             (page, b"Transfer-Encoding: chunked"), (page, b"Content-Encoding: identity")]
+    for body, *headers in cases:
+        source = wd.parse_record(_response(body, *headers).render())
+        metadata, conversion = wd.derive(source)
+        assert conversion.block.decode() == "caf\u00e9\ntwo", headers
+        fields = dict(x.split(": ", 1) for x in metadata.block.decode().split("\r\n") if x)
+        assert fields["warc-header-warc-ip-address"] == "192.0.2.1" and fields["warc-header-warc-truncated"] == "length"
+    for body, header in ((b"\x0b\x02", b"Content-Encoding: br"), (b"no gzip", b"Content-Encoding: gzip")):
+        metadata, conversion = wd.derive(_response(body, header))
+        assert conversion.block == b"" and b"content-left-encoded: " in metadata.block
+
+
 def test_unclosed_and_long_markup_is_linear():
     import time
     began = time.time()
-    for page in ("<!--" * 100_000, "<script>" * 50_000, "<a " * 200_000, "<p" * 200_000, "x" * 3_000_000, "&amp;" * 200_000):
+    for page in ("<!--" * 100_000, "<script>" * 50_000, "<a " * 200_000, "<p" * 200_000, "<a b=\"" * 100_000, "<a =" * 100_000, "<a " + "b=" * 200_000, "x" * 3_000_000, "&amp;" * 200_000):
         wd.plain_text(page)
     assert time.time() - began < 20
 
