@@ -9,12 +9,14 @@ no vocabulary is broadcast; hosts are scored once each, not once per page.
 
 from __future__ import annotations
 
+import html
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,11 +27,13 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
          ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 # A DNS label has at most 63 characters; longer names are not split.
 NAME_LENGTH = 63
-WORD_LENGTH = 24
 # Log odds are summed as integers, so that no order of summing changes a verdict.
 UNIT = 1e9
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_TAG, _WORD = re.compile(rb"<[^<>]*>"), re.compile(rb"[a-z]+")
+# Letters of every script, with the marks that belong to them; in hosts and paths digit runs as well.
+LETTERS = r"\p{L}[\p{L}\p{M}]*"
+_RUNS = f"({LETTERS}|\\p{{Nd}}+)"
+_TAG, _WORD = re.compile(r"<[^<>]*>"), regex.compile(LETTERS)
 
 
 def host_of(url: Column) -> Column:
@@ -47,17 +51,24 @@ def rule_column(host: Column, path: Column, rules: Sequence[tuple[str, str, str]
     return F.coalesce(*cases, F.lit(None).cast("string"))
 
 
+def _readable(text: Column) -> Column:
+    """Lower-case text with its percent escapes undone, where they are all whole."""
+    plain = F.translate(text, "+", " ")
+    return F.lower(F.coalesce(F.when(text.contains("%"), F.try_url_decode(plain)), plain))
+
+
 def word_counts(pages: DataFrame) -> DataFrame:
-    """(word, n): lower-case a-z words outside tags, over all pages."""
+    """(word, n): lower-case words of every script outside tags, over all pages; none longer than a name."""
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: Counter = Counter()
-            for html in batch.column(0):
-                counts.update(_WORD.findall(_TAG.sub(b" ", (html.as_py() or "").encode("utf-8", "surrogatepass").lower())))
-            words = [w for w in counts if len(w) <= WORD_LENGTH]
-            yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in words], pa.string()),
+            for page in batch.column(0):
+                text = _TAG.sub(" ", page.as_py() or "")
+                counts.update(_WORD.findall((html.unescape(text) if "&" in text else text).lower()))
+            words = [w for w in counts if len(w) <= NAME_LENGTH]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()),
                                               pa.array([counts[w] for w in words], pa.int64())], schema=schema)
     return (pages.select(F.col("html").cast("string")).mapInArrow(run, "word string, n long")
             .groupBy("word").agg(F.sum("n").alias("n")))
@@ -70,7 +81,7 @@ def segment(name: str, counts: dict[str, int], total: int) -> list[str]:
     best: list[tuple[float, int]] = [(0.0, 0)]
     for end in range(1, len(name) + 1):
         options = []
-        for start in range(max(0, end - WORD_LENGTH), end):
+        for start in range(end):
             n = counts.get(name[start:end], 0)
             cost = math.log(total / n) if n else math.log(total + 1) + (end - start) * math.log(10)
             options.append((best[start][0] + cost, start))
@@ -89,9 +100,9 @@ def segments(names: DataFrame, counts: DataFrame) -> DataFrame:
     n = F.length("name")
     starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
     subs = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(WORD_LENGTH), n - i + 1)), lambda k: F.substring("name", i, k)))))
+        F.sequence(F.lit(1), n - i + 1), lambda k: F.substring("name", i, k)))))
     parts = (names.where(n <= NAME_LENGTH).select("name", F.explode(subs).alias("word")).join(counts, "word"))
-    # at most NAME_LENGTH * WORD_LENGTH entries a name
+    # at most NAME_LENGTH ** 2 / 2 entries a name
     known = parts.groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("known"))
     schema = pa.schema([("name", pa.string()), ("words", pa.list_(pa.string()))])
 
@@ -105,8 +116,8 @@ def segments(names: DataFrame, counts: DataFrame) -> DataFrame:
 
 def _tokens(text: Column, prefix: str) -> Column:
     """Letter runs and, by their length, digit runs."""
-    return F.transform(F.regexp_extract_all(text, F.lit("([a-z]+|[0-9]+)"), F.lit(1)), lambda t: F.concat(
-        F.lit(prefix), F.when(t.rlike("^[0-9]"), F.concat(F.lit("#"), F.length(t))).otherwise(t)))
+    return F.transform(F.regexp_extract_all(_readable(text), F.lit(_RUNS), F.lit(1)), lambda t: F.concat(
+        F.lit(prefix), F.when(t.rlike("^\\p{Nd}"), F.concat(F.lit("#"), F.length(t))).otherwise(t)))
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
@@ -114,7 +125,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     """One row per page: ``page_id, host, path, rule, verdict, host_words, block_log_odds``.
 
     ``rule`` is null where no rule fits; there ``verdict`` is the classifier's
-    and ``block_log_odds`` its score (block above 0).  A null url, or one
+    and ``block_log_odds`` its score (block above 0).  The classifier reads
+    letters of every script, with percent escapes undone (of a text with a
+    broken escape none are); names beyond 63 letters stay whole.  A null url, or one
     without ``://``, has an empty host and path; without any token the class
     prior alone decides, and without a page that a rule decides all others are
     allowed.  Ties are allowed.  Null, tied or repeated ids keep their rows;
@@ -129,16 +142,16 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
                            F.monotonically_increasing_id().alias("key")), "url-rows")
     marks = [(F.coalesce(F.col("decided") == v, F.lit(False))).cast("long").alias(c) for v, c in (("allow", "a"), ("block", "b"))]
     hosts = cut(rows.select("host", *marks).groupBy("host").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "url-hosts")
-    runs = F.regexp_extract_all("host", F.lit("([a-z]+|[0-9]+)"), F.lit(1))
+    runs = F.regexp_extract_all(_readable(F.col("host")), F.lit(_RUNS), F.lit(1))
     named = hosts.select("host", F.posexplode(runs).alias("at", "name"))
-    split = cut(segments(named.where("name RLIKE '^[a-z]'").select("name").distinct(), word_counts(pages)), "url-segments")
+    split = cut(segments(named.where(F.col("name").rlike(r"^\p{L}")).select("name").distinct(), word_counts(pages)), "url-segments")
     pieces = named.join(split, "name", "left").select(
         "host", "at", F.coalesce("words", F.array(F.concat(F.lit("#"), F.length("name")))).alias("words"))
     host_words = cut(pieces.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("at", "words"))).alias("w"))
                      .select("host", F.flatten(F.transform("w", lambda s: s["words"])).alias("host_words")), "url-host-words")
     host_tokens = host_words.select("host", F.explode("host_words").alias("t")).select(
         "host", F.concat(F.lit("h:"), "t").alias("token"))
-    path_tokens = rows.select("key", "decided", F.explode(_tokens(F.lower("path"), "p:")).alias("token"))
+    path_tokens = rows.select("key", "decided", F.explode(_tokens(F.col("path"), "p:")).alias("token"))
     counts = (host_tokens.join(hosts.where("a + b > 0"), "host").select("token", "a", "b")
               .union(path_tokens.where("decided IS NOT NULL").select("token", *marks))
               .groupBy("token").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))

@@ -39,7 +39,7 @@ def brute_segment(name, counts, total):
 URLS = ["http://news.example.com/fr/1", "https://A.Example.COM/de/2?x=/fr/", "https://example.org/es/", "https://x.example.org/en/12",
         "http://goodnews.example.net/sport/7", "http://badcasino.example.net/win/9#a", "http://example.org", "http://org/x", "notaurl",
         None, "", "x://", "://h/p", "http://a.com/de/://b.org/", "http://cheap.org?u=http://x.com/fr/", "ftp://Ünï.example.com/fr/é",
-        "http://casino.example.com/de/win", "http://news.example.com/fr/sport", "http://comp.orgs/fr/", "http://xcom/fr/", "http://a/b\nc?d"]
+        "http://casino.example.com/de/win", "http://x.net/de%20luxe/caf%C3%A9", "http://x.net/Caf\u00e9/\u0967\u0968", "http://news.example.com/fr/sport", "http://comp.orgs/fr/", "http://xcom/fr/", "http://a/b\nc?d"]
 
 
 def table(spark, urls, html="<p>good news and bad casino win sport example com net</p>"):
@@ -67,9 +67,10 @@ def test_scores_equal_a_naive_bayes_by_hand(spark):
     got = {r["page_id"]: r for r in uf.judge(table(spark, URLS)).collect()}
 
     def tokens(r):
-        import re
+        import regex
+        from urllib.parse import unquote_plus
         out = [f"h:{w}" for w in r["host_words"]]
-        for t in re.findall("[a-z]+|[0-9]+", r["path"].lower()):
+        for t in regex.findall(r"\p{L}[\p{L}\p{M}]*|\p{Nd}+", unquote_plus(r["path"]).lower()):
             out.append("p:" + (f"#{len(t)}" if t[0].isdigit() else t))
         return out
     ruled = [r for r in got.values() if r["rule"]]
@@ -96,6 +97,19 @@ def test_viterbi_is_the_cheapest_split():
     assert uf.segment("z" * 5000, counts, 118) == ["z" * 5000]
 
 
+def test_words_of_any_length_and_script(spark):
+    long = "pneumonoultramicroscopicsilicovolcanoconiosis"
+    text = f"<p>{long} m\u00fcnchen stadt &uuml;ber m\u00fcnchen stadt \u0928\u092e\u0938\u094d\u0924\u0947 news</p>"
+    urls = [f"http://news{long}.net/", "http://m\u00fcnchenstadt.net/", "http://m%C3%BCnchenstadt.net/", "http://\u00dcberstadt.net/",
+            "http://\u0928\u092e\u0938\u094d\u0924\u0947news.net/", "http://100%stadtnews.net/"]
+    got = {r["page_id"]: r["host_words"] for r in uf.judge(table(spark, urls, text)).collect()}
+    assert got[0][:2] == ["news", long]
+    assert got[1] == got[2] == ["m\u00fcnchen", "stadt", "net"]
+    assert got[3][:2] == ["\u00fcber", "stadt"]
+    assert got[4][:2] == ["\u0928\u092e\u0938\u094d\u0924\u0947", "news"]
+    assert got[5] == ["#3", "stadt", "news", "net"]
+
+
 def test_untrained_empty_and_long(spark):
     got = uf.judge(table(spark, ["http://a.example.net/x", None, "http://" + "q" * 100_000 + ".net/" + "p" * 100_000])).collect()
     assert {r["verdict"] for r in got} == {"allow"}
