@@ -35,6 +35,7 @@ def integer_vectors(vectors: DataFrame, scale: float = 64.0, id_col: str = "vec_
 
     Null vectors, vectors with null or non-finite components and rows without
     an id take no part; rows that repeat an id count once (the smallest vector).
+    Components beyond a BIGINT become its ends, which ``top_k`` rejects.
     """
     x = F.col("x")
     good = F.col("x").isNotNull() & F.col("id").isNotNull() & F.forall(
@@ -108,16 +109,20 @@ def _partial_scores(cands: pd.DataFrame, asked: pd.DataFrame) -> Iterator[tuple]
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, blocks: int = BLOCKS) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best candidates of every query.
 
-    ``vectors`` and ``queries`` have (id, v) with integer vectors whose products
-    fit a BIGINT; ids are distinct and not null (see ``integer_vectors``).  A
+    ``vectors`` and ``queries`` have (id, v) with integer vectors; if the largest
+    component of each, times the length, reaches 2^63, scores may not fit a
+    BIGINT and ValueError is raised.  Ids are distinct and not null (see ``integer_vectors``).  A
     query's own id is no candidate; ties go to the smaller id; fewer than k
     candidates give as many rows.  Shorter vectors count as padded with zeros.
     Empty inputs give an empty result.
     """
     vectors, queries = cut(vectors, "topk-vectors"), cut(queries, "topk-queries")
-    shape = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
-    asked = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+    most = F.max(F.array_max(F.transform("v", lambda c: F.abs(c.cast("double"))))).alias("m")
+    shape, asked = (rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d"), most).first()
+                    for rows in (vectors, queries))
     width = max(1, shape["d"] or 0, asked["d"] or 0)
+    if (shape["m"] or 0) * (asked["m"] or 0) * width >= 2 ** 63:
+        raise ValueError("inner products of these components may not fit 64 bits")
     n_shards, n_groups = max(MIN_SHARDS, -(-shape["n"] // SHARD_ROWS)), max(1, -(-asked["n"] // GROUP_ROWS))
     bounds = [width * b // blocks for b in range(blocks + 1)]
     shard, grp = (F.pmod(F.xxhash64("id"), F.lit(n)).cast("int") for n in (n_shards, n_groups))

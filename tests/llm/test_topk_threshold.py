@@ -55,3 +55,10 @@ def test_fewer_than_k_and_empty(spark):
 def test_large_components_stay_exact():
     a = np.array([[2 ** 30 + 1, 3], [5, -2 ** 30 - 7]], np.int64)
     assert tk.products(a, a).tolist() == [[sum(int(x) * int(y) for x, y in zip(r, c)) for c in a] for r in a]
+
+
+def test_scores_beyond_64_bits_raise(spark):
+    for rows in ([(0, [1e300, 1.0]), (20, [1e300, 2.0])], [(0, [5e7] * 20), (20, [5e7] * 20)]):
+        with pytest.raises(ValueError, match="64 bits"):
+            run(spark, rows)
+    assert run(spark, [(0, [2.0 ** 24]), (20, [2.0 ** 24])]) == brute([(0, [2.0 ** 24]), (20, [2.0 ** 24])], 20)
