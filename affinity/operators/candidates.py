@@ -23,6 +23,12 @@ and both integer and DOUBLE counts:
   suffix mass can still reach theta, and expands only signatures at or above
   the floor to their items.
 
+* Blocks.  A tag's signatures are cut into blocks by the most common other
+  tag that they hold, and those by the second.  A block knows the union of its
+  signatures' tags and their largest multiplicity, hence the most that any of
+  them can score for a key: whole blocks below theta are skipped, level by
+  level, and only what is left is scored.
+
 Ranks (ties included) are exactly those of ranking every candidate: every pair
 that beats a pair of rank <= lim scores at least theta as well.
 """
@@ -35,15 +41,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, DoubleType, FloatType
 
-from ..functions.joins import Size, fits, join_small, measure
-from ..session import cut_lineage
+from ..functions.joins import Size, fits, join_small, write_measured
 from ..sources.inputs import ItemTags
 from .tags import mask_words, tag_mask
 
 # Doubles: how much a suffix sum in another order may fall short of the score.
 ROUNDING = 1e-9
-# Parts that a key's long candidate list is ranked in before the final rank.
-RANK_PARTS = 32
+# Items of one tag and popularity that one task numbers, on average.
+TIE_ROWS = 65_536
+# Levels of blocks: how many common tags a block's signatures share (at most ``tags.PATH - 1``).
+LEVELS = (1, 2)
+# Path entry of a signature that holds no further tag.
+NO_TAG = -1
 
 
 def bucket(rank: Column) -> Column:
@@ -59,36 +68,73 @@ def buckets_to(depth: Column) -> Column:
 class Postings(NamedTuple):
     """The items clicked in a window, by tag, by signature and by item.
 
-    All three are views of one written table; ``size`` bounds each of them.
+    All are views of one written table; ``size`` bounds each of them.
     """
 
-    by_tag: DataFrame       # tag_idx, bucket, prank, video_id, bag, mask
-    signatures: DataFrame   # tag_idx, sig, bag, mask
-    items: DataFrame        # sig, video_id, pop
+    by_tag: DataFrame         # tag_idx, bucket, prank, video_id, bag, mask
+    blocks: list[DataFrame]   # per level: tag_idx, b1 .., _union, _most
+    signatures: DataFrame     # tag_idx, b1 .., sig, bag, mask
+    items: DataFrame          # sig, video_id, pop
     size: Size
     multiplicity: int
     n_tags: int
 
 
 def item_postings(items: ItemTags, pop: DataFrame) -> Postings:
-    """Postings of the items in ``pop`` (video_id, pop); the join restricts to clicked items.
-
-    ``prank`` numbers a tag's items by popularity (``row_number``: ties cannot
-    make a prefix longer than its depth).
-    """
-    side = cut_lineage(join_small(pop.select("video_id", "pop"), items.bags, "video_id", size=items.bag_size),
-                       "item-side")
-    # a posting row per tag of the item, each with the item's bag and mask
-    size = measure(side, copies=F.size("tags"))
+    """Postings of the items in ``pop`` (video_id, pop); the join restricts to clicked items."""
+    # measured as a posting row per tag of the item, each with the item's bag and mask
+    written = write_measured(join_small(pop.select("video_id", "pop"), items.bags, "video_id", size=items.bag_size),
+                             "item-side", copies=F.size("tags"))
+    side = written.table
     posting = side.select("video_id", "pop", "bag", "mask", F.explode("tags").alias("tag_idx"))
-    order = Window.partitionBy("tag_idx").orderBy(F.col("pop").desc(), F.col("video_id"))
-    by_tag = posting.withColumn("prank", F.row_number().over(order)).select(
-        "tag_idx", bucket(F.col("prank")).alias("bucket"), "prank", "video_id", "bag", "mask")
-    distinct = side.groupBy("sig").agg(F.any_value("tags").alias("tags"), F.any_value("bag").alias("bag"),
-                                       F.any_value("mask").alias("mask"))
-    signatures = distinct.select("sig", "bag", "mask", F.explode("tags").alias("tag_idx"))
-    return Postings(by_tag, signatures, side.select("sig", "video_id", "pop"), size,
-                    items.multiplicity, items.n_tags)
+    by_tag = popularity_ranks(posting).select("tag_idx", bucket(F.col("prank")).alias("bucket"), "prank",
+                                              "video_id", "bag", "mask")
+    distinct = side.groupBy("sig").agg(*[F.any_value(c).alias(c) for c in ("tags", "bag", "mask", "path")])
+    signatures = _along_paths(distinct.select("sig", "bag", "mask", "path", F.explode("tags").alias("tag_idx")))
+    blocks = [_blocks(signatures, level, items.n_tags) for level in LEVELS]
+    return Postings(by_tag, blocks, signatures.select("tag_idx", *_steps(LEVELS[-1]), "sig", "bag", "mask"),
+                    side.select("sig", "video_id", "pop"), written.size, items.multiplicity, items.n_tags)
+
+
+def popularity_ranks(posting: DataFrame) -> DataFrame:
+    """``posting`` with ``prank``, the place of an item among its tag's items by popularity.
+
+    Numbers never come from one sort of a whole tag.  Items of one (tag, pop)
+    start after all more popular ones, which running sums over a tag's distinct
+    popularities tell (with E events there are at most sqrt(2 E) of them).
+    Within, items are numbered in hashed order by ``_parts`` of about
+    ``TIE_ROWS`` rows side by side: place ``k`` of part ``p`` comes
+    ``(k - 1) * parts + p``-th.  With one part the numbers are 1, 2, 3, ...; with
+    more they may leave or share a few places, which is all the same to a
+    probe that only wants about the first so many.
+    """
+    better = Window.partitionBy("tag_idx").orderBy(F.col("pop").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    groups = (posting.groupBy("tag_idx", "pop").agg(F.count(F.lit(1)).alias("_n"))
+              .withColumn("_before", F.coalesce(F.sum("_n").over(better), F.lit(0)))
+              .withColumn("_parts", F.ceil(F.col("_n") / TIE_ROWS)).drop("_n"))
+    part = F.pmod(F.xxhash64("video_id"), F.col("_parts"))
+    order = F.xxhash64(F.lit(1), F.col("video_id"))
+    place = F.row_number().over(Window.partitionBy("tag_idx", "pop", "_part").orderBy(order, "video_id"))
+    return (posting.join(groups, ["tag_idx", "pop"]).withColumn("_part", part)
+            .withColumn("prank", F.col("_before") + (place - 1) * F.col("_parts") + F.col("_part") + 1)
+            .drop("_before", "_parts", "_part"))
+
+
+def _steps(level: int) -> list[str]:
+    return [f"b{i + 1}" for i in range(level)]
+
+
+def _along_paths(signatures: DataFrame) -> DataFrame:
+    """Signature postings with b1, b2, ...: the most common tags of the signature next to the posting's own."""
+    others = F.filter("path", lambda t: t != F.col("tag_idx"))
+    return signatures.select("tag_idx", "sig", "bag", "mask", *[
+        F.coalesce(F.get(others, i), F.lit(NO_TAG)).alias(b) for i, b in enumerate(_steps(LEVELS[-1]))])
+
+
+def _blocks(signatures: DataFrame, level: int, n_tags: int) -> DataFrame:
+    """(tag_idx, b1 .., _union, _most): the tags in a block as bits and the largest multiplicity in it."""
+    union = F.array(*[F.bit_or(F.get("mask", w)) for w in range(mask_words(n_tags))])
+    return signatures.groupBy("tag_idx", *_steps(level)).agg(union.alias("_union"), F.max(F.array_max("bag")).alias("_most"))
 
 
 def is_integral(selected: DataFrame) -> bool:
@@ -130,6 +176,18 @@ def _scored(pairs: DataFrame, k: int, n_tags: int, integral: bool) -> DataFrame:
     return pairs.filter(met == 0).withColumn("score", score)
 
 
+def _at_most(k: int, integral: bool) -> Column:
+    """The most that a signature of a block can score from the key's start tag on."""
+    zero = F.lit(0).cast("bigint") if integral else F.lit(0.0)
+    mass = zero
+    for j in range(int(k)):
+        tag = F.col(f"_t{j}")
+        bit = F.getbit(F.get("_union", F.shiftright(tag, 6)), tag.bitwiseAND(F.lit(63)))
+        mass = mass + F.coalesce(F.when((F.col("_i") <= j) & (bit == 1), F.col(f"_n{j}")), zero)
+    mass = mass * F.col("_most")
+    return mass if integral else mass * F.lit(1 + ROUNDING)
+
+
 def _meet(keys: DataFrame, key_size: Size | None, side: DataFrame, side_size: Size, on: list[str]) -> DataFrame:
     """Keys joined to postings: the smaller measured side is broadcast if it may be.
 
@@ -150,8 +208,8 @@ def top_candidates(selected: DataFrame, k: int, n: int, postings: Postings, key:
     ``limits`` (key, lim) -- list length per key (keys without one are skipped);
     otherwise ``prior`` (key, n_prior) gives ``lim = n - n_prior`` (keys with
     ``lim <= 0`` are skipped), and without either ``lim = n``;
-    ``seen_pairs`` (up_id, video_id), ``seen_counts`` (up_id, w) -- user lists
-    only; label lists pass neither.
+    ``seen_pairs`` (up_id, video_id), ``seen_counts`` (up_id, w) -- items that a
+    user's list leaves out; label lists pass neither.
     """
     integral = is_integral(selected)
     info = key_tags(selected, key).filter(F.col(key).isNotNull())
@@ -168,9 +226,9 @@ def top_candidates(selected: DataFrame, k: int, n: int, postings: Postings, key:
                 .withColumn("w", F.coalesce("w", F.lit(0)).cast("bigint")))
     else:
         info = info.withColumn("w", F.lit(0).cast("bigint"))
-    info = cut_lineage(info, "key-tags")
-    per_label = seen_pairs is None
-    key_size = measure(info) if per_label else None
+    per_label = key != "up_id"
+    written = write_measured(info, "key-tags")
+    info, key_size = written.table, written.size if per_label else None
     if not per_label:
         # candidates then stay where their user is; the number is given, as AQE would
         # merge these few bytes into one partition and with it all that they generate
@@ -178,7 +236,7 @@ def top_candidates(selected: DataFrame, k: int, n: int, postings: Postings, key:
     starts = _starts(info, key, k, postings.n_tags)
 
     def unseen(df: DataFrame) -> DataFrame:
-        return df if per_label else df.join(seen_pairs, ["up_id", "video_id"], "left_anti")
+        return df if seen_pairs is None else df.join(seen_pairs, ["up_id", "video_id"], "left_anti")
 
     # pass 1: score floor from the most popular items of each selected tag
     depth = F.col("lim") + F.col("w")
@@ -196,22 +254,37 @@ def top_candidates(selected: DataFrame, k: int, n: int, postings: Postings, key:
     theta = F.coalesce("theta", F.lit(0).cast("bigint") if integral else F.lit(0.0))
     rows = (starts.join(floor, key, "left").withColumn("theta", theta)
             .filter(reach >= F.col("theta")))
-    by_sig = _scored(_meet(rows, key_size, postings.signatures, postings.size, ["tag_idx"]),
+    # whole blocks of signatures below theta go first
+    for level, blocks in zip(LEVELS, postings.blocks):
+        on = ["tag_idx", *_steps(level)]
+        met = (_meet(rows, key_size, blocks, postings.size, ["tag_idx"]) if level == LEVELS[0]
+               else join_small(rows, blocks, on[:1 + LEVELS[LEVELS.index(level) - 1]], size=postings.size))
+        rows = met.filter(_at_most(k, integral) >= F.col("theta")).drop("_union", "_most")
+    by_sig = _scored(join_small(rows, postings.signatures, ["tag_idx", *_steps(LEVELS[-1])], size=postings.size),
                      k, postings.n_tags, integral)
     by_sig = by_sig.filter(F.col("score") >= F.col("theta")).select(key, "sig", "score", "total", "lim")
     cand = join_small(by_sig, postings.items, "sig", size=postings.size)
     return unseen(cand.select(key, "video_id", "score", "total", "pop", "lim"))
 
 
-def ranked_in_parts(cand: DataFrame, key: str, order: list[Column], limit: str, rank: str) -> DataFrame:
-    """``rank()`` per key up to the column ``limit``, first within parts of the key's items.
+def ranked_by_counts(cand: DataFrame, key: str, limit: str, rank: str) -> DataFrame:
+    """``rank()`` per key by (prob_sum desc, pop desc) up to the column ``limit``, without sorting a key's rows.
 
-    A row of rank <= limit has at most that rank in its own part, so a key with
-    very many candidates never meets in one task before its parts are cut.
+    Rows are counted per (key, prob_sum); running sums over a key's distinct
+    scores find those that begin within the limit.  What is left is counted per
+    (key, prob_sum, pop); running sums over the distinct popularities of one
+    score give every rank, and the rows take theirs by a join.  A window holds
+    distinct values only, and of the last score no more than its own.  ``cand``
+    is read three times: a written table.
     """
-    part = F.pmod(F.xxhash64("video_id"), F.lit(RANK_PARTS)).cast("int")
-    local = (cand.withColumn("_part", part)
-             .withColumn("_r", F.rank().over(Window.partitionBy(key, "_part").orderBy(*order)))
-             .filter(F.col("_r") <= F.col(limit)).drop("_part", "_r"))
-    return (local.withColumn(rank, F.rank().over(Window.partitionBy(key).orderBy(*order)))
-            .filter(F.col(rank) <= F.col(limit)))
+    def before(*by: str) -> Column:
+        window = Window.partitionBy(key, *by[:-1]).orderBy(F.col(by[-1]).desc()).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_n").over(window), F.lit(0))
+
+    count = F.count(F.lit(1)).alias("_n")
+    scores = (cand.groupBy(key, "prob_sum").agg(count, F.max(limit).alias("_lim"))
+              .withColumn("_above", before("prob_sum")).filter(F.col("_above") < F.col("_lim")).drop("_n", "_lim"))
+    ranks = (cand.join(scores, [key, "prob_sum"]).groupBy(key, "prob_sum", "pop", "_above", limit).agg(count)
+             .withColumn(rank, F.col("_above") + before("prob_sum", "pop") + 1)
+             .filter(F.col(rank) <= F.col(limit)))
+    return cand.join(ranks.select(key, "prob_sum", "pop", rank), [key, "prob_sum", "pop"])

@@ -21,10 +21,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import as_date, days_before
-from ..functions.joins import join_small, measure
+from ..functions.joins import Measured, join_small, write_measured
 from ..session import cut_lineage
 from ..sources.inputs import ItemTags, label_column
-from .candidates import (bucket, buckets_to, is_integral, item_postings, ranked_in_parts,
+from .candidates import (bucket, buckets_to, is_integral, item_postings, ranked_by_counts,
                          top_candidates)
 from .distribution import (counted_pairs, label_distribution_of, pairs_in, user_distribution_of)
 from .popularity import pair_popularity
@@ -102,16 +102,25 @@ def rank_top_n(cand: DataFrame, n: int, key: str = "up_id", ties: str = "keep",
     return ranked
 
 
+def best_items(selected: DataFrame, pop: DataFrame, items: ItemTags, k: int, n: int,
+               seen: DataFrame | None = None, prior: DataFrame | None = None, ties: str = "keep") -> DataFrame:
+    """(up_id, video_id, prob_sum, pop, rank, lim): each user's ``n`` best scored items.
+
+    O13 (+O15 with ``seen``, +O16) in one: what ``score_items``,
+    ``exclude_seen`` and ``rank_top_n`` give, without their volume.
+    """
+    pairs, counts = (None, None) if seen is None else (seen_by_user(seen), seen_counts(seen))
+    cand = top_candidates(selected, k, n, item_postings(items, pop), "up_id", pairs, counts, prior)
+    prob_sum = (F.col("score") / F.col("total")) if is_integral(selected) else F.col("score")
+    return rank_top_n(cand.select("up_id", "video_id", prob_sum.alias("prob_sum"), "pop", "lim"),
+                      n, ties=ties, limit_col="lim")
+
+
 def user_recommendations(dist: DataFrame, pop: DataFrame, items: ItemTags, seen: DataFrame,
                          k: int, n: int, seed: int = 42, mode: str = "sample",
                          prior: DataFrame | None = None, ties: str = "keep") -> DataFrame:
     """(up_id, video_id, prob_sum, pop, rank, lim); see ``recommend_by_user``."""
-    selected = select_tags(dist, "up_id", k, seed, mode)
-    cand = top_candidates(selected, k, n, item_postings(items, pop), "up_id", seen_by_user(seen),
-                          seen_counts(seen), prior)
-    prob_sum = (F.col("score") / F.col("total")) if is_integral(selected) else F.col("score")
-    return rank_top_n(cand.select("up_id", "video_id", prob_sum.alias("prob_sum"), "pop", "lim"),
-                      n, ties=ties, limit_col="lim")
+    return best_items(select_tags(dist, "up_id", k, seed, mode), pop, items, k, n, seen, prior, ties)
 
 
 def recommend_by_user(dist: DataFrame, pop: DataFrame, items: ItemTags, seen: DataFrame,
@@ -136,14 +145,14 @@ def label_candidates(label: str, dist: DataFrame, pop: DataFrame, items: ItemTag
     """(label, video_id, prob_sum, pop, label_rank) per label up to ``limits`` (label, lim).
 
     O17 first half.  The few labels travel to the item side, which stays
-    spread; each label's list is ranked in parts first.
+    spread; ranks come from counts per score, not from a sort of a label's list.
     """
     col = label_column(label)
     selected = select_tags(dist, col, k, seed, mode)
     cand = top_candidates(selected, k, 0, item_postings(items, pop), key=col, limits=limits)
     prob_sum = (F.col("score") / F.col("total")) if is_integral(selected) else F.col("score")
-    cand = cand.select(col, "video_id", prob_sum.alias("prob_sum"), "pop", "lim")
-    return ranked_in_parts(cand, col, rank_order(), "lim", "label_rank").drop("lim")
+    cand = cut_lineage(cand.select(col, "video_id", prob_sum.alias("prob_sum"), "pop", "lim"), "label-candidates")
+    return ranked_by_counts(cand, col, "lim", "label_rank").drop("lim")
 
 
 def _label_people(label: str, profile: DataFrame, seen: DataFrame,
@@ -164,22 +173,47 @@ def label_cut(label: str, people: DataFrame, n: int) -> DataFrame:
     return people.groupBy(col).agg((F.max("w") + F.lit(int(n))).alias("lim"))
 
 
-def expand_label_to_users(label: str, cand: DataFrame, people: DataFrame,
-                          n: int, restricted: bool = False) -> DataFrame:
+def label_depth(col: str, lists: Measured, people: DataFrame, seen: DataFrame, n: Column) -> DataFrame:
+    """(up_id, label, depth): the deepest label rank that can reach each user's top ``n``.
+
+    With a user's seen items of the list at ranks s1 <= s2 <= ..., the depth is
+    ``n + i`` for the smallest i with ``s(i+1) > n + i``: of the first n + i
+    rows at most i are seen, so n unseen ones beat whatever ranks below (ties
+    included).  Seen items deeper than that cost the user nothing.  Users
+    without a row here have depth ``n``.
+    """
+    asking = people.select("up_id", col, n.alias("_need")).distinct()
+    met = join_small(seen_by_user(seen).join(asking, "up_id"), lists.table.select(col, "video_id", "label_rank"),
+                     [col, "video_id"], size=lists.size)
+    place = F.row_number().over(Window.partitionBy("up_id", col).orderBy("label_rank"))
+    gap = F.when(F.col("label_rank") >= F.col("_need") + F.col("_at"), F.col("_at") - 1)
+    return (met.withColumn("_at", place).groupBy("up_id", col)
+            .agg((F.any_value("_need") + F.coalesce(F.min(gap), F.count(F.lit(1)))).alias("depth")))
+
+
+def expand_label_to_users(label: str, cand: DataFrame, people: DataFrame, n: int, restricted: bool = False,
+                          seen: DataFrame | None = None) -> DataFrame:
     """Label candidates -> (up_id, video_id, prob_sum, pop[, lim]) per user.
 
     Cut: if item x ends in user u's top n, at most n - 1 unseen items beat
     it, and at most w(u) seen ones, so its rank in u's label list is at most
-    n + w(u) (exact, ties included).  Lists are cut into rank buckets of
-    powers of two and a user joins only the buckets up to that depth: one user
-    with a long history makes nobody else read further.
+    n + w(u) (exact, ties included).  With ``seen``, the seen items above the
+    cut are counted instead (``label_depth``).  Lists are cut into rank buckets
+    of powers of two and a user joins only the buckets up to its depth: a long
+    history makes nobody read further than the items really seen up there.
     """
     col = label_column(label)
-    lists = cut_lineage(cand.withColumn("bucket", bucket(F.col("label_rank"))), "label-lists")
-    depth = F.lit(int(n)) + F.col("w")
-    asking = people.withColumn("bucket", F.explode(buckets_to(depth)))
-    fan = join_small(asking, lists, [col, "bucket"], size=measure(lists),
-                     condition=F.col("label_rank") <= depth)
+    lists = write_measured(cand.withColumn("bucket", bucket(F.col("label_rank"))), "label-lists")
+    if seen is None:
+        people = people.withColumn("depth", F.lit(int(n)) + F.col("w"))
+    else:
+        need = F.col("lim") if restricted else F.lit(int(n))
+        depths = label_depth(col, lists, people, seen, need)
+        people = (people.join(depths, ["up_id", col], "left")
+                  .withColumn("depth", F.coalesce("depth", need)))
+    asking = people.withColumn("bucket", F.explode(buckets_to(F.col("depth"))))
+    fan = join_small(asking, lists.table, [col, "bucket"], size=lists.size,
+                     condition=F.col("label_rank") <= F.col("depth"))
     extra = ["lim"] if restricted else []
     return fan.select("up_id", "video_id", "prob_sum", "pop", *extra)
 
@@ -191,7 +225,7 @@ def recommend_by_label(label: str, dist: DataFrame, pop: DataFrame, items: ItemT
     """(up_id, video_id, prob_sum, pop, rank) from per-label distributions."""
     people = _label_people(label, profile, seen, users)
     cand = label_candidates(label, dist, pop, items, k, label_cut(label, people, n), seed, mode)
-    per_user = expand_label_to_users(label, cand, people, n, users is not None)
+    per_user = expand_label_to_users(label, cand, people, n, users is not None, seen)
     ranked = rank_top_n(exclude_seen(per_user, seen), n, ties=ties,
                         limit_col="lim" if users is not None else None)
     return ranked.select("up_id", "video_id", "prob_sum", "pop", "rank")

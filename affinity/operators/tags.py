@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.joins import Size, join_small
 
 TAG_SEPARATOR = ","
+# Tags of an item that its blocks are cut along, next to the tag whose postings they are in.
+PATH = 3
 
 
 def tag_tokens(rows: DataFrame, csv_col: str = "video_second_class") -> DataFrame:
@@ -46,13 +48,14 @@ def item_tags_long(rows: DataFrame, dictionary: DataFrame, size: Size) -> DataFr
 
 
 def item_bags(long: DataFrame, n_tags: int) -> DataFrame:
-    """(video_id, tags, bag, mask, sig): each item's tags, in the forms that scoring reads.
+    """(video_id, tags, bag, mask, sig, path): each item's tags, in the forms that scoring reads.
 
     ``tags`` ARRAY<INT> lists the tag indexes; ``bag`` ARRAY<INT> has each
     tag's multiplicity in a slot per index (length D, a parameter), so that a
     look-up takes constant time; ``mask`` ARRAY<BIGINT> is the tag set in
     64-bit words; ``sig`` spells the bag out: items with the same bag score
-    the same for every user.
+    the same for every user.  ``path`` has the item's ``PATH`` most common
+    tags, the most common first: blocks of signatures are cut along it.
     """
     times = long.groupBy("video_id", "tag_idx").agg(F.count(F.lit(1)).alias("times"))
     entries = times.groupBy("video_id").agg(
@@ -62,8 +65,14 @@ def item_bags(long: DataFrame, n_tags: int) -> DataFrame:
     bag = F.transform(F.sequence(F.lit(0), F.lit(int(n_tags) - 1)),
                       lambda i: F.coalesce(F.try_element_at(F.map_from_entries("e"), i), F.lit(0)))
     tags = F.transform("e", lambda x: x["tag_idx"])
-    return entries.select("video_id", tags.alias("tags"), bag.alias("bag"),
-                          tag_mask(tags, n_tags).alias("mask"), sig.alias("sig"))
+    # items per tag as one array value of length D
+    common = times.groupBy("tag_idx").agg(F.count(F.lit(1)).alias("n")).agg(
+        F.map_from_entries(F.collect_list(F.struct("tag_idx", "n"))).alias("m")).select("m").scalar()
+    path = F.slice(F.array_sort(F.transform("e", lambda x: F.struct(
+        (-F.try_element_at("_common", x["tag_idx"])).alias("n"), x["tag_idx"].alias("t")))), 1, PATH)
+    return entries.withColumn("_common", common).select(
+        "video_id", tags.alias("tags"), bag.alias("bag"), tag_mask(tags, n_tags).alias("mask"), sig.alias("sig"),
+        F.transform(path, lambda x: x["t"]).alias("path"))
 
 
 def mask_words(n_tags: int) -> int:

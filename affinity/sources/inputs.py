@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.dates import date_column, in_range, string_range
-from ..functions.joins import Size, measure
+from ..functions.joins import Size, write_measured
 from ..operators import tags as tag_ops
-from ..session import cut_lineage
 
 LABEL_COLUMNS = {"city": "reside_city", "phone": "phone_type"}
 
@@ -99,7 +98,7 @@ class ItemTags:
     ``rows``        cleaned (video_id, video_second_class)
     ``dictionary``  (tag, tag_idx), at most ``n_tags`` rows (counted)
     ``long``        (video_id, tag, tag_idx), one row per tag per source row
-    ``bags``        (video_id, tags, bag, mask, sig), one row per item
+    ``bags``        (video_id, tags, bag, mask, sig, path), one row per item
     ``n_tags``      the vector length D
     ``multiplicity`` the most times one tag is listed for one item
 
@@ -133,16 +132,14 @@ def load_item_tags(source, n_tags: int, spark: SparkSession | None = None,
     rows = df.filter(present(df, "video_second_class") & present(df, "video_id"))
     if dedupe:
         rows = rows.dropDuplicates()
-    vocabulary = cut_lineage(tag_ops.tag_tokens(rows).select("tag").distinct(), "vocabulary")
-    if vocabulary.count() > n_tags:
+    vocabulary = write_measured(tag_ops.tag_tokens(rows).select("tag").distinct(), "vocabulary")
+    if vocabulary.size.rows > n_tags:
         raise ValueError(f"more than n_tags={n_tags} distinct tags in the item table")
-    dictionary = cut_lineage(tag_ops.tag_dictionary(vocabulary), "dictionary")
-    long = cut_lineage(tag_ops.item_tags_long(rows, dictionary, measure(dictionary)), "item-tags")
-    bags = cut_lineage(tag_ops.item_bags(long, n_tags), "item-bags")
-    most = bags.agg(F.max(F.array_max("bag"))).first()[0] or 1
-    return ItemTags(rows=rows, dictionary=dictionary, long=long, bags=bags, n_tags=int(n_tags),
-                    multiplicity=most, long_size=measure(long.select("video_id", "tag_idx")),
-                    bag_size=measure(bags))
+    dictionary = write_measured(tag_ops.tag_dictionary(vocabulary.table), "dictionary")
+    long = write_measured(tag_ops.item_tags_long(rows, dictionary.table, dictionary.size), "item-tags")
+    bags = write_measured(tag_ops.item_bags(long.table, n_tags), "item-bags", most=F.max(F.array_max("bag")))
+    return ItemTags(rows=rows, dictionary=dictionary.table, long=long.table, bags=bags.table, n_tags=int(n_tags),
+                    multiplicity=bags.seen["most"] or 1, long_size=long.size, bag_size=bags.size)
 
 
 class Inputs(NamedTuple):
