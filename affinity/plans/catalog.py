@@ -20,13 +20,15 @@ from ..operators.distribution import (dense_distribution, label_tag_distribution
 from ..operators.drift import kl_summary, user_drift, weekly_drift
 from ..operators.evaluate import evaluate_precision, split_summary
 from ..operators.popularity import item_popularity
-from ..operators.recommend import (exclude_seen, expand_label_to_users, item_side, label_candidates, label_cut,
-                                   rank_top_n, recommend_label_two_window, recommend_label_window,
-                                   recommend_user_two_window, recommend_user_window, score_items)
+from ..operators.recommend import (best_items, expand_label_to_users, label_candidates, label_cut, rank_top_n,
+                                   recommend_label_two_window, recommend_label_window,
+                                   recommend_user_two_window, recommend_user_window)
 from ..operators.recommend import _label_people as label_people
 from ..operators.sampling import sample_tags, top_tags
 from ..sources.inputs import Inputs, load_item_tags
-from ..sources.sinks import enrich_and_save_recs, enrich_recommendations, save_distribution
+from ..sources.registry import Handle, InputRegistry
+from ..sources.sinks import (distribution_table_name, enrich_and_save_recs, enrich_recommendations,
+                             recommendation_table_name, save_distribution)
 from ..sources.testdata import events_history, events_tags, testdata_inputs
 from .jobs import recommendations, run_rec, run_stat, run_train
 
@@ -46,7 +48,8 @@ OFFSET_WEEKS = 0
 ROUND = 6                            # digits kept for log-based doubles
 
 
-_LOADED: dict[str, tuple[SparkSession, str, Inputs]] = {}
+REGISTRY = InputRegistry()
+_HANDLES: dict[tuple, Handle] = {}
 
 
 def _inputs(spark: SparkSession, sf_dir: str) -> Inputs:
@@ -54,15 +57,20 @@ def _inputs(spark: SparkSession, sf_dir: str) -> Inputs:
 
     Loading writes the item-tag tables to the shared folder and measures them,
     like a job that prepares its inputs once; measured sizes therefore belong
-    to what later queries read, whatever happens to the source files.  A new
-    session (or a restarted application) loads again.
+    to what later queries read, whatever happens to the source files.  The
+    catalog's handle keeps the tables until ``close_inputs``.
     """
-    app = spark.sparkContext.applicationId
-    hit = _LOADED.get(sf_dir)
-    if hit is None or hit[0] is not spark or hit[1] != app:
-        hit = (spark, app, testdata_inputs(spark, sf_dir, N_TAGS))
-        _LOADED[sf_dir] = hit
-    return hit[2]
+    place = (id(spark), spark.sparkContext.applicationId, sf_dir)
+    if place not in _HANDLES:
+        _HANDLES[place] = REGISTRY.acquire(spark, sf_dir, lambda: testdata_inputs(spark, sf_dir, N_TAGS))
+    return _HANDLES[place].inputs
+
+
+def close_inputs(spark: SparkSession) -> None:
+    """Give up the loaded inputs of this session: their tables go, the next query loads again."""
+    own = (id(spark), spark.sparkContext.applicationId)
+    for place in [p for p in _HANDLES if p[:2] == own]:
+        _HANDLES.pop(place).close()
 
 
 def q_profile_clean(spark, sf_dir):
@@ -149,21 +157,21 @@ def q_top_tags_city(spark, sf_dir):
 SCORED = 20  # scored items reported per user
 
 
-def _scored_user(i: Inputs) -> DataFrame:
+def _best_scored(i: Inputs, unseen: bool) -> DataFrame:
     selected = sample_tags(_user_dist(i, RECENT_FROM, TO_DATE), "up_id", K, SEED)
-    return score_items(selected, "up_id", item_side(i.items, item_popularity(i.history, RECENT_FROM, TO_DATE)))
+    best = best_items(selected, item_popularity(i.history, RECENT_FROM, TO_DATE), i.items, K, SCORED,
+                      i.history if unseen else None)
+    return best.select("up_id", "video_id", "prob_sum", "pop")
 
 
 def q_score_items_user(spark, sf_dir):
     """Each user's best scored items, seen ones included."""
-    best = rank_top_n(_scored_user(_inputs(spark, sf_dir)), SCORED)
-    return best.select("up_id", "video_id", "prob_sum", "pop")
+    return _best_scored(_inputs(spark, sf_dir), unseen=False)
 
 
 def q_unseen_candidates(spark, sf_dir):
     """Each user's best scored items after the seen ones are excluded."""
-    i = _inputs(spark, sf_dir)
-    return rank_top_n(exclude_seen(_scored_user(i), i.history), SCORED).select("up_id", "video_id", "prob_sum", "pop")
+    return _best_scored(_inputs(spark, sf_dir), unseen=True)
 
 
 def _recommend_user(i: Inputs, mode="sample", ties="keep", start=RECENT_FROM):
@@ -342,6 +350,12 @@ def q_saved_distribution(spark, sf_dir):
     return save_distribution(_user_dist(i), "user")
 
 
+def q_saved_distribution_table(spark, sf_dir):
+    """O26 into the catalog, read back by its name."""
+    save_distribution(_user_dist(_inputs(spark, sf_dir)), "user", table=True)
+    return spark.table(distribution_table_name("user"))
+
+
 def q_saved_distribution_city(spark, sf_dir):
     return save_distribution(_label_dist(spark, sf_dir, "city"), "city")
 
@@ -366,6 +380,17 @@ def q_saved_recs_user(spark, sf_dir):
     return _saved_recs(spark, sf_dir, "user")
 
 
+def q_saved_recs_table(spark, sf_dir):
+    """O27 into the catalog; then by name: how likely each user finds the tags of its list."""
+    i = _inputs(spark, sf_dir)
+    save_distribution(_user_dist(i), "user", table=True)
+    enrich_and_save_recs(_recommend_user(i), i.items, "user", table=True)
+    recs, dist = spark.table(recommendation_table_name("user")), spark.table(distribution_table_name("user"))
+    listed = recs.groupBy("up_id").agg(F.count(F.lit(1)).alias("n_rows"), F.max("rank").alias("last_rank"))
+    events = dist.groupBy("up_id").agg(F.sum("n").alias("tag_events"))
+    return listed.join(events, "up_id")
+
+
 def q_saved_recs_city(spark, sf_dir):
     return _saved_recs(spark, sf_dir, "city")
 
@@ -400,5 +425,6 @@ _ALL = (
     q_precision_user_holdout, q_kl_user, q_kl_user_reverse, q_kl_user_dense, q_kl_summary, q_weekly_drift,
     q_weekly_drift_offset, q_weekly_drift_gaps, q_drift_windows, q_weekly_drift_events, q_saved_distribution,
     q_saved_distribution_city, q_saved_distribution_dense, q_enriched_recs, q_saved_recs_user, q_saved_recs_city,
+    q_saved_distribution_table, q_saved_recs_table,
     q_job_rec, q_job_train, q_job_stat)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__[2:]: f for f in _ALL}

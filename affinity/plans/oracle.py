@@ -435,6 +435,7 @@ def build() -> dict[str, str]:
 
     q = _dist_user()
     out["saved_distribution"] = q.render("SELECT up_id, tag_idx, n, total, prob FROM du")
+    out["saved_distribution_table"] = out["saved_distribution"]
     q = Q()
     d = q.label_dist("dl", "reside_city", "hist", DIST_FROM, TO_DATE)
     out["saved_distribution_city"] = q.render(f"SELECT reside_city, tag_idx, n, total, prob FROM {d}")
@@ -445,6 +446,13 @@ def build() -> dict[str, str]:
     mh = _multi_hot_sql(q)
     out["enriched_recs"] = q.render(f"""SELECT r.video_id, r.up_id, r.prob_sum, r.pop, r.rank,
         m.tags FROM {r} r JOIN {mh} m ON r.video_id = m.video_id""")
+    q, r = recs_user()
+    mh = _multi_hot_sql(q)
+    d = q.user_dist("ds", "hist", DIST_FROM, TO_DATE)
+    out["saved_recs_table"] = q.render(f"""SELECT l.up_id, l.n_rows, l.last_rank, e.tag_events
+        FROM (SELECT r.up_id, count(*) AS n_rows, max(r.rank) AS last_rank
+              FROM {r} r JOIN {mh} m ON r.video_id = m.video_id GROUP BY r.up_id) l
+        JOIN (SELECT up_id, CAST(sum(n) AS BIGINT) AS tag_events FROM {d} GROUP BY up_id) e ON e.up_id = l.up_id""")
     for name, col in (("saved_recs_user", None), ("saved_recs_city", "reside_city"), ("job_rec", "phone_type")):
         q = Q()
         r = q.two_window("tw", "hist", TO_DATE, WINDOW_DAYS, col)

@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import Counter
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,6 +73,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 # Folders written by ``cut_lineage``, by application; ``release`` deletes them.
 _CUTS: dict[str, list[str]] = {}
+# Of these, how many holders each has; a folder with one is in use and stays.
+_HELD: dict[str, Counter] = {}
 
 
 def written(spark: SparkSession) -> int:
@@ -77,19 +82,53 @@ def written(spark: SparkSession) -> int:
     return len(_CUTS.get(spark.sparkContext.applicationId, []))
 
 
+@contextmanager
+def recorded(spark: SparkSession) -> Iterator[list[str]]:
+    """The folders that ``cut_lineage`` writes inside the block, known at its end."""
+    cuts = _CUTS.setdefault(spark.sparkContext.applicationId, [])
+    known, paths = set(cuts), []
+    yield paths
+    paths.extend(p for p in cuts if p not in known)
+
+
+def hold(spark: SparkSession, paths: list[str]) -> None:
+    """Keep folders over ``release`` until as many ``let_go`` follow."""
+    _HELD.setdefault(spark.sparkContext.applicationId, Counter()).update(paths)
+
+
+def let_go(spark: SparkSession, paths: list[str]) -> None:
+    """End one ``hold``; folders that nobody holds any more are deleted."""
+    app = spark.sparkContext.applicationId
+    held, cuts = _HELD.get(app, Counter()), _CUTS.get(app, [])
+    held.subtract(paths)
+    free = [p for p in paths if held[p] <= 0]
+    for path in free:
+        held.pop(path, None)
+        if path in cuts:
+            cuts.remove(path)
+    _delete(spark, free)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    conf = spark._jsc.hadoopConfiguration()
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+
+
 def release(spark: SparkSession, since: int = 0) -> None:
-    """Delete the intermediates that this application's plans wrote.
+    """Delete the intermediates that this application's plans wrote and nobody holds.
 
     For long-lived sessions, between jobs: frames returned before must have
     been written or collected.  ``since``, a count from ``written``, keeps the
-    older ones (loaded inputs, say).  The caller's own caches are left alone.
+    older ones.  Loaded inputs (``sources.registry``) are held and stay, as do
+    the caller's own caches.
     """
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    cuts = _CUTS.get(spark.sparkContext.applicationId, [])
-    for path in cuts[since:]:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
-    del cuts[since:]
+    app = spark.sparkContext.applicationId
+    cuts, held = _CUTS.get(app, []), _HELD.get(app, Counter())
+    free = [p for p in cuts[since:] if held[p] <= 0]
+    _delete(spark, free)
+    cuts[since:] = [p for p in cuts[since:] if held[p] > 0]
 
 
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -148,14 +148,65 @@ def _collect(df):
     return df.columns, [tuple(r) for r in df.collect()]
 
 
-def test_items_are_not_exchanged_by_label(spark, inputs):
-    """A label's candidates are ranked in parts: no exchange on the label alone below them."""
+def test_label_ranks_come_from_counts(spark, inputs):
+    """No window sorts a label's rows: what is windowed was aggregated to distinct values before."""
     from affinity.operators.distribution import label_tag_distribution
     from affinity.operators.popularity import item_popularity
     from affinity.operators.recommend import label_candidates
     dist = label_tag_distribution("city", inputs.profile, inputs.history, inputs.items)
     limits = dist.select("reside_city").distinct().withColumn("lim", F.lit(10))
     df = label_candidates("city", dist, item_popularity(inputs.history), inputs.items, 5, limits)
-    plan = _final_plan(df)
-    assert plan.count("hashpartitioning(reside_city") >= 2 and "hashpartitioning(reside_city#" in plan
-    assert "_part" in plan.split("HashJoin")[0]
+    plan = _final_plan(df).split("\n")
+    windows = [k for k, x in enumerate(plan) if " Window [" in x or " Window(" in x or "- Window" in x]
+    assert windows
+    for k in windows:
+        below = [x for x in plan[k + 1:] if "Exchange" in x or "HashAggregate" in x]
+        assert "Aggregate" in below[0] or "Aggregate" in below[1]
+
+
+def test_catalog_tables_join_without_an_exchange(spark):
+    """Bucketed by their key, two stored tables meet where they are."""
+    from affinity.sources.sinks import distribution_table_name, recommendation_table_name
+    QUERIES["saved_recs_table"](spark, SF).count()
+    recs, dist = (spark.table(name("user")) for name in (recommendation_table_name, distribution_table_name))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _final_plan(recs.join(dist, "up_id").groupBy("up_id").count())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_a_table_is_replaced_whole(spark):
+    from affinity.sources.sinks import write_table
+    first = spark.createDataFrame([(1, "a"), (2, "b")], "up_id long, x string")
+    assert write_table(first, "unit_swapped", table=True, key="up_id").count() == 2
+    older = spark.table("unit_swapped")
+    bad = first.select("up_id", F.expr("raise_error('no')").cast("string").alias("x"))
+    with pytest.raises(Exception):
+        write_table(bad, "unit_swapped", table=True, key="up_id")
+    assert spark.table("unit_swapped").count() == 2
+    write_table(first.limit(1), "unit_swapped", table=True, key="up_id")
+    assert spark.table("unit_swapped").count() == 1 and older.count() == 2
+    spark.sql("DROP TABLE unit_swapped")
+
+
+def test_queries_run_again_after_release(spark, tmp_path):
+    """Inputs in use survive ``release``; given up, they are loaded again."""
+    import shutil
+    from affinity.plans import catalog
+    from affinity.session import release
+    place = str(tmp_path / "again")
+    shutil.copytree(SF, place)
+    before = _digest(*_collect(QUERIES["recommend_city"](spark, place)))
+    release(spark)
+    assert _digest(*_collect(QUERIES["recommend_city"](spark, place))) == before
+    loaded = catalog._inputs(spark, place).items.bags
+    with catalog.REGISTRY.acquire(spark, place, None) as inputs:
+        catalog.close_inputs(spark)
+        release(spark)
+        assert inputs.items.bags.count() > 0        # one handle is still open
+    assert catalog.REGISTRY.handles(spark, place) == 0
+    with pytest.raises(Exception):
+        loaded.count()                              # its files are gone
+    assert _digest(*_collect(QUERIES["recommend_city"](spark, place))) == before
