@@ -27,7 +27,8 @@ and both integer and DOUBLE counts:
   tag that they hold, and those by the second.  A block knows the union of its
   signatures' tags and their largest multiplicity, hence the most that any of
   them can score for a key: whole blocks below theta are skipped, level by
-  level, and only what is left is scored.
+  level, and only what is left is scored.  Of a user's scored signatures, only
+  the best that hold ``lim + w`` items (ties included) are expanded.
 
 Ranks (ties included) are exactly those of ranking every candidate: every pair
 that beats a pair of rank <= lim scores at least theta as well.
@@ -73,7 +74,7 @@ class Postings(NamedTuple):
 
     by_tag: DataFrame         # tag_idx, bucket, prank, video_id, bag, mask
     blocks: list[DataFrame]   # per level: tag_idx, b1 .., _union, _most
-    signatures: DataFrame     # tag_idx, b1 .., sig, bag, mask
+    signatures: DataFrame     # tag_idx, b1 .., sig, n_items, bag, mask
     items: DataFrame          # sig, video_id, pop
     size: Size
     multiplicity: int
@@ -89,10 +90,11 @@ def item_postings(items: ItemTags, pop: DataFrame) -> Postings:
     posting = side.select("video_id", "pop", "bag", "mask", F.explode("tags").alias("tag_idx"))
     by_tag = popularity_ranks(posting).select("tag_idx", bucket(F.col("prank")).alias("bucket"), "prank",
                                               "video_id", "bag", "mask")
-    distinct = side.groupBy("sig").agg(*[F.any_value(c).alias(c) for c in ("tags", "bag", "mask", "path")])
-    signatures = _along_paths(distinct.select("sig", "bag", "mask", "path", F.explode("tags").alias("tag_idx")))
+    distinct = side.groupBy("sig").agg(F.count(F.lit(1)).alias("n_items"),
+                                       *[F.any_value(c).alias(c) for c in ("tags", "bag", "mask", "path")])
+    signatures = _along_paths(distinct.select("sig", "n_items", "bag", "mask", "path", F.explode("tags").alias("tag_idx")))
     blocks = [_blocks(signatures, level, items.n_tags) for level in LEVELS]
-    return Postings(by_tag, blocks, signatures.select("tag_idx", *_steps(LEVELS[-1]), "sig", "bag", "mask"),
+    return Postings(by_tag, blocks, signatures.select("tag_idx", *_steps(LEVELS[-1]), "sig", "n_items", "bag", "mask"),
                     side.select("sig", "video_id", "pop"), written.size, items.multiplicity, items.n_tags)
 
 
@@ -127,7 +129,7 @@ def _steps(level: int) -> list[str]:
 def _along_paths(signatures: DataFrame) -> DataFrame:
     """Signature postings with b1, b2, ...: the most common tags of the signature next to the posting's own."""
     others = F.filter("path", lambda t: t != F.col("tag_idx"))
-    return signatures.select("tag_idx", "sig", "bag", "mask", *[
+    return signatures.select("tag_idx", "sig", "n_items", "bag", "mask", *[
         F.coalesce(F.get(others, i), F.lit(NO_TAG)).alias(b) for i, b in enumerate(_steps(LEVELS[-1]))])
 
 
@@ -160,7 +162,8 @@ def _starts(info: DataFrame, key: str, k: int, n_tags: int) -> DataFrame:
     rows = info.select("*", F.posexplode("_t").alias("_i", "tag_idx"))
     plain = [F.get(c, j).alias(f"{c}{j}") for c in ("_t", "_n") for j in range(int(k))]
     rest = F.aggregate(F.slice("_n", F.col("_i") + 1, F.size("_n")), zero, lambda a, x: a + x)
-    return rows.select(key, "total", "lim", "w", "_i", "tag_idx", *plain, rest.alias("_rest"),
+    rests = F.slice(F.arrays_zip(F.col("_t").alias("t"), F.col("_n").alias("n")), F.col("_i") + 1, F.size("_t"))
+    return rows.select(key, "total", "lim", "w", "_i", "tag_idx", *plain, rest.alias("_rest"), rests.alias("_rests"),
                        tag_mask(F.slice("_t", F.lit(1), F.col("_i")), n_tags).alias("_before"))
 
 
@@ -176,15 +179,17 @@ def _scored(pairs: DataFrame, k: int, n_tags: int, integral: bool) -> DataFrame:
     return pairs.filter(met == 0).withColumn("score", score)
 
 
-def _at_most(k: int, integral: bool) -> Column:
-    """The most that a signature of a block can score from the key's start tag on."""
+def _at_most(integral: bool) -> Column:
+    """The most that a signature of a block can score from the key's start tag on.
+
+    A loop over ``_rests`` on purpose: unrolled like the score, the tests of all
+    levels would share one generated method too long for the JIT compiler.
+    """
+    def held(tag: Column) -> Column:
+        return F.getbit(F.get("_union", F.shiftright(tag, 6)), tag.bitwiseAND(F.lit(63))) == 1
+
     zero = F.lit(0).cast("bigint") if integral else F.lit(0.0)
-    mass = zero
-    for j in range(int(k)):
-        tag = F.col(f"_t{j}")
-        bit = F.getbit(F.get("_union", F.shiftright(tag, 6)), tag.bitwiseAND(F.lit(63)))
-        mass = mass + F.coalesce(F.when((F.col("_i") <= j) & (bit == 1), F.col(f"_n{j}")), zero)
-    mass = mass * F.col("_most")
+    mass = F.aggregate("_rests", zero, lambda a, s: a + F.when(held(s["t"]), s["n"]).otherwise(zero)) * F.col("_most")
     return mass if integral else mass * F.lit(1 + ROUNDING)
 
 
@@ -259,14 +264,30 @@ def top_candidates(selected: DataFrame, k: int, n: int, postings: Postings, key:
         on = ["tag_idx", *_steps(level)]
         met = (_meet(rows, key_size, blocks, postings.size, ["tag_idx"]) if level == LEVELS[0]
                else join_small(rows, blocks, on[:1 + LEVELS[LEVELS.index(level) - 1]], size=postings.size))
-        rows = met.filter(_at_most(k, integral) >= F.col("theta")).drop("_union", "_most")
+        rows = met.filter(_at_most(integral) >= F.col("theta")).drop("_union", "_most")
     by_sig = _scored(join_small(rows, postings.signatures, ["tag_idx", *_steps(LEVELS[-1])], size=postings.size),
                      k, postings.n_tags, integral)
-    by_sig = by_sig.filter(F.col("score") >= F.col("theta")).select(key, "sig", "score", "total", "lim")
+    by_sig = by_sig.filter(F.col("score") >= F.col("theta")).select(key, "sig", "n_items", "score", "total", "lim", "w")
+    if not per_label:
+        by_sig = _within_reach(by_sig, key)
     cand = join_small(by_sig, postings.items, "sig", size=postings.size)
     return unseen(cand.select(key, "video_id", "score", "total", "pop", "lim"))
 
 
+def _within_reach(by_sig: DataFrame, key: str) -> DataFrame:
+    """The (key, signature) pairs that can still rank <= lim, where the rows of a key lie together.
+
+    Where signatures of score s and more hold ``lim + w`` items, at least
+    ``lim`` of them are unseen, and whatever scores below s ranks below them.
+    """
+    so_far = F.sum("n_items").over(Window.partitionBy(key).orderBy(F.col("score").desc())
+                                   .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    enough = F.when(F.col("_so_far") >= F.col("lim") + F.col("w"), F.col("score"))
+    return (by_sig.withColumn("_so_far", so_far)
+            .withColumn("_least", F.max(enough).over(Window.partitionBy(key)))
+            .filter(F.col("_least").isNull() | (F.col("score") >= F.col("_least"))).drop("_so_far", "_least"))
+
+
 def ranked_by_counts(cand: DataFrame, key: str, limit: str, rank: str) -> DataFrame:
     """``rank()`` per key by (prob_sum desc, pop desc) up to the column ``limit``, without sorting a key's rows.
 
