@@ -66,7 +66,8 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None,
     ``targets`` may give shares for "source", "lang" and "topic"; a missing one
     is the tempered share of the data (share ** temperature, normalised).
     Shares of categories without tokens are left out and the rest normalised.
-    A category that a given target does not name gets weight 0.
+    A category that a given target does not name gets weight 0; a target that
+    names no category of the data raises ValueError.
 
     The fit ends when all marginals are met to ``TOLERANCE``.  It ends short of
     that only if the growth of the factors proves that no weights can meet them
@@ -101,6 +102,8 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None,
     def shares(name: str, labels: list[str], totals: np.ndarray) -> np.ndarray:
         goal = targets.get(name) or _tempered(dict(zip(labels, totals)), temperature)
         out = np.array([float(goal.get(k, 0)) * (t > 0) for k, t in zip(labels, totals)])
+        if out.sum() <= 0:
+            raise ValueError(f"no {name} that the target names has tokens")
         return out / out.sum()
 
     w = matrix(pair)
@@ -113,6 +116,8 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None,
         goal = by_source.select("_s", F.pow("total", F.lit(temperature)).alias("raw"))
     goal = cut(goal, "mix-goal")
     mass = goal.agg(F.sum("raw")).first()[0]
+    if not mass or mass <= 0:
+        raise ValueError("no source that the target names has tokens")
     goal = goal.select("_s", (F.col("raw") / F.lit(mass)).alias("want"))
     b, c = np.ones(len(langs)), np.ones(len(topics))
 

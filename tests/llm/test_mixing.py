@@ -114,3 +114,11 @@ def test_marginals_that_cannot_be_met_are_told(spark, monkeypatch, by_job):
     with pytest.warns(RuntimeWarning, match="no weights meet.*lang is off by 0.2"):
         rows = mixing.rake(cells, {"source": {"a": 0.7, "b": 0.3}, "lang": {"en": 0.5, "fr": 0.5}}).collect()
     assert off_by(rows, "_s", {"a": 0.7, "b": 0.3}) < 1e-9
+
+
+@pytest.mark.parametrize("name", ["source", "lang", "topic"])
+def test_a_target_without_any_category_of_the_data_is_named(spark, name):
+    rows = [(i, "some words here", "en", f"s{i % 3}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    with pytest.raises(ValueError, match=f"no {name} that the target names"):
+        mixing.sample(docs, targets={name: {"zz": 1.0}})
