@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from affinity.functions.joins import ROWS_CONF
-from affinity.operators import candidates, tags
+from affinity.operators import candidates, recommend, tags
 from affinity.operators.distribution import dense_distribution, user_tag_distribution
 from affinity.operators.popularity import item_popularity
 from affinity.operators.sampling import top_tags
@@ -75,3 +75,39 @@ def test_vectors_are_laid_out_without_a_look_up_per_slot(spark):
     assert "Filter ((size(" not in _plan(tags.tag_index_list(items.dense())).replace("size(_tokens", "")
     assert sorted(map(tuple, tags.tag_index_list(items.dense()).filter("video_id = 'v'").collect())) == [
         ("v", 0), ("v", 0), ("v", 2)]
+
+
+def _two_window_history(spark, profile):
+    """Users with and without a full recent list over ten items of one tag set; every user has an old event."""
+    recent = [("full", f"v{j}", "2017-02-01") for j in range(2)] + [("short", f"v{j}", "2017-02-01") for j in range(9)]
+    old = [(u, "v9", "2016-01-01") for u in ("full", "short")]
+    return load_inputs(spark.createDataFrame(profile, PROFILE_SCHEMA),
+                       spark.createDataFrame(recent + old + [("x", "v9", "2016-01-02")], HISTORY_SCHEMA),
+                       spark.createDataFrame([(f"v{j}", "a,b") for j in range(10)], TAGS_SCHEMA), 2)
+
+
+def test_users_with_a_full_recent_list_leave_the_whole_history_pass(spark, monkeypatch):
+    i = _two_window_history(spark, [("full", "A", "P"), ("short", "A", "P")])
+    asked, given = [], recommend.user_distribution_of
+    monkeypatch.setattr(recommend, "user_distribution_of", lambda pairs, items: asked.append(pairs) or given(pairs, items))
+    rows = recommend.recommend_user_two_window(i.history, i.items, 2, 2, "20170202", 28).collect()
+    assert {r["source"] for r in rows if r["up_id"] == "full"} == {recommend.RECENT}
+    assert sorted(r["up_id"] for r in asked[1].select("up_id").distinct().collect()) == ["short", "x"]
+
+
+def test_the_label_fill_reads_the_seen_pairs_of_short_users_only(spark, monkeypatch):
+    i = _two_window_history(spark, [("full", "A", "P"), ("short", "A", "P")])
+    passed, given = [], recommend.recommend_by_label
+    monkeypatch.setattr(recommend, "recommend_by_label",
+                        lambda label, dist, pop, items, profile, seen, *a, **b:
+                        passed.append(seen) or given(label, dist, pop, items, profile, seen, *a, **b))
+    recommend.recommend_label_two_window("city", i.profile, i.history, i.items, 2, 2, "20170202", 28).collect()
+    assert [r["up_id"] for r in passed[1].pairs.select("up_id").distinct().collect()] == ["short"]
+    assert passed[1].counts.collect() == [("short", 10)]
+
+
+def test_written_pairs_are_not_made_distinct_again(spark):
+    pairs = _two_window_history(spark, [("full", "A", "P")]).history.select("up_id", "video_id")
+    seen = recommend.written_seen(pairs.distinct())
+    assert "Aggregate" in _plan(recommend.seen_by_user(pairs)) and "Aggregate" not in _plan(seen.counts)
+    assert sorted(seen.counts.collect()) == [("full", 3), ("short", 10), ("x", 1)]
