@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, DoubleType, FloatType
 
-from ..functions.joins import Measured, Size, fits, join_small, measure, write_measured
+from ..functions.joins import Measured, Size, fits, join_small, measure, within_plan, write_measured
 from ..sources.inputs import ItemTags
 from .tags import mask_words, tag_mask
 
@@ -102,8 +102,9 @@ def item_postings(items: ItemTags, pop: DataFrame) -> Postings:
         .select("tag_idx", *_steps(LEVELS[-1]), "sig", "n_items", "bag", "mask"), "item-signatures")
     signatures = written.table
     blocks = [_blocks(signatures, level, items.n_tags) for level in LEVELS]
-    # blocks are no more and no wider than their signatures
-    sizes = [written.size if fits(signatures, written.size) else measure(b) for b in blocks]
+    # blocks are no more and no wider than their signatures: where all may be broadcast, that is known enough
+    bound = Size(written.size.rows, (1 + len(blocks)) * written.size.bytes)
+    sizes = [written.size if fits(signatures, bound) else measure(b) for b in blocks]
     return Postings(blocks, sizes, signatures, written.size, classes.table, classes.size,
                     side.table, side.size, items.multiplicity, items.n_tags)
 
@@ -226,13 +227,13 @@ def _at_most(integral: bool) -> Column:
     return mass if integral else mass * F.lit(1 + ROUNDING)
 
 
-def _meet(keys: DataFrame, key_size: Size | None, side: DataFrame, side_size: Size, on: list[str]) -> DataFrame:
-    """Keys joined to postings: the smaller measured side is broadcast if it may be.
+def _meet(keys: DataFrame, key_size: Size | None, side: DataFrame, side_size: Size | None, on: list[str]) -> DataFrame:
+    """Keys joined to postings: the smaller measured side is broadcast if it may be (a ``side`` without a size may not).
 
     A few labels travel to the item side, which stays spread; many users keep
     their place and the item side travels; two large sides are shuffled.
     """
-    if key_size is not None and key_size.bytes < side_size.bytes and fits(keys, key_size):
+    if key_size is not None and fits(keys, key_size) and (side_size is None or key_size.bytes < side_size.bytes):
         return side.join(F.broadcast(keys), on)
     return join_small(keys, side, on, size=side_size)
 
@@ -275,13 +276,16 @@ def top_candidates(selected: DataFrame, k: int, n: int, postings: Postings, key:
         least = int(info.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         info = info.repartition(max(least, -(-written.size.rows // TASK_KEYS)), key)
     starts = _starts(info, key, k, postings.n_tags)
+    # all six sides are in one plan: what each key meets most often goes first
+    signature_size, *block_sizes, popular_size, class_size, item_size = within_plan(info, [
+        postings.signature_size, *reversed(postings.block_sizes), popular.size, postings.class_size, postings.item_size])
 
     def unseen(df: DataFrame) -> DataFrame:
         return df if seen_pairs is None else df.join(seen_pairs, ["up_id", "video_id"], "left_anti")
 
     # pass 1: score floor from the most popular items of each selected tag
     wanted = starts.withColumn("bucket", F.explode(buckets_to(depth)))
-    probe = _meet(wanted, key_size, popular.table, popular.size, ["tag_idx", "bucket"])
+    probe = _meet(wanted, key_size, popular.table, popular_size, ["tag_idx", "bucket"])
     probe = unseen(_scored(probe.filter(F.col("prank") <= depth), k, postings.n_tags, integral)
                    .select(key, "video_id", "score", "lim"))
     order = Window.partitionBy(key).orderBy(F.col("score").desc())
@@ -295,21 +299,21 @@ def top_candidates(selected: DataFrame, k: int, n: int, postings: Postings, key:
     rows = (starts.join(floor, key, "left").withColumn("theta", theta)
             .filter(reach >= F.col("theta")))
     # whole blocks of signatures below theta go first
-    for level, blocks, size in zip(LEVELS, postings.blocks, postings.block_sizes):
+    for level, blocks, size in zip(LEVELS, postings.blocks, reversed(block_sizes)):
         on = ["tag_idx", *_steps(level)]
         met = (_meet(rows, key_size, blocks, size, ["tag_idx"]) if level == LEVELS[0]
                else join_small(rows, blocks, on[:1 + LEVELS[LEVELS.index(level) - 1]], size=size))
         rows = met.filter(_at_most(integral) >= F.col("theta")).drop("_union", "_most")
     by_sig = _scored(join_small(rows, postings.signatures, ["tag_idx", *_steps(LEVELS[-1])],
-                                size=postings.signature_size), k, postings.n_tags, integral)
+                                size=signature_size), k, postings.n_tags, integral)
     by_sig = by_sig.filter(F.col("score") >= F.col("theta")).select(key, "sig", "n_items", "score", "total", "lim", "w")
     if per_label:
-        cand = join_small(by_sig, postings.items, "sig", size=postings.item_size)
+        cand = join_small(by_sig, postings.items, "sig", size=item_size)
     else:
         by_class = join_small(_within_reach(by_sig, key, "score").drop("n_items"), postings.classes, "sig",
-                              size=postings.class_size)
+                              size=class_size)
         cand = join_small(_within_reach(by_class, key, "score", "pop"), postings.items, ["sig", "pop"],
-                          size=postings.item_size)
+                          size=item_size)
     return unseen(cand.select(key, "video_id", "score", "total", "pop", "lim"))
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from affinity.functions.joins import ROWS_CONF
+from affinity.functions.joins import BYTES_CONF, PLAN_SIDES, ROWS_CONF, Size, within_plan
 from affinity.operators import candidates, recommend, tags
 from affinity.operators.distribution import dense_distribution, user_tag_distribution
 from affinity.operators.popularity import item_popularity
@@ -111,3 +111,25 @@ def test_written_pairs_are_not_made_distinct_again(spark):
     seen = recommend.written_seen(pairs.distinct())
     assert "Aggregate" in _plan(recommend.seen_by_user(pairs)) and "Aggregate" not in _plan(seen.counts)
     assert sorted(seen.counts.collect()) == [("full", 3), ("short", 10), ("x", 1)]
+
+
+def test_the_broadcast_sides_of_one_plan_share_the_drivers_memory(spark):
+    """Each side is below the cap; all six together are not, and the list stays the same without some of them."""
+    i = _one_tag_inputs(spark)
+    selected = top_tags(user_tag_distribution(i.history, i.items), "up_id", 2)
+    postings = candidates.item_postings(i.items, item_popularity(i.history))
+    popular = candidates.popular_postings(postings, 2)
+    sizes = [popular.size, *postings.block_sizes, postings.signature_size, postings.class_size, postings.item_size]
+    want = sorted(map(tuple, candidates.top_candidates(selected, 2, 2, postings).collect()))
+    spark.conf.set(BYTES_CONF, str(max(s.bytes for s in sizes)))
+    try:
+        cap = int(spark.conf.get(BYTES_CONF))
+        assert sum(s.bytes for s in sizes) > PLAN_SIDES * cap
+        got = candidates.top_candidates(selected, 2, 2, postings)
+        hints = got._jdf.queryExecution().analyzed().toString().count("strategy=broadcast")
+        assert 0 < hints < len(sizes)
+        assert sorted(map(tuple, got.collect())) == want
+        one, half = Size(1, cap), Size(1, cap // 2)
+        assert within_plan(selected, [half, one, one, half, None]) == [half, one, None, half, None]
+    finally:
+        spark.conf.unset(BYTES_CONF)
